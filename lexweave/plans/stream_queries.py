@@ -1,0 +1,92 @@
+"""Streams over the given event log, run to the end and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexweave.operators.jobs import with_state
+from lexweave.plans.catalog import query
+from lexweave.plans.ingest_queries import REFS_SQL, _refs
+from lexweave.plans.model_queries import run_extraction
+from lexweave.runtime import new_path
+from lexweave.sources import sinks
+from lexweave.streaming import ingest as si
+from lexweave.streaming import jobs as sj
+
+
+def _item_stream(c, label):
+    """The items of the event log, landed as files and read as a stream, one file per batch."""
+    path = new_path(c.spark, label)
+    items = c.view("v_job_items")
+    items.repartition(3, "event_id").write.parquet(path)
+    return sj.file_stream(c.spark, path, items.schema, files_per_batch=1)
+
+
+@query("stream_counters", """
+    SELECT job_id, count(*) AS total_opinions, count(CASE WHEN outcome = 'ok' THEN 1 END) AS processed, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failed
+    FROM v_job_items GROUP BY job_id""")
+def stream_counters(c):
+    out = new_path(c.spark, "counters")
+    sj.counter_stream(_item_stream(c, "items"), out, new_path(c.spark, "checkpoint"))
+    return sj.latest_counters(c.spark, out).select("job_id", "total_opinions", "processed", "failed")
+
+
+@query("stream_job_state", """
+    SELECT job_id, min(ts) AS started_at, max(ts) AS completed_at,
+      CASE WHEN count(CASE WHEN outcome = 'failed' THEN 1 END) < count(*) THEN 'completed' ELSE 'failed' END AS status
+    FROM v_job_items GROUP BY job_id""")
+def stream_job_state(c):
+    out = new_path(c.spark, "states")
+    sj.counter_stream(_item_stream(c, "items"), out, new_path(c.spark, "checkpoint"))
+    return with_state(sj.latest_counters(c.spark, out)).select("job_id", "started_at", "completed_at", "status")
+
+
+@query("stream_events", """
+    SELECT CAST(floor(event_id / 10) AS BIGINT) AS job_id, count(*) AS total_opinions FROM events GROUP BY 1""")
+def stream_events(c):
+    """The given event file itself as a stream source."""
+    events = sj.file_stream(c.spark, c.path("events"), c.table("events").schema)
+    items = events.select(
+        F.floor(F.col("event_id") / 10).cast("bigint").alias("job_id"), "ts", F.lit("ok").alias("outcome"))
+    out = new_path(c.spark, "events")
+    sj.counter_stream(items, out, new_path(c.spark, "checkpoint"))
+    return sj.latest_counters(c.spark, out).select("job_id", "total_opinions")
+
+
+@query("job_stream", """
+    SELECT job_id, d.doc_id AS opinion_id, priority, 5.0::DOUBLE * n AS estimated_seconds,
+      CASE WHEN d.doc_id % 4 >= 2 THEN 'failed' WHEN d.doc_id % 10 < 3 THEN 'needs_review' ELSE 'completed' END AS status
+    FROM (SELECT *, concat_ws('-', source, lang) AS job_id,
+            CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'low' ELSE 'normal' END AS priority,
+            count(*) OVER (PARTITION BY source, lang) AS n FROM documents) d""")
+def job_stream(c):
+    """Requests per source and language, processed as they arrive with the stand-in model."""
+    docs = c.table("documents").select("doc_id", "source", "lang")
+    requests = docs.groupBy("source", "lang").agg(
+        F.sort_array(F.collect_list("doc_id")).alias("opinion_ids"), F.min("doc_id").alias("submitted_at"),
+    ).select(
+        F.concat_ws("-", "source", "lang").alias("job_id"), "opinion_ids", "submitted_at",
+        F.when(F.col("lang") == "en", "high").when(F.col("lang") == "fr", "low").otherwise("normal").alias("priority"))
+    path, out = new_path(c.spark, "requests"), new_path(c.spark, "outcomes")
+    requests.repartition(2, "job_id").write.parquet(path)
+    opinions = c.view("v_opinions").select("opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text")
+
+    def run_items(items):
+        wanted = opinions.join(items.select("opinion_id").distinct(), "opinion_id", "left_semi")
+        outcomes, _ = run_extraction(wanted)
+        return items.join(sinks.extraction_rows(outcomes), "opinion_id")
+
+    stream = sj.file_stream(c.spark, path, requests.schema, files_per_batch=1)
+    sj.job_stream(stream, run_items, out, new_path(c.spark, "checkpoint"))
+    return c.spark.read.parquet(out).select("job_id", "opinion_id", "priority", "estimated_seconds", "status")
+
+
+@query("stream_ingest_dedup", f"""
+    SELECT DISTINCT opinion_id AS courtlistener_id FROM ({REFS_SQL})""")
+def stream_ingest_dedup(c):
+    path, table = new_path(c.spark, "landed"), new_path(c.spark, "opinions")
+    batch = _refs(c).select(F.col("opinion_id").alias("courtlistener_id"), "cluster_id")
+    batch.repartition(3, "cluster_id").write.parquet(path)
+    si.ingest_stream(sj.file_stream(c.spark, path, batch.schema, files_per_batch=1), "courtlistener_id", table,
+                     new_path(c.spark, "checkpoint"))
+    return c.spark.read.parquet(table).select("courtlistener_id")
