@@ -48,200 +48,179 @@ def _member(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
-def _as(value: Column, name: str, kind: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", kind)
+def _plain(item: Column, kind: str) -> Column:
+    return F.try_variant_get(item, "$", kind)
 
 
-def _text_of(value: Column, name: str) -> Column:
-    return F.when(json_kind(_member(value, name)) == "str", _as(value, name, "string"))
+def _text(item: Column, kind: Column) -> Column:
+    return F.when(kind == "str", _plain(item, "string"))
 
 
-def _number_of(value: Column, name: str) -> Column:
+def _number(item: Column, kind: Column) -> Column:
     """A number, a boolean, or text that spells a number."""
-    kind = json_kind(_member(value, name))
-    spelled = strip(_as(value, name, "string"))
+    spelled = strip(_plain(item, "string"))
     return (
-        F.when(kind.isin("int", "float"), _as(value, name, "double"))
-        .when(kind == "bool", _as(value, name, "boolean").cast("int").cast("double"))
+        F.when(kind.isin("int", "float"), _plain(item, "double"))
+        .when(kind == "bool", _plain(item, "boolean").cast("int").cast("double"))
         .when((kind == "str") & spelled.rlike(_NUMBER), spelled.try_cast("double"))
     )
 
 
-def _whole_of(value: Column, name: str) -> Column:
-    kind = json_kind(_member(value, name))
-    spelled = strip(_as(value, name, "string"))
-    real = _as(value, name, "double")
+def _whole(item: Column, kind: Column) -> Column:
+    spelled = strip(_plain(item, "string"))
+    real = _plain(item, "double")
     return (
-        F.when(kind == "int", _as(value, name, "bigint"))
+        F.when(kind == "int", _plain(item, "bigint"))
         .when((kind == "float") & (real == F.floor(real)), real.try_cast("bigint"))
-        .when(kind == "bool", _as(value, name, "boolean").cast("bigint"))
+        .when(kind == "bool", _plain(item, "boolean").cast("bigint"))
         .when((kind == "str") & spelled.rlike(_WHOLE),
               F.regexp_extract(spelled, r"^([+-]?[0-9]+)", 1).try_cast("bigint"))
     )
 
 
-def _flag_of(value: Column, name: str) -> Column:
-    kind = json_kind(_member(value, name))
-    word = F.lower(_as(value, name, "string"))
-    real = _as(value, name, "double")
+def _flag(item: Column, kind: Column) -> Column:
+    word = F.lower(_plain(item, "string"))
+    real = _plain(item, "double")
     return (
-        F.when(kind == "bool", _as(value, name, "boolean"))
+        F.when(kind == "bool", _plain(item, "boolean"))
         .when(kind.isin("int", "float") & real.isin(0.0, 1.0), real == 1.0)
         .when((kind == "str") & word.isin(*_TRUE_WORDS), F.lit(True))
         .when((kind == "str") & word.isin(*_FALSE_WORDS), F.lit(False))
     )
 
 
-def _moment_ok(value: Column, name: str) -> Column:
-    kind = json_kind(_member(value, name))
-    spelled = _as(value, name, "string")
-    stamp = spelled.rlike(_STAMP) & F.regexp_replace(spelled, "[_t]", "T").try_cast("timestamp").isNotNull()
+def _moment_ok(item: Column, kind: Column) -> Column:
+    spelled = _plain(item, "string")
+    stamp = spelled.rlike(_STAMP) & F.regexp_replace(
+        spelled, "[_t]", "T").try_cast("timestamp").isNotNull()
     return kind.isin("int", "float") | (
         (kind == "str") & F.coalesce(stamp | strip(spelled).rlike(_NUMBER), F.lit(False)))
 
 
-def _issue(name: Column, bad: Column, message: str) -> Column:
-    return F.when(F.coalesce(bad, F.lit(True)), F.concat(name, F.lit(": " + message)))
-
-
-def _required(value: Column, name: str, checks: Column, prefix: Column | None = None) -> Column:
-    label = F.lit(name) if prefix is None else F.concat(prefix, F.lit("." + name))
-    absent = json_kind(_member(value, name)).isNull()
-    return F.when(absent, F.concat(label, F.lit(": Field required"))).otherwise(checks)
-
-
-def _required_text(value: Column, name: str, prefix: Column | None = None) -> Column:
-    label = F.lit(name) if prefix is None else F.concat(prefix, F.lit("." + name))
-    text = _text_of(value, name)
-    return _required(value, name, F.coalesce(
-        _issue(label, text.isNull(), "Input should be a valid string"),
-        _issue(label, F.length(text) == 0, "String should have at least 1 character"),
-    ), prefix)
-
-
-def _required_choice(value: Column, name: str, choices, prefix: Column | None = None) -> Column:
-    label = F.lit(name) if prefix is None else F.concat(prefix, F.lit("." + name))
-    wording = "Input should be one of " + ", ".join(choices)
-    return _required(value, name, _issue(label, ~_text_of(value, name).isin(*choices), wording), prefix)
-
-
-def _optional_text(value: Column, name: str, prefix: Column | None = None) -> Column:
-    label = F.lit(name) if prefix is None else F.concat(prefix, F.lit("." + name))
-    kind = json_kind(_member(value, name))
-    return F.when(~kind.isin("str", "NoneType"),
-                  F.concat(label, F.lit(": Input should be a valid string")))
-
-
-def _share(value: Column, name: str) -> Column:
-    number = _number_of(value, name)
-    return _required(value, name, F.coalesce(
-        _issue(F.lit(name), number.isNull(), "Input should be a valid number"),
-        _issue(F.lit(name), (number < 0) | F.isnan(number), "Input should be greater than or equal to 0"),
-        _issue(F.lit(name), number > 1, "Input should be less than or equal to 1"),
-    ))
-
+# Declared fields: name, kind of check, required, permitted words (fixed values)
+_METADATA_FIELDS = (
+    ("extraction_model", "text", True, ()),
+    ("extraction_timestamp", "moment", True, ()),
+    ("raw_prompt_tokens", "count", True, ()),
+    ("raw_completion_tokens", "count", True, ()),
+)
+_FIELDS = (
+    ("holding", "text", True, ()),
+    ("holding_confidence", "share", True, ()),
+    ("legal_standard", "optional text", False, ()),
+    ("disposition", "choice", True, DISPOSITIONS),
+    ("disposition_confidence", "share", True, ()),
+    ("key_authorities", "list", False, ()),
+    ("dissent_present", "flag", False, ()),
+    ("dissent_summary", "optional text", False, ()),
+    ("concurrence_present", "flag", False, ()),
+    ("concurrence_summary", "optional text", False, ()),
+    ("legal_topics", "filled list", True, ()),
+)
+_AUTHORITY_FIELDS = (
+    ("citation_string", "text", True, ()),
+    ("case_name", "optional text", False, ()),
+    ("citation_context", "text", True, ()),
+    ("citation_type", "choice", True, CITATION_TYPES),
+    ("paragraph_context", "text", True, ()),
+)
 
-def _count(value: Column, name: str) -> Column:
-    number = _whole_of(value, name)
-    return _required(value, name, F.coalesce(
-        _issue(F.lit(name), number.isNull(), "Input should be a valid integer"),
-        _issue(F.lit(name), number < 0, "Input should be greater than or equal to 0"),
-    ))
 
+def _checks(value: Column, fields) -> Column:
+    """The declared fields of an object, each with its member and its rule, as an array."""
+    return F.array(*[
+        F.struct(
+            F.lit(name).alias("name"), F.lit(rule).alias("rule"), F.lit(needed).alias("needed"),
+            F.array(*[F.lit(w) for w in words]).cast("array<string>").alias("words"),
+            _member(value, name).alias("item"),
+        ) for name, rule, needed, words in fields
+    ])
+
+
+def _problem(field: Column) -> Column:
+    """What is wrong with one field, null when nothing is. One lambda serves all fields."""
+    def by_kind(kind: Column) -> Column:
+        item, rule = field.item, field.rule
+        text, number, whole = _text(item, kind), _number(item, kind), _whole(item, kind)
+        size = F.size(_plain(item, "array<variant>"))
+        return (
+            F.when(kind.isNull(), F.when(field.needed, "Field required"))
+            .when(rule == "text", F.when(text.isNull(), "Input should be a valid string")
+                  .when(F.length(text) == 0, "String should have at least 1 character"))
+            .when(rule == "optional text",
+                  F.when(~kind.isin("str", "NoneType"), "Input should be a valid string"))
+            .when(rule == "choice", F.when(
+                ~F.coalesce(F.array_contains(field.words, text), F.lit(False)),
+                F.concat(F.lit("Input should be one of "), F.array_join(field.words, ", "))))
+            .when(rule == "share", F.when(number.isNull(), "Input should be a valid number")
+                  .when((number < 0) | F.isnan(number), "Input should be greater than or equal to 0")
+                  .when(number > 1, "Input should be less than or equal to 1"))
+            .when(rule == "count", F.when(whole.isNull(), "Input should be a valid integer")
+                  .when(whole < 0, "Input should be greater than or equal to 0"))
+            .when(rule == "flag",
+                  F.when(_flag(item, kind).isNull(), "Input should be a valid boolean"))
+            .when(rule == "moment",
+                  F.when(~_moment_ok(item, kind), "Input should be a valid datetime"))
+            .when(rule == "list", F.when(kind != "list", "Input should be a valid list"))
+            .when(rule == "filled list", F.when(kind != "list", "Input should be a valid list")
+                  .when(size == 0, "List should have at least 1 item"))
+        )
 
-def _optional_flag(value: Column, name: str) -> Column:
-    present = json_kind(_member(value, name)).isNotNull()
-    return F.when(present & _flag_of(value, name).isNull(),
-                  F.lit(f"{name}: Input should be a valid boolean"))
+    return let(json_kind(field.item), by_kind)
 
 
-def _members(value: Column, name: str) -> Column:
+def _items(value: Column, name: str) -> Column:
     """Items of an array member, an empty array when it is none."""
-    items = F.when(json_kind(_member(value, name)) == "list", _as(value, name, "array<variant>"))
-    return F.coalesce(items, F.array().cast("array<variant>"))
+    return let(_member(value, name), lambda m: F.coalesce(
+        F.when(json_kind(m) == "list", _plain(m, "array<variant>")), F.array().cast("array<variant>")))
 
 
-def _authority_issues(value: Column) -> Column:
-    def one(item: Column, i: Column) -> Column:
-        at = F.concat(F.lit("key_authorities."), i.cast("string"))
-        whole = F.when(json_kind(item) != "dict", F.concat(at, F.lit(": Input should be an object")))
-        fields = F.array(
-            _required_text(item, "citation_string", at),
-            _optional_text(item, "case_name", at),
-            _required_text(item, "citation_context", at),
-            _required_choice(item, "citation_type", CITATION_TYPES, at),
-            _required_text(item, "paragraph_context", at),
-        )
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(fields)
+def _problems(checks: Column, prefix: Column) -> Column:
+    said = F.transform(checks, lambda f: F.concat(prefix, f["name"], F.lit(": "), _problem(f)))
+    return F.filter(said, lambda m: m.isNotNull())
 
-    return F.flatten(F.transform(_members(value, "key_authorities"), one))
 
+def schema_issues(value: Column, metadata: bool = True) -> Column:
+    """Messages for every field that breaks the declared shape; unknown fields pass."""
+    def authority(item: Column, i: Column) -> Column:
+        at = F.concat(F.lit("key_authorities."), i.cast("string"))
+        return F.when(
+            json_kind(item) != "dict", F.array(F.concat(at, F.lit(": Input should be an object")))
+        ).otherwise(_problems(_checks(item, _AUTHORITY_FIELDS), F.concat(at, F.lit("."))))
 
-def _topic_issues(value: Column) -> Column:
-    return F.transform(_members(value, "legal_topics"), lambda item, i: F.when(
-        json_kind(item) != "str",
-        F.concat(F.lit("legal_topics."), i.cast("string"), F.lit(": Input should be a valid string"))))
+    def topic(item: Column, i: Column) -> Column:
+        return F.when(json_kind(item) != "str", F.concat(
+            F.lit("legal_topics."), i.cast("string"), F.lit(": Input should be a valid string")))
 
+    fields = _FIELDS + (_METADATA_FIELDS if metadata else ())
+    topics = F.filter(F.transform(_items(value, "legal_topics"), topic), lambda m: m.isNotNull())
+    return F.concat(
+        _problems(_checks(value, fields), F.lit("")),
+        F.flatten(F.transform(_items(value, "key_authorities"), authority)), topics)
 
-def _metadata_issues(value: Column) -> list[Column]:
-    return [
-        _required_text(value, "extraction_model"),
-        _required(value, "extraction_timestamp", _issue(
-            F.lit("extraction_timestamp"), ~_moment_ok(value, "extraction_timestamp"),
-            "Input should be a valid datetime")),
-        _count(value, "raw_prompt_tokens"),
-        _count(value, "raw_completion_tokens"),
-    ]
 
+def read_intelligence(value: Column) -> Column:
+    """Typed record of a value that passed :func:`schema_issues`."""
+    def words(item: Column, *names: str) -> list[Column]:
+        return [F.try_variant_get(item, f"$.{n}", "string").alias(n) for n in names]
 
-def schema_issues(value: Column, metadata: bool = True) -> Column:
-    """Messages for every field that breaks the declared shape; unknown fields pass."""
-    topics_kind = json_kind(_member(value, "legal_topics"))
-    topics = _required(value, "legal_topics", F.coalesce(
-        _issue(F.lit("legal_topics"), topics_kind != "list", "Input should be a valid list"),
-        _issue(F.lit("legal_topics"), F.size(_members(value, "legal_topics")) == 0,
-               "List should have at least 1 item"),
-    ))
-    authorities_kind = json_kind(_member(value, "key_authorities"))
-    single = F.array(
-        _required_text(value, "holding"),
-        _share(value, "holding_confidence"),
-        _optional_text(value, "legal_standard"),
-        _required_choice(value, "disposition", DISPOSITIONS),
-        _share(value, "disposition_confidence"),
-        F.when(authorities_kind != "list", F.lit("key_authorities: Input should be a valid list")),
-        _optional_flag(value, "dissent_present"),
-        _optional_text(value, "dissent_summary"),
-        _optional_flag(value, "concurrence_present"),
-        _optional_text(value, "concurrence_summary"),
-        topics,
-        *(_metadata_issues(value) if metadata else []),
-    )
-    issues = F.concat(single, _authority_issues(value), _topic_issues(value))
-    return F.filter(issues, lambda m: m.isNotNull())
+    def typed(name: str, read) -> Column:
+        return let(_member(value, name), lambda m: read(m, json_kind(m)))
 
+    def flag(name: str) -> Column:
+        return F.coalesce(typed(name, _flag), F.lit(False)).alias(name)
 
-def read_intelligence(value: Column) -> Column:
-    """Typed record of a value that passed :func:`schema_issues`."""
-    authorities = F.transform(_members(value, "key_authorities"), lambda a: F.struct(
-        _text_of(a, "citation_string").alias("citation_string"),
-        _text_of(a, "case_name").alias("case_name"),
-        _text_of(a, "citation_context").alias("citation_context"),
-        _text_of(a, "citation_type").alias("citation_type"),
-        _text_of(a, "paragraph_context").alias("paragraph_context"),
-    ))
+    authorities = F.transform(_items(value, "key_authorities"), lambda a: F.struct(
+        *words(a, *[name for name, *_ in _AUTHORITY_FIELDS])))
     return F.struct(
-        _text_of(value, "holding").alias("holding"),
-        _number_of(value, "holding_confidence").alias("holding_confidence"),
-        _text_of(value, "legal_standard").alias("legal_standard"),
-        _text_of(value, "disposition").alias("disposition"),
-        _number_of(value, "disposition_confidence").alias("disposition_confidence"),
+        *words(value, "holding"),
+        typed("holding_confidence", _number).alias("holding_confidence"),
+        *words(value, "legal_standard", "disposition"),
+        typed("disposition_confidence", _number).alias("disposition_confidence"),
         authorities.alias("key_authorities"),
-        F.coalesce(_flag_of(value, "dissent_present"), F.lit(False)).alias("dissent_present"),
-        _text_of(value, "dissent_summary").alias("dissent_summary"),
-        F.coalesce(_flag_of(value, "concurrence_present"), F.lit(False)).alias("concurrence_present"),
-        _text_of(value, "concurrence_summary").alias("concurrence_summary"),
-        F.transform(_members(value, "legal_topics"), lambda t: t.cast("string")).alias("legal_topics"),
+        flag("dissent_present"), *words(value, "dissent_summary"),
+        flag("concurrence_present"), *words(value, "concurrence_summary"),
+        F.transform(_items(value, "legal_topics"), lambda t: t.cast("string")).alias("legal_topics"),
     )
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lexweave.constants import CONFLICTING_TYPES, OPPOSING_DISPOSITIONS
 from lexweave.functions.scoring import age_years, conflict_confidence, level_weight
 from lexweave.operators.skew import ROWS_PER_CELL, pair_join
+from lexweave.runtime import materialize
 
 _SEP = "\x1f"
 PROFILE_COLUMNS = (
@@ -157,24 +158,29 @@ def conflict_pairs(
 ) -> DataFrame:
     """Qualifying pairs as structs ``a`` (the newer opinion) and ``b``, with the overlap.
 
-    Equal dates put the smaller id first.
+    Equal dates put the smaller id first. The profiles feed both sides of two
+    joins and their group counts, so they are written once.
     """
     pairs = None if court_pairs is None else list(court_pairs)
     if pairs is not None:
         courts = sorted({c for p in pairs for c in p})
         prof = prof.filter(F.col("court_id").isin(courts))
+    prof = materialize(prof, "profiles")
     met = _by_disposition(prof, pairs, rows_per_cell).unionByName(
         _by_authority(prof, pairs, rows_per_cell))
     x_first = (F.col("x.date_filed") > F.col("y.date_filed")) | (
         F.col("x.date_filed").eqNullSafe(F.col("y.date_filed"))
         & (F.struct("x.opinion_id", "x.extraction_id") < F.struct("y.opinion_id", "y.extraction_id")))
-    measured = met.withColumns({
-        "shared_topics": F.sort_array(_shared_topics()),
-        "shared_cites": F.array_intersect("x.cites", "y.cites"),
-        "opposing": _opposing(),
-        "conflicting": F.size(_conflict_keys()) > 0,
-        "_x_first": F.coalesce(x_first, F.lit(False)),
-    })
+    # Generated columns are computed once per pair; plain ones would be repeated in
+    # every later expression that mentions them.
+    overlap = F.struct(
+        F.sort_array(_shared_topics()).alias("shared_topics"),
+        F.array_intersect("x.cites", "y.cites").alias("shared_cites"),
+        _opposing().alias("opposing"),
+        (F.size(_conflict_keys()) > 0).alias("conflicting"),
+        F.coalesce(x_first, F.lit(False)).alias("_x_first"),
+    )
+    measured = met.select("x", "y", F.inline(F.array(overlap)))
     return measured.select(
         F.when(F.col("_x_first"), F.col("x")).otherwise(F.col("y")).alias("a"),
         F.when(F.col("_x_first"), F.col("y")).otherwise(F.col("x")).alias("b"),
@@ -217,7 +223,12 @@ def detect_conflicts(
 
 
 def rank_conflicts(conflicts: DataFrame) -> DataFrame:
-    return conflicts.orderBy(F.desc("confidence"), "opinion_a_id", "opinion_b_id")
+    """Conflicts by falling confidence.
+
+    Sorting samples its input first; the written table keeps that from running
+    the pair joins twice.
+    """
+    return materialize(conflicts, "conflicts").orderBy(F.desc("confidence"), "opinion_a_id", "opinion_b_id")
 
 
 def conflict_view(conflicts: DataFrame, opinions: DataFrame, extractions: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexweave.constants import DEFAULT_LEVEL_RANK
 from lexweave.functions.citations import parse_citation
 from lexweave.functions.scoring import age_years, authority_score, level_rank
-from lexweave.operators.skew import ROWS_PER_CELL, pair_join
+from lexweave.operators.skew import ROWS_PER_CELL, heavy_keys, pair_join
 from lexweave.runtime import materialize
 
 DIRECTIONS = ("outgoing", "incoming", "both")
@@ -46,6 +46,7 @@ def graph_walk(
     steps = walk_steps(citations, direction)
     if max_depth > 1:
         steps = materialize(steps, "steps")
+    hubs = not heavy_keys(steps, ["src"], "cells", rows_per_cell).isEmpty()
     names = opinions.select("opinion_id", "case_name", "court_id")
     start = roots.select("root_id").distinct().join(
         opinions.select(F.col("opinion_id").alias("root_id")), "root_id", "left_semi")
@@ -57,7 +58,9 @@ def graph_walk(
         for earlier in levels[1:]:
             seen = seen.unionByName(earlier)
         frontier = level.select("root_id", F.col("opinion_id").alias("src"))
-        reached = pair_join(frontier, steps, ["src"], F.col("root_id"), F.col("dst"), rows_per_cell)
+        reached = (
+            pair_join(frontier, steps, ["src"], F.col("root_id"), F.col("dst"), rows_per_cell)
+            if hubs else frontier.join(steps, "src"))
         fresh = (
             reached.select("root_id", F.col("dst").alias("opinion_id")).distinct()
             .join(seen.select("root_id", "opinion_id"), ["root_id", "opinion_id"], "left_anti")

@@ -24,6 +24,12 @@ def _all_slots(cells: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(cells), F.lit(1)).cast("bigint") - 1))
 
 
+def _by_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fixed hash partitioning: the work of a pair join follows its output, so its
+    partitions must not be merged because their input is small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pair_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Column, right_id: Column,
     rows_per_cell: int = ROWS_PER_CELL,
@@ -34,16 +40,17 @@ def pair_join(
     ``rows_per_cell`` this is a plain join. Otherwise a hot group becomes a grid:
     left rows are hashed to one row of cells and right rows to one column, each
     copied along the other axis, so that every pair meets in exactly one cell and
-    no task sees more than ``rows_per_cell`` rows of either side.
+    no task sees more than ``rows_per_cell`` rows of either side at a time.
     """
     keys = list(keys)
     heavy_left = heavy_keys(left, keys, "_left_cells", rows_per_cell)
     heavy_right = heavy_keys(right, keys, "_right_cells", rows_per_cell)
     heavy = heavy_left.join(heavy_right, keys, "full_outer")
     if heavy.isEmpty():
-        return left.join(right, keys)
+        return _by_keys(left, keys).join(_by_keys(right, keys), keys)
     left = left.join(heavy, keys, "left").withColumn("_row", _slot(left_id, "_left_cells"))
     left = left.withColumn("_col", _all_slots("_right_cells")).drop("_left_cells", "_right_cells")
     right = right.join(heavy, keys, "left").withColumn("_col", _slot(right_id, "_right_cells"))
     right = right.withColumn("_row", _all_slots("_left_cells")).drop("_left_cells", "_right_cells")
-    return left.join(right, [*keys, "_row", "_col"]).drop("_row", "_col")
+    cell = [*keys, "_row", "_col"]
+    return _by_keys(left, cell).join(_by_keys(right, cell), cell).drop("_row", "_col")

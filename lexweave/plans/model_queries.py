@@ -49,11 +49,11 @@ _JUDGED = f"""
 
 @query("json_object_check", f"SELECT opinion_id, {_JSON} AS error FROM v_raw_json")
 def json_object_check(c):
-    return c.view("v_raw_json").select("opinion_id", va.json_error(parse_json(F.col("raw"))).alias("error"))
+    return c.text_view("v_raw_json").select("opinion_id", va.json_error(parse_json(F.col("raw"))).alias("error"))
 
 
 def _objects(c):
-    rows = c.view("v_raw_json").withColumn("value", parse_json(F.col("raw")))
+    rows = c.text_view("v_raw_json").withColumn("value", parse_json(F.col("raw")))
     return rows.filter(json_kind(F.col("value")) == "dict")
 
 
@@ -82,14 +82,14 @@ def review_statuses(c):
 
 @query("validate_extractions", f"SELECT opinion_id, error, stage, status FROM ({_JUDGED})")
 def validate_extractions(c):
-    return va.judge(c.view("v_raw_json")).select("opinion_id", "error", "stage", "status")
+    return va.judge(c.text_view("v_raw_json")).select("opinion_id", "error", "stage", "status")
 
 
 @query("attach_run_metadata", f"""
     SELECT opinion_id, 'gpt-x' AS extraction_model, '2025-01-15T12:00:00Z' AS extraction_timestamp,
       CAST(len(safe) AS BIGINT) AS prompt_tokens, 7::BIGINT AS completion_tokens FROM ({_JUDGED}) WHERE stage = 'ok'""")
 def attach_run_metadata(c):
-    good, _ = va.split_judged(va.judge(c.view("v_raw_json")))
+    good, _ = va.split_judged(va.judge(c.text_view("v_raw_json")))
     patched = va.attach_run_metadata(
         good, F.lit("gpt-x"), F.lit("2025-01-15T12:00:00Z"), F.length("raw").cast("bigint"), F.lit(7).cast("bigint"))
     return patched.select("opinion_id", "extraction_model", "extraction_timestamp", "prompt_tokens", "completion_tokens")
@@ -102,7 +102,7 @@ def attach_run_metadata(c):
       CASE WHEN stage = 'ok' THEN 'constitutional law' ELSE 'unknown' END AS topics,
       CASE WHEN stage = 'ok' THEN status ELSE 'failed' END AS status FROM ({_JUDGED})""")
 def sink_extraction_outcomes(c):
-    outcomes = va.judge(c.view("v_raw_json")).withColumns({
+    outcomes = va.judge(c.text_view("v_raw_json")).withColumns({
         "extraction_model": F.lit("m"), "prompt_tokens": F.lit(1), "completion_tokens": F.lit(1)})
     return sinks.extraction_rows(outcomes).select(
         "opinion_id", "holding", "holding_confidence", "disposition",
@@ -126,7 +126,7 @@ def build_prompts(c):
     SELECT opinion_id, 'The answer was invalid: ' || error || chr(10) || 'It was:' || chr(10) || raw || chr(10) || 'Answer again.'
       AS user_prompt FROM ({_JUDGED}) JOIN v_raw_json USING (opinion_id) WHERE error IS NOT NULL""")
 def build_corrective_prompts(c):
-    _, bad = va.split_judged(va.judge(c.view("v_raw_json")))
+    _, bad = va.split_judged(va.judge(c.text_view("v_raw_json")))
     return bad.select("opinion_id", inf.corrective_prompt(CORRECTIVE, F.col("error"), F.col("raw")).alias("user_prompt"))
 
 

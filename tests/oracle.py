@@ -49,6 +49,9 @@ _KINDS = {
 }
 
 
+CLOCK = {"sql": 0.0}
+
+
 def compare(spark, con, name, job, sql, sf_dir):
     """None when equal, else what differs."""
     got = job(spark, sf_dir)
@@ -57,8 +60,11 @@ def compare(spark, con, name, job, sql, sf_dir):
     mine = dict(got.dtypes)
     if sorted(mine) != sorted(kinds):
         return f"columns {sorted(mine)} != {sorted(kinds)}"
-    a = rows_of(got.columns, [tuple(r) for r in got.collect()])
+    mine_rows = [tuple(r) for r in got.collect()]
+    spent = time.time()
     b = rows_of(want.columns, want.fetchall())
+    CLOCK["sql"] = time.time() - spent
+    a = rows_of(got.columns, mine_rows)
     if len(a) != len(b):
         return f"rows {len(a)} != {len(b)}"
     if a != b:
@@ -95,7 +101,8 @@ def main(argv):
                 problem = None if jobs[name](spark, sf_dir).count() else "no rows"
         except Exception as exc:
             problem = f"{type(exc).__name__}: {str(exc)[:700]}"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        spent = time.time() - start
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {spent:.1f}s (sql {CLOCK['sql']:.1f}s) {problem or ''}", flush=True)
         if problem:
             failed.append(name)
     print(f"{len(names) - len(failed)}/{len(names)} ok; failed: {failed}")
