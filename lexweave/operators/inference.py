@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.constants import MAX_RETRIES, REVIEW_THRESHOLD
-from lexweave.operators.validation import judge
+from lexweave.operators.validation import verdict_column, with_verdict
 from lexweave.runtime import materialize
 
 # A model call: prompts of a batch in, one answer per row out. Columns in:
@@ -100,11 +100,12 @@ def extract_documents(
     tokens, attempts, error) and the log of all attempts.
     """
     rounds = []
+    verdict = verdict_column("content", threshold, strict)
     asked = build_prompts(docs, system, user).select("opinion_id", "system_prompt", "user_prompt")
     for attempt in range(1, max_retries + 2):
         prompts = asked.withColumn("attempt", F.lit(attempt))
         answers = materialize(call_model(prompts, infer), "answers")
-        judged = judge(answers, "content", threshold, strict)
+        judged = with_verdict(answers, verdict)
         checked = judged.withColumn("error", F.coalesce("call_error", "error")).withColumn(
             "valid", F.col("call_error").isNull() & (F.col("stage") == "ok"))
         checked = materialize(checked.drop("call_error", "stage"), "attempts")

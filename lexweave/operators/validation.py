@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.constants import REVIEW_THRESHOLD
-from lexweave.functions.text import let
 from lexweave.functions.intelligence import (
     json_kind, parse_json, read_intelligence, review_status, rule_violations, schema_issues,
 )
+from lexweave.functions.text import let
 
 
 def json_error(value: Column) -> Column:
@@ -38,7 +38,15 @@ def judge(df: DataFrame, raw: str = "raw", threshold: float = REVIEW_THRESHOLD,
     All findings of a row are fields of one bound expression, so the text is
     parsed once and a later filter on ``stage`` carries that expression once.
     """
-    verdict = let(parse_json(F.col(raw)), lambda v: _verdict(v, threshold, strict))
+    return with_verdict(df, verdict_column(raw, threshold, strict))
+
+
+def verdict_column(raw: str, threshold: float = REVIEW_THRESHOLD, strict: bool = True) -> Column:
+    """The findings as one struct; build it once to judge several tables."""
+    return let(parse_json(F.col(raw)), lambda v: _verdict(v, threshold, strict))
+
+
+def with_verdict(df: DataFrame, verdict: Column) -> DataFrame:
     judged = df.withColumn("_verdict", verdict)
     return judged.withColumns({
         name: F.col(f"_verdict.{name}") for name in ("intelligence", "error", "stage", "status")

@@ -1,0 +1,173 @@
+"""Ingestion, sinks, model stages, streams and quality rules on literal rows."""
+
+from datetime import date, datetime
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from lexweave.functions.scoring import court_level, id_from_ref, iso_date
+from lexweave.operators import inference, ingest, jobs, quality
+from lexweave.runtime import new_path
+from lexweave.sources import landed, sinks, tables
+from lexweave.streaming import ingest as si
+from lexweave.streaming import jobs as sj
+
+
+def values(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_court_level_override(spark):
+    rows = [("S", "Texas Supreme Court"), ("FD", "S.D. New York"), ("F", "Fifth Circuit"), ("SS", None), ("zz", None),
+            (None, "Court of Appeals"), ("state", "Supreme Court")]
+    df = spark.createDataFrame(rows, "c string, n string").select(court_level(F.col("c"), F.col("n")).alias("l"))
+    assert [r.l for r in df.collect()] == [
+        "supreme", "district", "appellate", "state_supreme", "specialized", "appellate", "specialized"]
+
+
+def test_ids_and_dates_from_text(spark):
+    df = spark.createDataFrame([("12",), ("https://x/op/7/",), ("https://x/op/7//",), ("x/none/",), ("",), (None,)], "r string")
+    assert [r.i for r in df.select(id_from_ref(F.col("r")).alias("i")).collect()] == [12, 7, 7, None, None, None]
+    df = spark.createDataFrame([("2020-02-29T00:00",), ("2021-02-29",), ("2020-1-1",), ("20200131",), ("bad",), (None,)], "d string")
+    assert [r.d for r in df.select(iso_date(F.col("d")).alias("d")).collect()] == [
+        date(2020, 2, 29), None, None, date(2020, 1, 31), None, None]
+
+
+def test_best_text_order_and_cleaning(spark):
+    rows = [(1, " plain   <b> ", "<p>x</p>", None, None), (2, " \n", "<p>a&amp;b</p>", "h", None), (3, None, "", "<i>h</i>", "x"),
+            (4, None, None, None, "<xml>last</xml>"), (5, "", None, " ", None)]
+    df = spark.createDataFrame(rows, "opinion_id long, plain_text string, html_with_citations string, html string, xml_harvard string")
+    assert values(ingest.with_best_text(df), "opinion_id", "raw_text") == [
+        (1, "plain <b>"), (2, "a&b"), (3, "h"), (4, "last"), (5, "")]
+
+
+def test_sub_opinions_and_quota(spark):
+    rows = [(1, "a", "2020-01-02", []), (2, "a", "2020-01-03", ["5", "http://x/6/", "y"]), (3, "b", None, None)]
+    df = spark.createDataFrame(rows, "cluster_id long, court_id string, date_filed string, subs array<string>")
+    assert values(landed.explode_sub_opinions(df, F.col("subs")), "cluster_id", "opinion_id") == [(1, 1), (2, 5), (2, 6), (3, 3)]
+    assert values(landed.source_clusters(df, ["a", "b"], per_court=1), "cluster_id") == [(2,), (3,)]
+    assert (landed.court_quota(100, 3), landed.court_quota(2, 3), landed.court_quota(5, 0)) == (33, 1, 0)
+
+
+def test_insert_ignore_counts(spark):
+    path = new_path(spark, "table")
+    schema = "courtlistener_id long, v string"
+    sinks.append(spark.createDataFrame([(1, "old")], schema), path)
+    batch = spark.createDataFrame([(1, "x"), (2, "b"), (2, "a"), (3, "c")], schema)
+    report = sinks.insert_ignore(batch, path, "courtlistener_id", [F.col("v")]).first()
+    assert (report.n_batch, report.n_inserted, report.n_skipped) == (4, 2, 2)
+    assert values(spark.read.parquet(path), "courtlistener_id", "v") == [(1, "old"), (2, "a"), (3, "c")]
+
+
+def test_upsert_and_status_update(spark):
+    old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k long, version int, v string")
+    new = spark.createDataFrame([(2, 1, "B"), (3, 1, "c")], "k long, version int, v string")
+    assert values(sinks.upsert(old, new, "k", "version"), "k", "v") == [(1, "a"), (2, "B"), (3, "c")]
+    rows = spark.createDataFrame([(1, "pending"), (2, "pending")], "k long, status string")
+    done = sinks.update_status(rows, spark.createDataFrame([(2, "completed"), (9, "failed")], "k long, status string"), "k")
+    assert values(done, "k", "status", "updated") == [(1, "pending", False), (2, "completed", True)]
+
+
+def test_delete_cascades_and_clears(spark):
+    ops = spark.createDataFrame([(1,), (2,), (3,)], "opinion_id long")
+    ext = spark.createDataFrame([(10, 1), (11, 2)], "extraction_id long, opinion_id long")
+    cit = spark.createDataFrame([(20, 1, 2), (21, 2, 1), (22, 3, 1), (23, 3, None)],
+                                "citation_id long, citing_opinion_id long, cited_opinion_id long")
+    con = spark.createDataFrame([(1, 2), (2, 3)], "opinion_a_id long, opinion_b_id long")
+    kept = sinks.delete_opinions(spark.createDataFrame([(1,)], "opinion_id long"), ops, ext, cit, con)
+    assert values(kept["extractions"], "extraction_id") == [(11,)]
+    assert sorted((r.citation_id, r.cited_opinion_id) for r in kept["citations"].collect()) == [(21, None), (22, None), (23, None)]
+    assert values(kept["conflicts"], "opinion_a_id") == [(2,)]
+
+
+def test_filters_and_pages(spark):
+    df = spark.range(5).select(F.col("id").alias("opinion_id"), F.lit("a").alias("court_id"),
+                               F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("date_filed"))
+    ids = [r.opinion_id for r in tables.list_by_court(df, "a", limit=3, offset=1).collect()]
+    assert ids == [1, 4, 0]
+    assert df.filter(tables.search_filter()).count() == 5
+    assert df.filter(tables.search_filter(court_ids=["b"])).count() == 0
+
+
+def test_prompt_templates(spark):
+    df = spark.createDataFrame([(1, "N {court}", "C", "T")], "opinion_id long, case_name string, court string, raw_text string")
+    row = inference.build_prompts(df, "S", "{case_name}|{court}|{opinion_text}{court}").first()
+    assert row.user_prompt == "N {court}|C|TC" and row.system_prompt == "S"
+    fixed = df.select(inference.corrective_prompt("E:{error_message} P:{previous_output}", F.lit(None).cast("string"), F.lit("x")).alias("p"))
+    assert fixed.first().p == "E:Unknown error P:x"
+
+
+def test_a_failing_row_does_not_fail_its_batch(spark):
+    def infer(batch):
+        if (batch.opinion_id == 3).any():
+            raise RuntimeError("boom")
+        n = len(batch)
+        return pd.DataFrame({"content": ["{}"] * n, "prompt_tokens": [1] * n, "completion_tokens": [1] * n, "call_error": [None] * n})
+
+    docs = spark.range(6).select(F.col("id").alias("opinion_id"), F.lit("n").alias("case_name"), F.lit("c").alias("court"),
+                                 F.lit("t").alias("raw_text"))
+    outcomes, log = inference.extract_documents(docs, infer, "m", "s", "{opinion_text}", "{error_message}", max_retries=1)
+    rows = {r.opinion_id: r for r in outcomes.collect()}
+    assert rows[3].error == "boom" and rows[3].prompt_tokens == 0
+    assert rows[0].attempts == 2 and rows[0].prompt_tokens == 2 and rows[0].status == "needs_review"
+    assert log.count() == 12
+
+
+def test_texts_are_embedded_once(spark):
+    seen = new_path(spark, "calls")
+
+    def embed(texts):
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "b"), (4, None)], "i long, t string")
+    got = inference.embed_texts(rows, "t", embed)
+    assert sorted((r.i, r.embedding and r.embedding[0]) for r in got.collect()) == [(1, 2.0), (2, 2.0), (3, 1.0), (4, None)]
+    assert seen
+
+
+def test_job_states(spark):
+    all_jobs = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (4, 1)], "job_id long, total_opinions long")
+    stamp = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, stamp, "ok"), (1, stamp, "failed"), (2, stamp, "ok"), (3, stamp, "failed")],
+                                   "job_id long, ts timestamp, outcome string")
+    got = {r.job_id: r for r in jobs.job_state(all_jobs, events).collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == ["completed", "running", "failed", "queued"]
+    assert got[2].completed_at is None and got[1].completed_at == stamp
+
+
+def test_histogram_is_cumulative(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 99.0)], "l string, v double")
+    got = {r.le: r.n for r in jobs.event_histogram(df, ["l"], "v", (1.0, 5.0)).collect()}
+    assert got == {"1.0": 1, "5.0": 2, "+Inf": 3}
+
+
+def test_rules_count_violations(spark):
+    df = spark.createDataFrame([(1, "affirmed", 0.5), (1, "odd", 1.5), (None, None, None)],
+                               "opinion_id long, disposition string, holding_confidence double")
+    rules = quality.table_rules("extractions", df)
+    got = {r.rule: r.violations for r in quality.constraint_report(df, "extractions", rules).collect()}
+    assert got == {"opinion_id required": 1, "holding_confidence in range": 1, "disposition in set": 1}
+    assert quality.uniqueness_report(df, "x", ["opinion_id"]).first().violations == 1
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_stream_totals_equal_batch(spark, files):
+    path, out = new_path(spark, "in"), new_path(spark, "out")
+    df = spark.range(100).select((F.col("id") % 7).alias("job_id"), F.timestamp_seconds("id").alias("ts"),
+                                 F.when(F.col("id") % 5 == 0, "failed").otherwise("ok").alias("outcome"))
+    df.repartition(files).write.parquet(path)
+    sj.counter_stream(sj.file_stream(spark, path, df.schema, 1), out, new_path(spark, "cp"))
+    got = values(sj.latest_counters(spark, out), "job_id", "processed", "failed")
+    assert got == values(jobs.job_counters(df), "job_id", "processed", "failed")
+
+
+def test_stream_ingest_adds_each_key_once(spark):
+    path, table, cp = new_path(spark, "in"), new_path(spark, "t"), new_path(spark, "cp")
+    df = spark.range(30).select((F.col("id") % 11).alias("courtlistener_id"), F.col("id").alias("v"))
+    df.repartition(3).write.parquet(path)
+    stream = sj.file_stream(spark, path, df.schema, 1)
+    si.ingest_stream(stream, "courtlistener_id", table, cp)
+    df.withColumn("courtlistener_id", F.col("courtlistener_id") + 5).write.mode("append").parquet(path)
+    si.ingest_stream(sj.file_stream(spark, path, df.schema, 1), "courtlistener_id", table, cp)
+    assert values(spark.read.parquet(table), "courtlistener_id") == [(i,) for i in range(16)]
