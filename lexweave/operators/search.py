@@ -34,6 +34,23 @@ def _units(column: pa.Array) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + NORM_EPSILON)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest scores per row with their ids; equal scores go by least id.
+
+    A partial sort finds the scores. Only rows with more equals at the edge than
+    there is room for are sorted in full.
+    """
+    if scores.shape[1] <= k:
+        return scores, ids
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    top, top_ids = np.take_along_axis(scores, near, axis=1), np.take_along_axis(ids, near, axis=1)
+    edge = top.min(axis=1, keepdims=True)
+    for row in np.flatnonzero((scores >= edge).sum(axis=1) > k):
+        order = np.lexsort((ids[row], -scores[row]))[:k]
+        top[row], top_ids[row] = scores[row][order], ids[row][order]
+    return top, top_ids
+
+
 def _partial_top(queries: np.ndarray, query_ids: list, id_type: pa.DataType, k: int):
     """Per task: the best ``k`` ids of its rows for every query, batch by batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,12 +61,8 @@ def _partial_top(queries: np.ndarray, query_ids: list, id_type: pa.DataType, k:
                 continue
             ids = batch.column("opinion_id").to_numpy(zero_copy_only=False).astype(np.int64)
             scores = queries @ _units(batch.column("embedding")).T
-            best = np.hstack([best, scores])
-            best_ids = np.hstack([best_ids, np.broadcast_to(ids, scores.shape)])
-            if best.shape[1] > k:
-                order = np.lexsort((best_ids, -best), axis=1)[:, :k]
-                best = np.take_along_axis(best, order, axis=1)
-                best_ids = np.take_along_axis(best_ids, order, axis=1)
+            part, part_ids = _best(scores, np.broadcast_to(ids, scores.shape), k)
+            best, best_ids = _best(np.hstack([best, part]), np.hstack([best_ids, part_ids]), k)
         width = best.shape[1]
         if width:
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.scoring import court_level, id_from_ref, iso_date, precedential_status
 from lexweave.operators import ingest, quality
-from lexweave.operators.conflicts import detect_conflicts, profiles
+from lexweave.operators.conflicts import detect_conflicts, opinions_with_extractions, profiles
 from lexweave.plans import sqltext as q
 from lexweave.plans.catalog import query
 from lexweave.plans.corpus import AS_OF
@@ -88,7 +88,7 @@ _STATUS = """CASE precedential_status WHEN 'Published' THEN 'published' WHEN 'Un
 @query("court_level", f"""
     SELECT cluster_id, court_id, {_LEVEL} AS court_level FROM v_clusters JOIN v_courts USING (court_id)""")
 def court_levels(c):
-    rows = c.view("v_clusters").join(F.broadcast(c.view("v_courts")), "court_id")
+    rows = c.view("v_clusters").join(c.view("v_courts"), "court_id")
     return rows.select("cluster_id", "court_id",
                        court_level(F.col("court_code"), F.col("short_name")).alias("court_level"))
 
@@ -108,7 +108,7 @@ def parse_date_prefix(c):
 def _metadata(c):
     """Every landed cluster joined to its opinions and its court."""
     joined = _refs(c).join(c.view("v_landed").select("opinion_id"), "opinion_id").join(
-        F.broadcast(c.view("v_courts")), "court_id", "left")
+        c.view("v_courts"), "court_id", "left")
     return ingest.normalize_metadata(joined)
 
 
@@ -250,10 +250,7 @@ def sink_citations_batch(c):
 
 
 def _sample_conflicts(c):
-    opinions = c.view("v_opinions")
-    from lexweave.operators.conflicts import opinions_with_extractions
-
-    prof = profiles(opinions_with_extractions(opinions, c.extractions()))
+    prof = profiles(opinions_with_extractions(c.view("v_opinions"), c.extractions()))
     return detect_conflicts(prof, F.lit(AS_OF).cast("date")).select("opinion_a_id", "opinion_b_id")
 
 

@@ -32,20 +32,27 @@ def latest_extraction(c):
         "opinion_id", "extraction_id", "created_at", "status")
 
 
-def _requests(c):
-    """One job per source and language, its opinions in order of id."""
-    docs = c.table("documents").select(F.concat_ws("-", "source", "lang").alias("job_id"), "doc_id")
-    return docs.groupBy("job_id").agg(F.sort_array(F.collect_list("doc_id")).alias("opinion_ids"))
+REQUEST_ID = "concat_ws('-', source, lang, CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS STRING))"
+
+
+def requests(c):
+    """One job per source, language and thousand of ids, its opinions in order of id.
+
+    A job never lists more than a thousand opinions, however large a source is.
+    """
+    docs = c.table("documents").select(F.expr(REQUEST_ID).alias("job_id"), "doc_id", "lang")
+    return docs.groupBy("job_id", "lang").agg(
+        F.sort_array(F.collect_list("doc_id")).alias("opinion_ids"), F.min("doc_id").alias("submitted_at"))
 
 
 @query("job_results", f"""
     SELECT j.job_id, CAST(j.pos AS INT) AS pos, j.opinion_id, CASE WHEN x.extraction_id IS NULL THEN 'pending' ELSE o.case_name END AS case_name,
       coalesce(x.status, 'pending') AS status, substr(x.holding, 1, 80) AS preview
-    FROM (SELECT concat_ws('-', source, lang) AS job_id, doc_id AS opinion_id,
-            row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS pos FROM documents) j
+    FROM (SELECT {REQUEST_ID} AS job_id, doc_id AS opinion_id,
+            row_number() OVER (PARTITION BY {REQUEST_ID} ORDER BY doc_id) - 1 AS pos FROM documents) j
     LEFT JOIN ({_LATEST}) x USING (opinion_id) LEFT JOIN v_opinions o USING (opinion_id)""")
 def job_results(c):
-    return jb.job_results(_requests(c), c.view("v_extraction_versions"), c.view("v_opinions")).select(
+    return jb.job_results(requests(c), c.view("v_extraction_versions"), c.view("v_opinions")).select(
         "job_id", "pos", "opinion_id", "case_name", "status", "preview")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexweave.operators.jobs import with_state
 from lexweave.plans.catalog import query
 from lexweave.plans.ingest_queries import REFS_SQL, _refs
+from lexweave.plans.job_queries import REQUEST_ID, requests
 from lexweave.plans.model_queries import run_extraction
 from lexweave.runtime import new_path
 from lexweave.sources import sinks
@@ -53,22 +54,17 @@ def stream_events(c):
     return sj.latest_counters(c.spark, out).select("job_id", "total_opinions")
 
 
-@query("job_stream", """
+@query("job_stream", f"""
     SELECT job_id, d.doc_id AS opinion_id, priority, 5.0::DOUBLE * n AS estimated_seconds,
       CASE WHEN d.doc_id % 4 >= 2 THEN 'failed' WHEN d.doc_id % 10 < 3 THEN 'needs_review' ELSE 'completed' END AS status
-    FROM (SELECT *, concat_ws('-', source, lang) AS job_id,
-            CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'low' ELSE 'normal' END AS priority,
-            count(*) OVER (PARTITION BY source, lang) AS n FROM documents) d""")
+    FROM (SELECT *, CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'low' ELSE 'normal' END AS priority,
+            count(*) OVER (PARTITION BY job_id) AS n FROM (SELECT *, {REQUEST_ID} AS job_id FROM documents)) d""")
 def job_stream(c):
-    """Requests per source and language, processed as they arrive with the stand-in model."""
-    docs = c.table("documents").select("doc_id", "source", "lang")
-    requests = docs.groupBy("source", "lang").agg(
-        F.sort_array(F.collect_list("doc_id")).alias("opinion_ids"), F.min("doc_id").alias("submitted_at"),
-    ).select(
-        F.concat_ws("-", "source", "lang").alias("job_id"), "opinion_ids", "submitted_at",
-        F.when(F.col("lang") == "en", "high").when(F.col("lang") == "fr", "low").otherwise("normal").alias("priority"))
+    """Requests processed as they arrive with the stand-in model."""
+    asked = requests(c).withColumn(
+        "priority", F.when(F.col("lang") == "en", "high").when(F.col("lang") == "fr", "low").otherwise("normal"))
     path, out = new_path(c.spark, "requests"), new_path(c.spark, "outcomes")
-    requests.repartition(2, "job_id").write.parquet(path)
+    asked.repartition(2, "job_id").write.parquet(path)
     opinions = c.view("v_opinions").select("opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text")
 
     def run_items(items):
@@ -76,7 +72,7 @@ def job_stream(c):
         outcomes, _ = run_extraction(wanted)
         return items.join(sinks.extraction_rows(outcomes), "opinion_id")
 
-    stream = sj.file_stream(c.spark, path, requests.schema, files_per_batch=1)
+    stream = sj.file_stream(c.spark, path, asked.schema, files_per_batch=1)
     sj.job_stream(stream, run_items, out, new_path(c.spark, "checkpoint"))
     return c.spark.read.parquet(out).select("job_id", "opinion_id", "priority", "estimated_seconds", "status")
 

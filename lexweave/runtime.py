@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,12 @@ def work_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _private_dir()
+
+
+@lru_cache(maxsize=1)
+def _private_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
