@@ -59,5 +59,5 @@ def extract_and_link(
         F.col("opinion_id").alias("citing_opinion_id"), F.posexplode("key_authorities").alias("pos", "a")
     ).select("citing_opinion_id", "pos", "a.*")
     edges = resolution.resolve_citations(cited, corpus if corpus is not None else opinions)
-    citations = sinks.with_surrogate_id(edges, "citation_id", ["citing_opinion_id", "pos"]).drop("pos")
+    citations = sinks.with_surrogate_id(edges, "citation_id", "citing_opinion_id", "pos").drop("pos")
     return {"extractions": rows, "citations": citations, "attempts": log}

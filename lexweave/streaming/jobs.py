@@ -39,7 +39,8 @@ def job_stream(
 ) -> None:
     """Runs requests as they arrive.
 
-    ``requests`` has ``job_id``, ``opinion_ids``, ``priority``, ``submitted_at``.
+    ``requests`` has ``job_id``, ``opinion_ids``, ``priority``, ``submitted_at`` and
+    may name the ``extraction_model`` to use, which the items keep.
     Each batch is cut into items, keeps the place of a job in the queue as a
     column, and ``run_items`` turns items into outcome rows. A batch writes its
     own folder, so that a repeated batch replaces what it had written; the
@@ -48,6 +49,7 @@ def job_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         items = batch.orderBy(*queue_order()).select(
             "job_id", "priority", "submitted_at",
+            *[m for m in ("extraction_model",) if m in batch.columns],
             estimated_seconds(F.col("opinion_ids")).alias("estimated_seconds"),
             F.posexplode("opinion_ids").alias("pos", "opinion_id"))
         run_items(items).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")

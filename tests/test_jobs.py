@@ -60,6 +60,14 @@ def test_insert_ignore_counts(spark):
     assert values(spark.read.parquet(path), "courtlistener_id", "v") == [(1, "old"), (2, "a"), (3, "c")]
 
 
+def test_row_ids_are_exact_and_bounded(spark):
+    df = spark.createDataFrame([(1, 0), (1, 5), (2, 0)], "owner long, pos int")
+    ids = [r.i for r in sinks.with_surrogate_id(df, "i", "owner", "pos").collect()]
+    assert ids == [1 << 20, (1 << 20) + 5, 2 << 20]
+    with pytest.raises(Exception, match="does not fit"):
+        sinks.with_surrogate_id(df.withColumn("pos", F.lit(1 << 20)), "i", "owner", "pos").collect()
+
+
 def test_upsert_and_status_update(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k long, version int, v string")
     new = spark.createDataFrame([(2, 1, "B"), (3, 1, "c")], "k long, version int, v string")
@@ -115,15 +123,16 @@ def test_a_failing_row_does_not_fail_its_batch(spark):
 
 
 def test_texts_are_embedded_once(spark):
-    seen = new_path(spark, "calls")
+    calls = spark.sparkContext.accumulator(0)
 
     def embed(texts):
+        calls.add(len(texts))
         return [[float(len(t))] for t in texts]
 
     rows = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "b"), (4, None)], "i long, t string")
     got = inference.embed_texts(rows, "t", embed)
     assert sorted((r.i, r.embedding and r.embedding[0]) for r in got.collect()) == [(1, 2.0), (2, 2.0), (3, 1.0), (4, None)]
-    assert seen
+    assert calls.value == 2
 
 
 def test_job_states(spark):
