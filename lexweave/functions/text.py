@@ -6,7 +6,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,3 +67,17 @@ def normalize_whitespace(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Tags, entities, unicode form and white space, in that order."""
     return normalize_whitespace(normalize_unicode(unescape_entities(strip_html(text))))
+
+
+def with_clean_text(df: DataFrame, source: str, output: str) -> DataFrame:
+    """:func:`clean_text` of a column, step by step.
+
+    Each step mentions its input several times; as columns of their own the inputs
+    are computed once, which one nested expression would not ensure.
+    """
+    return (
+        df.withColumn(output, strip_html(F.col(source)))
+        .withColumn(output, unescape_entities(F.col(output)))
+        .withColumn(output, normalize_unicode(F.col(output)))
+        .withColumn(output, normalize_whitespace(F.col(output)))
+    )

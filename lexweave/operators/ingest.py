@@ -60,10 +60,11 @@ def with_best_text(records: DataFrame, output: str = "raw_text") -> DataFrame:
     picked = F.coalesce(*[F.when(~is_blank(F.col(f)), F.col(f)) for f in fields], F.lit(""))
     plain = ~is_blank(F.col("plain_text")) if "plain_text" in fields else F.lit(False)
     rows = records.withColumn("_raw", picked).withColumn("_plain", plain)
-    markup = F.when(~F.col("_plain"), strip_html(F.col("_raw")))
-    body = F.coalesce(unescape_entities(markup), F.col("_raw"))
-    return rows.withColumn(
-        output, normalize_whitespace(normalize_unicode(body))).drop("_raw", "_plain")
+    rows = rows.withColumn("_markup", strip_html(F.when(~F.col("_plain"), F.col("_raw"))))
+    rows = rows.withColumn("_body", F.coalesce(unescape_entities(F.col("_markup")), F.col("_raw")))
+    rows = rows.withColumn("_body", normalize_unicode(F.col("_body")))
+    return rows.withColumn(output, normalize_whitespace(F.col("_body"))).drop(
+        "_raw", "_plain", "_markup", "_body")
 
 
 def split_errors(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -38,7 +38,7 @@ def normalize_whitespace(c):
 
 @query("clean_text", f"SELECT page_id, {q.clean('html')} AS body FROM pages")
 def clean_text(c):
-    return c.pages().select("page_id", tx.clean_text(F.col("html")).alias("body"))
+    return tx.with_clean_text(c.pages(), "html", "body").select("page_id", "body")
 
 
 @query("parse_citation", f"""

@@ -78,13 +78,14 @@ def expected_conflicts(rows, minimum):
     return out
 
 
-@pytest.mark.parametrize("cell", [4, 100000])
-def test_conflicts_equal_brute_force_with_and_without_hot_groups(spark, cell):
+@pytest.mark.parametrize("cell, minimum", [(4, 0.4), (4, 0.5), (25, 0.5), (100000, 0.5)])
+def test_conflicts_equal_brute_force_with_and_without_hot_groups(spark, cell, minimum):
     rows = corpus()
     prof = cf.profiles(spark.createDataFrame(rows, SCHEMA))
-    got = cf.detect_conflicts(prof, F.lit(AS_OF), min_confidence=0.4, rows_per_cell=cell).collect()
+    got = cf.detect_conflicts(prof, F.lit(AS_OF), min_confidence=minimum, rows_per_cell=cell).collect()
     assert len(got) == len({(r.opinion_a_id, r.opinion_b_id) for r in got})
-    want = expected_conflicts(rows, 0.4)
+    want = expected_conflicts(rows, minimum)
+    assert want
     assert {(r.opinion_a_id, r.opinion_b_id) for r in got} == set(want)
     for r in got:
         topic, score = want[(r.opinion_a_id, r.opinion_b_id)]

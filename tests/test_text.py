@@ -33,7 +33,10 @@ def test_whitespace_limits_and_trims_all_kinds(spark):
 
 
 def test_clean_text_runs_the_steps_in_order(spark):
-    assert one(spark, "<div>x&nbsp;&nbsp;y</div><p>&lt;b&gt;</p>", tx.clean_text) == "x y\n<b>"
+    html = "<div>x&nbsp;&nbsp;y</div><p>&lt;b&gt;</p>"
+    assert one(spark, html, tx.clean_text) == "x y\n<b>"
+    df = spark.createDataFrame([(html,), ("a",), (None,)], "h string")
+    assert [r.t for r in tx.with_clean_text(df, "h", "t").collect()] == ["x y\n<b>", "a", None]
 
 
 def cite(spark, text):
