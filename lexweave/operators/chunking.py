@@ -10,16 +10,17 @@ from lexweave.functions.citations import extract_citations
 from lexweave.functions.segments import (
     chunk_document, detect_sections, split_paragraphs, split_sentences,
 )
-from lexweave.functions.text import is_blank
 
 
 def chunk_documents(
     docs: DataFrame, key: str = "opinion_id", text: str = "raw_text",
     target: int = CHUNK_TARGET, limit: int = CHUNK_MAX,
 ) -> DataFrame:
-    """One row per chunk. No shuffle: the place in the array is the chunk number."""
-    usable = docs.filter(~is_blank(F.col(text)))
-    chunks = usable.select(
+    """One row per chunk, none for blank or missing text.
+
+    No shuffle: the place in the array is the chunk number.
+    """
+    chunks = docs.select(
         key, F.posexplode(chunk_document(F.col(text), target, limit)).alias("chunk_index", "c"))
     return chunks.select(key, "chunk_index", "c.*")
 

@@ -72,15 +72,20 @@ def update_status(c):
 
 
 @query("lookup_edges", """
-    SELECT 'outgoing' AS side, citation_id FROM (
-      SELECT * FROM v_citations WHERE citing_opinion_id = 5 ORDER BY citation_id LIMIT 200)
-    UNION ALL SELECT 'incoming', citation_id FROM (
-      SELECT * FROM v_citations WHERE cited_opinion_id = 5 ORDER BY citation_id LIMIT 200 OFFSET 1)""")
+    SELECT 'outgoing' AS side, citing_opinion_id AS opinion_id, citation_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY citing_opinion_id ORDER BY citation_id) AS r FROM v_citations) WHERE r <= 200
+    UNION ALL SELECT 'incoming', cited_opinion_id, citation_id FROM (
+      SELECT *, row_number() OVER (PARTITION BY cited_opinion_id ORDER BY citation_id) AS r FROM v_citations
+      WHERE cited_opinion_id IS NOT NULL) WHERE r BETWEEN 2 AND 201""")
 def lookup_edges(c):
+    """The first page of outgoing edges and a shifted one of incoming edges, for every opinion."""
     edges = c.view("v_citations")
-    out = tables.outgoing_edges(edges, 5).select(F.lit("outgoing").alias("side"), "citation_id")
-    back = tables.incoming_edges(edges, 5, offset=1).select(F.lit("incoming").alias("side"), "citation_id")
-    return out.unionByName(back)
+
+    def side(name, end, offset):
+        return tables.edge_pages(edges, end, offset=offset).select(
+            F.lit(name).alias("side"), F.col(end).alias("opinion_id"), "citation_id")
+
+    return side("outgoing", "citing_opinion_id", 0).unionByName(side("incoming", "cited_opinion_id", 1))
 
 
 @query("relationship_nav", """

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.operators.ranking import page
+from lexweave.operators.ranking import page, top_per_group
 
 
 def point_lookup(df: DataFrame, column: str, value) -> DataFrame:
@@ -73,6 +73,17 @@ def incoming_edges(citations: DataFrame, opinion_id: int, limit: int = 200, offs
                 [F.col("citation_id")], limit, offset)
 
 
+def edge_pages(citations: DataFrame, end: str, limit: int = 200, offset: int = 0) -> DataFrame:
+    """One page of the edges of every opinion at once.
+
+    ``end`` is the column that names the opinion: citing for outgoing edges, cited
+    for incoming ones. Edges come in order of their id.
+    """
+    known = citations.filter(F.col(end).isNotNull())
+    ranked = top_per_group(known, [end], [F.col("citation_id")], offset + limit, rank="_place")
+    return ranked.filter(F.col("_place") > offset).drop("_place")
+
+
 def count_opinions(opinions: DataFrame, court_id: str | None = None) -> DataFrame:
     rows = opinions if court_id is None else opinions.filter(F.col("court_id") == court_id)
     return rows.agg(F.count(F.lit(1)).alias("n"))

@@ -98,6 +98,17 @@ def test_filters_and_pages(spark):
     assert df.filter(tables.search_filter(court_ids=["b"])).count() == 0
 
 
+def test_edges_of_one_opinion_and_pages_of_all(spark):
+    rows = [(i, 1 if i < 6 else 2, i % 2 if i != 7 else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "citation_id long, citing_opinion_id long, cited_opinion_id long")
+    assert [r.citation_id for r in tables.outgoing_edges(df, 1, limit=2, offset=3).collect()] == [3, 4]
+    assert [r.citation_id for r in tables.incoming_edges(df, 1).collect()] == [1, 3, 5]
+    assert values(tables.edge_pages(df, "citing_opinion_id", 2, 1), "citation_id") == [(1,), (2,), (7,), (8,)]
+    ext = spark.createDataFrame([(1, 5, date(2024, 1, 1)), (2, 5, date(2024, 2, 1)), (3, 6, date(2024, 3, 1))],
+                                "extraction_id long, opinion_id long, created_at date")
+    assert [r.extraction_id for r in tables.extractions_of(ext, 5).collect()] == [2, 1]
+
+
 def test_prompt_templates(spark):
     df = spark.createDataFrame([(1, "N {court}", "C", "T")], "opinion_id long, case_name string, court string, raw_text string")
     row = inference.build_prompts(df, "S", "{case_name}|{court}|{opinion_text}{court}").first()

@@ -124,6 +124,11 @@ def test_chunks_lie_in_the_text_and_respect_the_limit(spark):
     assert [c.citation_strings for c in chunks if c.citation_strings] == [["1 U.S. 2"]]
 
 
+def test_blank_text_has_no_chunks(spark):
+    for text in ("", " \n \t", None):
+        assert not one(spark, text, chunk_document)
+
+
 def test_chunking_loses_no_words(spark):
     text = "\n\n".join(f"Paragraph {i} " + "word " * (i % 40) for i in range(300))
     chunks = one(spark, text, lambda t: chunk_document(t, 200, 300))
