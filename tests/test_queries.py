@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from lexweave.plans.catalog import all_queries, all_sql
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-JOBS, SQL = entry.queries(), entry.oracle_sql()
+JOBS, SQL = all_queries(), all_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="data not present")
 
