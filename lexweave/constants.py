@@ -124,3 +124,7 @@ NORM_EPSILON = 1e-10
 LATENCY_BUCKETS = (
     0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0,
 )
+
+# Weight of each kind of evidence for a conflict, and the shared topics and authorities that count in full.
+EVIDENCE_WEIGHTS = {"opposing": 0.30, "conflicting": 0.25, "topics": 0.15, "authorities": 0.15, "levels": 0.10, "age": 0.05}
+TOPICS_FOR_ALL, AUTHORITIES_FOR_ALL = 5.0, 3.0

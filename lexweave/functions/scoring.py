@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexweave.constants import (
+    AUTHORITIES_FOR_ALL, EVIDENCE_WEIGHTS, TOPICS_FOR_ALL,
     COURT_CODE_LEVEL, DEFAULT_LEVEL_RANK, DEFAULT_LEVEL_WEIGHT, LEVEL_RANK, LEVEL_WEIGHT,
     SOURCE_STATUS,
 )
@@ -77,11 +78,11 @@ def conflict_confidence(
     """Weighted evidence for a conflict, at most 1, to four places."""
     mean_age = (age_a + age_b) / 2.0
     total = (
-        F.when(opposing, 0.30).otherwise(0.0)
-        + F.when(conflicting, 0.25).otherwise(0.0)
-        + F.least(topics / 5.0, F.lit(1.0)) * 0.15
-        + F.least(cites / 3.0, F.lit(1.0)) * 0.15
-        + (weight_a + weight_b) / 2.0 * 0.10
-        + F.coalesce(F.greatest(F.lit(0.0), 1.0 - mean_age / 20.0) * 0.05, F.lit(0.0))
+        F.when(opposing, EVIDENCE_WEIGHTS["opposing"]).otherwise(0.0)
+        + F.when(conflicting, EVIDENCE_WEIGHTS["conflicting"]).otherwise(0.0)
+        + F.least(topics / TOPICS_FOR_ALL, F.lit(1.0)) * EVIDENCE_WEIGHTS["topics"]
+        + F.least(cites / AUTHORITIES_FOR_ALL, F.lit(1.0)) * EVIDENCE_WEIGHTS["authorities"]
+        + (weight_a + weight_b) / 2.0 * EVIDENCE_WEIGHTS["levels"]
+        + F.coalesce(F.greatest(F.lit(0.0), 1.0 - mean_age / 20.0) * EVIDENCE_WEIGHTS["age"], F.lit(0.0))
     )
     return F.round(F.least(total, F.lit(1.0)), 4)

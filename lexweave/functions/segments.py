@@ -16,7 +16,9 @@ from lexweave.functions.citations import CORE, extract_citations
 from lexweave.functions.text import let, strip
 
 # Never part of stored text, so it can mark sentence ends.
-_MARK = "\x00"
+# A mark of its own kind: in the marked text a NUL is followed by "m" in a mark and by "n" where the text has one.
+_NUL = "\x00"
+_MARK = _NUL + "m"
 # Letters, numbers and the underscore of any script, as Python's \w has them.
 _SENTENCE_GAP = rf"(?<=[\p{{L}}\p{{N}}_][.!?])[{SPACE_SET}]+(?=[A-Z\"(])"
 
@@ -82,11 +84,13 @@ def split_sentences(text: Column) -> Column:
     The text is taken apart at citations; gaps are marked in the pieces between
     them only, so a citation's own full stops cannot end a sentence.
     """
+    text = F.replace(text, F.lit(_NUL), F.lit(_NUL + "n"))
     pieces = F.split(text, CORE, -1)
     cites = F.regexp_extract_all(text, F.lit(CORE), 0)
     marked = F.zip_with(pieces, cites, lambda p, c: F.concat(
         F.regexp_replace(p, _SENTENCE_GAP, _MARK), F.coalesce(c, F.lit(""))))
-    return _non_blank(F.split(F.array_join(marked, ""), r"\x00", -1))
+    cut = F.split(F.array_join(marked, ""), r"\x00m", -1)
+    return _non_blank(F.transform(cut, lambda s: F.replace(s, F.lit(_NUL + "n"), F.lit(_NUL))))
 
 
 def split_paragraphs(text: Column) -> Column:

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.constants import CONFLICTING_TYPES, OPPOSING_DISPOSITIONS
+from lexweave.constants import CONFLICTING_TYPES, EVIDENCE_WEIGHTS, OPPOSING_DISPOSITIONS, TOPICS_FOR_ALL
 from lexweave.functions.scoring import age_years, conflict_confidence, level_weight
 from lexweave.operators.skew import ROWS_PER_CELL, pair_join
 from lexweave.runtime import materialize
@@ -112,70 +112,52 @@ def _keep_pairs(pairs: DataFrame, court_pairs) -> DataFrame:
     return out.filter(key.isin(wanted))
 
 
-def _frequent_topics(prof: DataFrame, rows: int) -> list[str]:
-    """Topics on more than ``rows`` profiles and over a thousandth of all entries.
+def _one_topic_at_most() -> float:
+    """Highest confidence by opposing dispositions and one topic, with no shared authority and no age."""
+    return (EVIDENCE_WEIGHTS["opposing"] + EVIDENCE_WEIGHTS["topics"] / TOPICS_FOR_ALL
+            + EVIDENCE_WEIGHTS["levels"] + EVIDENCE_WEIGHTS["age"])
 
-    There are fewer than a thousand such topics whatever the size of the data.
-    """
-    counts = prof.select(F.explode("topics").alias("topic")).groupBy("topic").agg(
-        F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    return [r.topic for r in counts.filter(F.col("n") > max(rows, total / 1000)).collect()]
-
-
-def _weak_bound(prof: DataFrame, as_of: Column) -> float:
-    """Highest confidence by opposing dispositions and one topic, with no shared authority."""
-    age = age_years(as_of, F.col("date_filed"))
-    one = F.lit(1.0)
-    best = conflict_confidence(
-        F.lit(True), F.lit(False), F.lit(1), F.lit(0), one, one, F.min(age), F.min(age))
-    return prof.agg(best.alias("best")).first().best
-
-
-def _topic_keys(frequent: Column) -> Column:
-    """Keys of a row: each topic, or for frequent ones each pair and each (topic, authority)."""
-    hot = F.array_intersect("topics", frequent)
-    single = F.transform(F.array_except("topics", frequent), lambda t: F.concat(F.lit("t" + _SEP), t))
-    pairs = F.flatten(F.transform(hot, lambda t, i: F.transform(
-        F.slice(hot, i + 2, F.size(hot)), lambda u: F.concat(F.lit("p" + _SEP), t, F.lit(_SEP), u))))
-    cited = F.flatten(F.transform(hot, lambda t: F.transform(
+
+def _topic_keys(strict: bool) -> Column:
+    """Keys of a row: its topics, or if ``strict`` its pairs of topics and its (topic, authority) pairs."""
+    if not strict:
+        return F.col("topics")
+    pairs = F.flatten(F.transform("topics", lambda t, i: F.transform(
+        F.slice("topics", i + 2, F.size("topics")), lambda u: F.concat(F.lit("p" + _SEP), t, F.lit(_SEP), u))))
+    cited = F.flatten(F.transform("topics", lambda t: F.transform(
         "cites", lambda name: F.concat(F.lit("c" + _SEP), t, F.lit(_SEP), name))))
-    return F.concat(single, pairs, cited)
+    return F.concat(pairs, cited)
 
 
-def _least_topic_key(frequent: Column) -> Column:
+def _least_topic_key(strict: bool) -> Column:
     """The one key under which a pair is kept."""
-    rare = F.array_except(_shared_topics(), frequent)
-    hot = F.sort_array(F.array_intersect(_shared_topics(), frequent))
-    first, second = F.get(hot, F.lit(0)), F.get(hot, F.lit(1))
+    shared = F.sort_array(_shared_topics())
+    first, second = F.get(shared, F.lit(0)), F.get(shared, F.lit(1))
+    if not strict:
+        return first
     name = F.array_min(F.array_intersect("x.cites", "y.cites"))
-    return (
-        F.when(F.size(rare) > 0, F.concat(F.lit("t" + _SEP), F.array_min(rare)))
-        .when(F.size(hot) > 1, F.concat(F.lit("p" + _SEP), first, F.lit(_SEP), second))
-        .otherwise(F.concat(F.lit("c" + _SEP), first, F.lit(_SEP), name))
-    )
+    return F.when(F.size(shared) > 1, F.concat(F.lit("p" + _SEP), first, F.lit(_SEP), second)).otherwise(
+        F.concat(F.lit("c" + _SEP), first, F.lit(_SEP), name))
 
 
-def _by_disposition(prof: DataFrame, court_pairs, cell: int, frequent: Sequence[str] = ()) -> DataFrame:
+def _by_disposition(prof: DataFrame, court_pairs, cell: int, strict: bool = False) -> DataFrame:
     """Left rows hold the first disposition of an opposing pair, right rows the second.
 
-    Under ``frequent`` topics a pair is met only if it shares a second topic or an
-    authority; the caller names such topics when less evidence cannot suffice.
+    If ``strict``, a pair is met only if it shares a second topic or an authority;
+    the caller asks for it when less evidence cannot suffice.
     """
-    hot = F.array(*[F.lit(t) for t in frequent]).cast("array<string>")
-
     def rows(side: int, name: str) -> DataFrame:
         tags = F.filter(F.array(*[
             F.when(F.col("disposition") == pair[side], F.lit(n))
             for n, pair in enumerate(OPPOSING_DISPOSITIONS)
         ]), lambda t: t.isNotNull())
-        keyed = prof.withColumn("_tag", F.explode(tags)).withColumn("_topic", F.explode(_topic_keys(hot)))
+        keyed = prof.withColumn("_tag", F.explode(tags)).withColumn("_topic", F.explode(_topic_keys(strict)))
         return _side(keyed, name, ["_topic", "_tag"])
 
     met = pair_join(rows(0, "x"), rows(1, "y"), ["_topic", "_tag"],
                     F.col("x.extraction_id"), F.col("y.extraction_id"), cell)
     return _keep_pairs(met, court_pairs).filter(
-        F.col("_topic") == _least_topic_key(hot)).select("x", "y")
+        F.col("_topic") == _least_topic_key(strict)).select("x", "y")
 
 
 def _by_authority(prof: DataFrame, court_pairs, cell: int) -> DataFrame:
@@ -203,28 +185,24 @@ def _by_authority(prof: DataFrame, court_pairs, cell: int) -> DataFrame:
 
 def conflict_pairs(
     prof: DataFrame, court_pairs: Iterable[tuple[str, str]] | None = None,
-    rows_per_cell: int = ROWS_PER_CELL, min_confidence: float = 0.0, as_of: Column | None = None,
+    rows_per_cell: int = ROWS_PER_CELL, min_confidence: float = 0.0,
 ) -> DataFrame:
     """Qualifying pairs as structs ``a`` (the newer opinion) and ``b``, with the overlap.
 
     Equal dates put the smaller id first. The profiles feed both sides of two
     joins and their group counts, so they are written once.
 
-    With ``min_confidence`` and ``as_of``, pairs on a very frequent topic that share
-    nothing else are not met if even the best of them stays below the threshold.
-    All others are returned, also those below it.
+    With a ``min_confidence`` that opposing dispositions and one topic cannot
+    reach, pairs that share nothing else are not met, whatever the size of the
+    data. All others are returned, also those below the threshold.
     """
     pairs = None if court_pairs is None else list(court_pairs)
     if pairs is not None:
         courts = sorted({c for p in pairs for c in p})
         prof = prof.filter(F.col("court_id").isin(courts))
     prof = materialize(prof, "profiles")
-    frequent: list[str] = []
-    if as_of is not None and min_confidence > 0:
-        frequent = _frequent_topics(prof, rows_per_cell)
-        if frequent and (_weak_bound(prof, as_of) or 0.0) >= min_confidence:
-            frequent = []
-    met = _by_disposition(prof, pairs, rows_per_cell, frequent).unionByName(
+    strict = min_confidence > round(_one_topic_at_most(), 4)
+    met = _by_disposition(prof, pairs, rows_per_cell, strict).unionByName(
         _by_authority(prof, pairs, rows_per_cell))
     x_first = (F.col("x.date_filed") > F.col("y.date_filed")) | (
         F.col("x.date_filed").eqNullSafe(F.col("y.date_filed"))
@@ -270,7 +248,7 @@ def detect_conflicts(
 ) -> DataFrame:
     """Conflicts at or above ``min_confidence``; the threshold applies to the rounded value."""
     scored = score_pairs(
-        conflict_pairs(prof, court_pairs, rows_per_cell, min_confidence, as_of), as_of)
+        conflict_pairs(prof, court_pairs, rows_per_cell, min_confidence), as_of)
     a, b = F.col("a"), F.col("b")
     return scored.filter(F.col("confidence") >= min_confidence).select(
         a.opinion_id.alias("opinion_a_id"), b.opinion_id.alias("opinion_b_id"),
@@ -291,9 +269,10 @@ def rank_conflicts(conflicts: DataFrame) -> DataFrame:
 
 
 def conflict_view(conflicts: DataFrame, opinions: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Conflicts with the names, dates and holdings of both opinions."""
-    cards = opinions.select("opinion_id", "case_name", "date_filed").join(
-        extractions.filter(F.col("status") == "completed").select("opinion_id", "holding"), "opinion_id")
+    """Conflicts with the names, dates and holdings of both opinions; of several completed extractions the last counts."""
+    held = extractions.filter(F.col("status") == "completed").groupBy("opinion_id").agg(
+        F.max_by("holding", "extraction_id").alias("holding"))
+    cards = opinions.select("opinion_id", "case_name", "date_filed").join(held, "opinion_id")
 
     def card(side: str) -> DataFrame:
         return cards.select(*[F.col(c).alias(

@@ -58,30 +58,28 @@ def route_model(model: Column) -> Column:
 
 
 def call_model(prompts: DataFrame, infer: Infer) -> DataFrame:
-    """One call per row, in Arrow batches; a failing batch is retried row by row.
+    """One call per row, never a second one.
 
-    A row that still fails gets its error as a value: one bad row never fails a
-    task, and so never repeats the calls of its neighbours.
+    A row that fails gets its error as a value: one bad row neither fails a task
+    nor repeats the calls of its neighbours.
     """
     extra = [c for c in prompts.columns if c not in ("system_prompt", "user_prompt")]
     kinds = {f.name: f.dataType.simpleString() for f in prompts.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in extra) + ", " + _ANSWER
     names = [part.split()[0] for part in _ANSWER.split(", ")]
 
-    def answers(batch: pd.DataFrame) -> pd.DataFrame:
+    def answer(row: pd.DataFrame) -> pd.DataFrame:
         try:
-            return infer(batch)
+            return infer(row)
         except Exception as exc:
-            if len(batch) == 1:
-                return pd.DataFrame({"content": [None], "prompt_tokens": [0],
-                                     "completion_tokens": [0], "call_error": [str(exc)]})
-            return pd.concat([answers(batch.iloc[[i]]) for i in range(len(batch))], ignore_index=True)
+            return pd.DataFrame({"content": [None], "prompt_tokens": [0],
+                                 "completion_tokens": [0], "call_error": [str(exc)]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 batch = batch.reset_index(drop=True)
-                out = answers(batch).reset_index(drop=True)
+                out = pd.concat([answer(batch.iloc[[i]].reset_index(drop=True)) for i in range(len(batch))], ignore_index=True)
                 yield pd.concat([batch[extra], out[names]], axis=1)
 
     return prompts.mapInPandas(run, schema)

@@ -31,7 +31,8 @@ def ingest_landed(
     refs = landed.explode_sub_opinions(chosen, F.col("sub_opinions")).drop("sub_opinions")
     if opinion_ids is not None:
         refs = refs.join(opinion_ids.toDF("opinion_id"), "opinion_id", "left_semi")
-    texts = ingest.with_best_text(opinions).select("opinion_id", "raw_text")
+    asked = opinions.join(refs.select("opinion_id").distinct(), "opinion_id", "left_semi")  # only these are cleaned
+    texts = ingest.with_best_text(asked).select("opinion_id", "raw_text")
     found, missing = landed.source_lookup(refs, texts, courts)
     records = materialize(ingest.normalize_metadata(found), "records")
     good, bad = ingest.split_errors(records)

@@ -88,24 +88,27 @@ def similarity_topk(
     Blocks bound what is sent to the tasks; any number of queries is served by
     further passes. Exact, ties by least id.
     """
-    rows = (vectors if where is None else vectors.filter(where)).select("opinion_id", "embedding")
+    rows = (vectors if where is None else vectors.filter(where)).select("opinion_id", "embedding").filter("embedding is not null")
     id_type = queries.schema["query_id"].dataType.simpleString()
     arrow_type = pa.string() if id_type == "string" else pa.int64()
     out_type = "string" if id_type == "string" else "bigint"
-    ask = queries.select("query_id", unit(F.col("embedding")).alias("u"))
+    ask = queries.filter("embedding is not null").select("query_id", unit(F.col("embedding")).alias("u"))
     passes = []
     for part in _query_blocks(ask, block):
         ids = [r.query_id for r in part]
         matrix = np.array([r.u for r in part], dtype=np.float64)
-        passes.append(rows.mapInArrow(
-            _partial_top(matrix, ids, arrow_type, k), f"query_id {out_type}, opinion_id bigint, score double"))
+        partial = rows.mapInArrow(
+            _partial_top(matrix, ids, arrow_type, k), f"query_id {out_type}, opinion_id bigint, score double")
+        best = top_per_group(partial, ["query_id"], [F.desc("score"), F.col("opinion_id")], k, rank="rank")
+        # a full block is done with before the next is read, so the driver never holds two
+        passes.append(materialize(best, "hits") if len(part) == block else best)
     if not passes:
         return rows.sparkSession.createDataFrame(
             [], f"query_id {out_type}, opinion_id bigint, score double, rank int")
     merged = passes[0]
     for more in passes[1:]:
         merged = merged.unionByName(more)
-    return top_per_group(merged, ["query_id"], [F.desc("score"), F.col("opinion_id")], k, rank="rank")
+    return merged
 
 
 def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexweave.operators import conflicts as cf
+from lexweave.operators.ranking import top_per_group
 from lexweave.plans.catalog import query
 from lexweave.plans.corpus import AS_OF
 from lexweave.runtime import new_path
@@ -16,7 +17,9 @@ def _joined(c):
 
 
 def _pairs(c):
-    return cf.conflict_pairs(cf.profiles(_joined(c)))
+    """Pairs whose evidence reaches the threshold of a conflict."""
+    scored = cf.score_pairs(cf.conflict_pairs(cf.profiles(_joined(c)), min_confidence=0.5), _as_of())
+    return scored.filter(F.col("confidence") >= 0.5)
 
 
 def _as_of():
@@ -83,7 +86,7 @@ def opinions_with_extractions(c):
         "opinion_id", "extraction_id", "court_id", "court_level", "case_name", "date_filed", "disposition")
 
 
-@query("cross_court_pairs", _sql("SELECT a_id, b_id, court_a, court_b FROM pairs"))
+@query("cross_court_pairs", _sql("SELECT a_id, b_id, court_a, court_b FROM pairs WHERE confidence >= 0.5"))
 def cross_court_pairs(c):
     return _pairs(c).select(
         F.col("a.opinion_id").alias("a_id"), F.col("b.opinion_id").alias("b_id"),
@@ -100,7 +103,7 @@ def court_pair_filter(c):
                         "court_a", "court_b", "topic", "confidence")
 
 
-@query("topic_overlap", _sql("SELECT a_id, b_id, CAST(topic_count AS INT) AS topic_count, topic FROM pairs"))
+@query("topic_overlap", _sql("SELECT a_id, b_id, CAST(topic_count AS INT) AS topic_count, topic FROM pairs WHERE confidence >= 0.5"))
 def topic_overlap(c):
     return _pairs(c).select(
         F.col("a.opinion_id").alias("a_id"), F.col("b.opinion_id").alias("b_id"),
@@ -109,7 +112,7 @@ def topic_overlap(c):
 
 
 @query("shared_authorities", _sql("""
-    SELECT p.a_id, p.b_id, s.name, s.kind_a, s.kind_b FROM pairs p JOIN shared s ON s.a_id = p.a_id AND s.b_id = p.b_id"""))
+    SELECT p.a_id, p.b_id, s.name, s.kind_a, s.kind_b FROM pairs p JOIN shared s ON s.a_id = p.a_id AND s.b_id = p.b_id WHERE confidence >= 0.5"""))
 def shared_authorities(c):
     pairs = _pairs(c)
 
@@ -123,20 +126,20 @@ def shared_authorities(c):
         kind("a").alias("kind_a"), kind("b").alias("kind_b"))
 
 
-@query("opposing_dispositions", _sql("SELECT a_id, b_id, disp_a, disp_b FROM pairs WHERE opposing"))
+@query("opposing_dispositions", _sql("SELECT a_id, b_id, disp_a, disp_b FROM pairs WHERE confidence >= 0.5 AND opposing"))
 def opposing_dispositions(c):
     return _pairs(c).filter("opposing").select(
         F.col("a.opinion_id").alias("a_id"), F.col("b.opinion_id").alias("b_id"),
         F.col("a.disposition").alias("disp_a"), F.col("b.disposition").alias("disp_b"))
 
 
-@query("conflicting_citation_types", _sql("SELECT a_id, b_id FROM pairs WHERE conflicting"))
+@query("conflicting_citation_types", _sql("SELECT a_id, b_id FROM pairs WHERE confidence >= 0.5 AND conflicting"))
 def conflicting_citation_types(c):
     return _pairs(c).filter("conflicting").select(
         F.col("a.opinion_id").alias("a_id"), F.col("b.opinion_id").alias("b_id"))
 
 
-@query("intersections", _sql("SELECT a_id, b_id, len(topics) AS topics, cite_count AS cites FROM pairs"))
+@query("intersections", _sql("SELECT a_id, b_id, len(topics) AS topics, cite_count AS cites FROM pairs WHERE confidence >= 0.5"))
 def intersections(c):
     return _pairs(c).select(
         F.col("a.opinion_id").alias("a_id"), F.col("b.opinion_id").alias("b_id"),
@@ -150,7 +153,7 @@ def last_type_per_authority(c):
     return cf.last_type_per_authority(c.view("v_citations"))
 
 
-@query("conflict_description", _sql("SELECT a_id, b_id, description FROM pairs"))
+@query("conflict_description", _sql("SELECT a_id, b_id, description FROM pairs WHERE confidence >= 0.5"))
 def conflict_description(c):
     a, b = F.col("a"), F.col("b")
     return _pairs(c).select(
@@ -158,9 +161,9 @@ def conflict_description(c):
         cf.describe(a, b, F.col("opposing"), F.col("conflicting")).alias("description"))
 
 
-@query("conflict_confidence", _sql("SELECT a_id, b_id, confidence FROM pairs"))
+@query("conflict_confidence", _sql("SELECT a_id, b_id, confidence FROM pairs WHERE confidence >= 0.5"))
 def conflict_confidence(c):
-    return cf.score_pairs(_pairs(c), _as_of()).select(
+    return _pairs(c).select(
         F.col("a.opinion_id").alias("a_id"), F.col("b.opinion_id").alias("b_id"), "confidence")
 
 
@@ -193,7 +196,8 @@ def sink_conflicts(c):
     """Two overlapping runs fill the conflicts table; a pair known to it is skipped."""
     prof, path = cf.profiles(_joined(c)), new_path(c.spark, "conflicts")
     keys = ["opinion_a_id", "opinion_b_id"]
-    sinks.append(cf.detect_conflicts(prof, _as_of()), path)
+    first = cf.detect_conflicts(prof, _as_of())
+    sinks.append(top_per_group(first, keys, [F.desc("confidence")], 1), path)
     second = cf.detect_conflicts(prof, _as_of(), court_pairs=[("ca5", "ca9")], min_confidence=0.45)
     sinks.insert_ignore(second, path, keys, [F.desc("confidence")])
     return c.spark.read.parquet(path).select(*keys, "confidence")

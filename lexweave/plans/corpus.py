@@ -30,6 +30,13 @@ def _filed(key: str) -> str:
     return f"date '2000-01-01' + CAST({key} * 37 % 8766 AS INT)"
 
 
+_VERSIONS = f"""
+    SELECT doc_id * 3 + k AS extraction_id, doc_id AS opinion_id,
+      date '2024-01-01' + CAST((doc_id + k * 7) % 30 AS INT) AS created_at,
+      concat('Version ', CAST(k AS STRING), ' for ', CAST(doc_id AS STRING), ' by ', source) AS holding,
+      {_pick('pending,completed,failed,needs_review', '(doc_id + k)')} AS status
+    FROM documents CROSS JOIN (VALUES (0),(1),(2)) t(k)"""
+
 VIEWS = {
     "v_opinions": f"""
         SELECT doc_id AS opinion_id, doc_id + 70000 AS courtlistener_id,
@@ -139,12 +146,8 @@ VIEWS = {
           {_pick(_COURTS, 'vec_id')} AS jurisdiction,
           {_pick(_LEVELS, 'vec_id')} AS court_level, {_filed('vec_id')} AS date_filed
         FROM embeddings""",
-    "v_extraction_versions": f"""
-        SELECT doc_id * 3 + k AS extraction_id, doc_id AS opinion_id,
-          date '2024-01-01' + CAST((doc_id + k * 7) % 30 AS INT) AS created_at,
-          concat('Version ', CAST(k AS STRING), ' for ', CAST(doc_id AS STRING), ' by ', source) AS holding,
-          {_pick('pending,completed,failed,needs_review', '(doc_id + k)')} AS status
-        FROM documents CROSS JOIN (VALUES (0),(1),(2)) t(k) WHERE lang <> 'fr'""",
+    "v_extraction_versions": _VERSIONS,
+    "v_begun_versions": _VERSIONS + " WHERE lang <> 'fr'",
     "v_job_items": """
         SELECT event_id, CAST(floor(event_id / 10) AS BIGINT) AS job_id, event_id % 200 AS opinion_id, ts,
           CASE WHEN CAST(floor(event_id / 10) AS BIGINT) % 13 = 0 OR event_id % 17 = 0 THEN 'failed'

@@ -235,7 +235,7 @@ def sink_append(c):
 
 
 @query("sink_citations_batch", """
-    SELECT citing_opinion_id * 1048576 + citation_id % 4 AS citation_id, citing_opinion_id, citation_string, citation_type
+    SELECT citing_opinion_id || '-' || (citation_id % 4) AS citation_id, citing_opinion_id, citation_string, citation_type
     FROM v_citations""")
 def sink_citations_batch(c):
     path = new_path(c.spark, "citations")

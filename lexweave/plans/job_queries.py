@@ -50,9 +50,9 @@ def requests(c):
       coalesce(x.status, 'pending') AS status, substr(x.holding, 1, 80) AS preview
     FROM (SELECT {REQUEST_ID} AS job_id, doc_id AS opinion_id,
             row_number() OVER (PARTITION BY {REQUEST_ID} ORDER BY doc_id) - 1 AS pos FROM documents) j
-    LEFT JOIN ({_LATEST}) x USING (opinion_id) LEFT JOIN v_opinions o USING (opinion_id)""")
+    LEFT JOIN ({_LATEST.replace("v_extraction_versions", "v_begun_versions")}) x USING (opinion_id) LEFT JOIN v_opinions o USING (opinion_id)""")
 def job_results(c):
-    return jb.job_results(requests(c), c.view("v_extraction_versions"), c.view("v_opinions")).select(
+    return jb.job_results(requests(c), c.view("v_begun_versions"), c.view("v_opinions")).select(
         "job_id", "pos", "opinion_id", "case_name", "status", "preview")
 
 

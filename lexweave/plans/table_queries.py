@@ -99,8 +99,8 @@ def relationship_nav(c):
     cited = names.toDF("cited_opinion_id", "cited_name")
     held = c.view("v_extractions").select(
         F.col("opinion_id").alias("citing_opinion_id"), F.col("disposition").alias("citing_disposition"))
-    return (
-        c.view("v_citations").join(citing, "citing_opinion_id").join(held, "citing_opinion_id")
-        .join(cited, "cited_opinion_id", "left")
-        .select("citation_id", "citing_name", "cited_name", "citing_disposition")
-    )
+    edges = c.view("v_citations").join(citing, "citing_opinion_id").join(held, "citing_opinion_id")
+    # links that lead nowhere stay out of the join, where they would all meet in one task
+    known = edges.filter(F.col("cited_opinion_id").isNotNull()).join(cited, "cited_opinion_id", "left")
+    open_ = edges.filter(F.col("cited_opinion_id").isNull()).withColumn("cited_name", F.lit(None).cast("string"))
+    return known.unionByName(open_).select("citation_id", "citing_name", "cited_name", "citing_disposition")

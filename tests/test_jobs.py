@@ -60,12 +60,19 @@ def test_insert_ignore_counts(spark):
     assert values(spark.read.parquet(path), "courtlistener_id", "v") == [(1, "old"), (2, "a"), (3, "c")]
 
 
-def test_row_ids_are_exact_and_bounded(spark):
+def test_row_ids_are_exact_and_unbounded(spark):
     df = spark.createDataFrame([(1, 0), (1, 5), (2, 0)], "owner long, pos int")
     ids = [r.i for r in sinks.with_surrogate_id(df, "i", "owner", "pos").collect()]
-    assert ids == [1 << 20, (1 << 20) + 5, 2 << 20]
-    with pytest.raises(Exception, match="does not fit"):
-        sinks.with_surrogate_id(df.withColumn("pos", F.lit(1 << 20)), "i", "owner", "pos").collect()
+    assert ids == ["1-0", "1-5", "2-0"]
+    far = sinks.with_surrogate_id(df.withColumn("pos", F.lit(1 << 40)), "i", "owner", "pos")
+    assert {r.i for r in far.collect()} == {f"1-{1 << 40}", f"2-{1 << 40}"}
+
+
+def test_two_updates_of_a_key_change_its_row_once(spark):
+    rows = spark.createDataFrame([(1, "pending"), (2, "pending")], "k long, status string")
+    updates = spark.createDataFrame([(2, "failed", 1), (2, "completed", 2)], "k long, status string, at int")
+    done = sinks.update_status(rows, updates, "k", [F.desc("at")])
+    assert sorted(map(tuple, done.collect())) == [(1, "pending", False), (2, "completed", True)]
 
 
 def test_upsert_and_status_update(spark):
