@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexweave.constants import DEFAULT_LEVEL_RANK
 from lexweave.functions.citations import parse_citation
 from lexweave.functions.scoring import age_years, authority_score, level_rank
-from lexweave.operators.skew import ROWS_PER_CELL, heavy_keys, pair_join
+from lexweave.operators.skew import ROWS_PER_CELL, pair_join
 from lexweave.runtime import materialize
 
 DIRECTIONS = ("outgoing", "incoming", "both")
@@ -19,8 +19,7 @@ DIRECTIONS = ("outgoing", "incoming", "both")
 def walk_steps(citations: DataFrame, direction: str) -> DataFrame:
     """Distinct steps ``src`` to ``dst`` of a walk; unresolved links lead nowhere."""
     if direction not in DIRECTIONS:
-        raise ValueError(
-            f"direction must be 'outgoing', 'incoming', or 'both', got {direction!r}")
+        raise ValueError(f"direction must be one of {', '.join(DIRECTIONS)}: {direction!r}")
     edges = citations.select("citing_opinion_id", "cited_opinion_id").filter(
         F.col("cited_opinion_id").isNotNull())
     out = edges.select(F.col("citing_opinion_id").alias("src"), F.col("cited_opinion_id").alias("dst"))
@@ -46,7 +45,6 @@ def graph_walk(
     steps = walk_steps(citations, direction)
     if max_depth > 1:
         steps = materialize(steps, "steps")
-    hubs = not heavy_keys(steps, ["src"], "cells", rows_per_cell).isEmpty()
     names = opinions.select("opinion_id", "case_name", "court_id")
     start = roots.select("root_id").distinct().join(
         opinions.select(F.col("opinion_id").alias("root_id")), "root_id", "left_semi")
@@ -58,9 +56,8 @@ def graph_walk(
         for earlier in levels[1:]:
             seen = seen.unionByName(earlier)
         frontier = level.select("root_id", F.col("opinion_id").alias("src"))
-        reached = (
-            pair_join(frontier, steps, ["src"], F.col("root_id"), F.col("dst"), rows_per_cell)
-            if hubs else frontier.join(steps, "src"))
+        # a node may have many steps, and many roots may stand on one node
+        reached = pair_join(frontier, steps, ["src"], F.col("root_id"), F.col("dst"), rows_per_cell)
         fresh = (
             reached.select("root_id", F.col("dst").alias("opinion_id")).distinct()
             .join(seen.select("root_id", "opinion_id"), ["root_id", "opinion_id"], "left_anti")
@@ -141,6 +138,17 @@ def find_roots(queries: Sequence[str], opinions: DataFrame, extractions: DataFra
         F.min_by("r.opinion_id", F.when(F.col("r.opinion_id").isNotNull(), F.col("turn"))).alias("opinion_id"))
 
 
+def topic_roots(extractions: DataFrame) -> DataFrame:
+    """(topic, root_id): the newest completed extraction of every topic, as :func:`find_roots` picks it.
+
+    One aggregation with map-side combine for any number of topics.
+    """
+    done = extractions.filter(F.col("status") == "completed").select(
+        F.explode(F.array_distinct("legal_topics")).alias("topic"), "opinion_id",
+        F.struct("created_at", "extraction_id").alias("newest"))
+    return done.groupBy("topic").agg(F.max_by("opinion_id", "newest").alias("root_id"))
+
+
 def score_authorities(
     nodes: DataFrame, citations: DataFrame, opinions: DataFrame, as_of: Column, parity: bool = False,
 ) -> DataFrame:

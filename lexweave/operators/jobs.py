@@ -60,6 +60,15 @@ def job_state(jobs: DataFrame, events: DataFrame) -> DataFrame:
         F.min("ts").alias("started_at"), F.max("ts").alias("_last"),
         F.count_if(F.col("outcome") == "ok").alias("processed"),
         F.count_if(F.col("outcome") == "failed").alias("failed"))
+    return declared_states(jobs, seen)
+
+
+def declared_states(jobs: DataFrame, counters: DataFrame) -> DataFrame:
+    """State of every declared job from counters that a table or a stream has brought up to date.
+
+    The number of items is what the request declared, never what was seen so far.
+    """
+    seen = counters.select("job_id", "started_at", "_last", "processed", "failed")
     rows = jobs.select("job_id", "total_opinions").join(seen, "job_id", "left").withColumns({
         "processed": F.coalesce("processed", F.lit(0)), "failed": F.coalesce("failed", F.lit(0))})
     return with_state(rows)

@@ -16,7 +16,7 @@ from lexweave.constants import (
 
 @dataclass(frozen=True)
 class Rule:
-    """``broken`` is true on a violating row; a null counts as no violation."""
+    """``broken`` is true on a violating row; null counts as no violation, so a column that must be filled has ``required`` too."""
 
     name: str
     broken: Column
@@ -52,9 +52,11 @@ def table_rules(table: str, df: DataFrame) -> list[Rule]:
         "opinions": [
             ("opinion_id", required("opinion_id")),
             ("court_id", non_empty("court_id")),
+            ("court_level", required("court_level")),
             ("court_level", member("court_level", COURT_LEVELS)),
             ("case_name", non_empty("case_name")),
             ("date_filed", required("date_filed")),
+            ("precedential_status", required("precedential_status")),
             ("precedential_status", member("precedential_status", PRECEDENTIAL_STATUSES)),
             ("raw_text", non_empty("raw_text")),
             ("citation_count", at_least("citation_count", 0)),
@@ -63,8 +65,10 @@ def table_rules(table: str, df: DataFrame) -> list[Rule]:
             ("opinion_id", required("opinion_id")),
             ("holding", non_empty("holding")),
             ("holding_confidence", within("holding_confidence", 0.0, 1.0)),
+            ("disposition", required("disposition")),
             ("disposition", member("disposition", DISPOSITIONS)),
             ("disposition_confidence", within("disposition_confidence", 0.0, 1.0)),
+            ("status", required("status")),
             ("status", member("status", EXTRACTION_STATUSES)),
             ("prompt_tokens", at_least("prompt_tokens", 0)),
             ("completion_tokens", at_least("completion_tokens", 0)),
@@ -72,6 +76,7 @@ def table_rules(table: str, df: DataFrame) -> list[Rule]:
         "citations": [
             ("citing_opinion_id", required("citing_opinion_id")),
             ("citation_string", non_empty("citation_string")),
+            ("citation_type", required("citation_type")),
             ("citation_type", member("citation_type", CITATION_TYPES)),
             ("citation_context", non_empty("citation_context")),
             ("paragraph_context", non_empty("paragraph_context")),
@@ -82,6 +87,7 @@ def table_rules(table: str, df: DataFrame) -> list[Rule]:
             ("court_b", non_empty("court_b")),
             ("description", non_empty("description")),
             ("confidence", within("confidence", 0.0, 1.0)),
+            ("status", required("status")),
             ("status", member("status", CONFLICT_STATUSES)),
         ],
         "chunks": [
@@ -90,7 +96,7 @@ def table_rules(table: str, df: DataFrame) -> list[Rule]:
             ("start_char", at_least("start_char", 0)),
             ("end_char", at_least("end_char", 0)),
         ],
-        "jobs": [("status", member("status", JOB_STATUSES))],
+        "jobs": [("status", required("status")), ("status", member("status", JOB_STATUSES))],
     }
     return _present(df, rules[table])
 
@@ -106,6 +112,16 @@ def constraint_report(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataF
         "table_name", "r.rule", "r.violations")
 
 
+def link_report(
+    df: DataFrame, table: str, column: str, parent: DataFrame, parent_table: str, key: str,
+) -> DataFrame:
+    """Rows whose ``column`` names no row of ``parent``; null is no link. Equal links are counted before the join."""
+    links = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    lost = links.join(parent.select(key), key, "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+    return lost.select(
+        F.lit(table).alias("table_name"), F.lit(f"{column} in {parent_table}").alias("rule"), "violations")
+
+
 def uniqueness_report(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     """Rows beyond the first of every key."""
     extra = df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("extra"))

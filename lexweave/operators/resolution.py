@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.citations import extract_citations, parse_citation
+from lexweave.operators.skew import pair_join
 from lexweave.runtime import materialize
 
 _VOLUME, _PAGE = "v", "p"
@@ -90,7 +91,8 @@ def _resolve_by_numbers(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
         F.when(by_volume, _PAGE).otherwise(_VOLUME).alias("_kind"),
         F.when(by_volume, page_no).otherwise(volume).alias("_number"),
     )
-    near = probes.join(index, ["kind", "number"]).select(
+    # a common number stands in very many texts and is asked for by many pairs
+    near = pair_join(probes, index, ["kind", "number"], F.struct("volume", "page"), F.col("opinion_id")).select(
         "volume", "page", "opinion_id", F.col("place").alias("_place"),
         F.col("_kind").alias("kind"), F.col("_number").alias("number"))
     both = near.join(index, ["kind", "number", "opinion_id"])
@@ -130,7 +132,8 @@ def _names_containing(terms: DataFrame, names: DataFrame) -> DataFrame:
     counts = index.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     probes = pieces.join(counts, "piece").groupBy("term").agg(
         F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    return probes.join(index, "piece").filter(F.col("name").contains(F.col("term"))).select("term", "name")
+    met = pair_join(probes, index, ["piece"], F.col("term"), F.col("name"))
+    return met.filter(F.col("name").contains(F.col("term"))).select("term", "name")
 
 
 def resolve_fuzzy(queries: DataFrame, opinions: DataFrame) -> DataFrame:
@@ -173,10 +176,17 @@ def resolve_citations(authorities: DataFrame, opinions: DataFrame, mode: str = "
         & F.col("k.year").eqNullSafe(F.col("f.year")))
     resolved = left.join(right, on, "left").select(
         "k.citation_string", "k.case_name", F.coalesce("k.exact_id", "f.fuzzy_id").alias("cited_opinion_id"))
-    a, r = authorities.alias("a"), resolved.alias("r")
-    same = (F.col("a.citation_string") == F.col("r.citation_string")) & F.col("a.case_name").eqNullSafe(
-        F.col("r.case_name"))
-    return a.join(r, same, "left").select("a.*", "r.cited_opinion_id")
+    # A landmark is cited by a large share of all rows, so its rows are split. Every row finds its one
+    # resolved pair, but for rows without a string, which are kept apart.
+    name = F.coalesce(F.concat(F.lit("="), F.col("case_name")), F.lit("")).alias("_name")
+    columns = authorities.columns
+    asked = authorities.filter(F.col("citation_string").isNotNull()).select("*", name)
+    found = resolved.filter(F.col("citation_string").isNotNull()).select("citation_string", name, "cited_opinion_id")
+    joined = pair_join(
+        asked, found, ["citation_string", "_name"], F.struct(*columns), F.col("cited_opinion_id")).select(
+        *columns, "cited_opinion_id")
+    return joined.unionByName(authorities.filter(F.col("citation_string").isNull()).withColumn(
+        "cited_opinion_id", F.lit(None).cast("bigint")))
 
 
 def resolution_stats(edges: DataFrame) -> DataFrame:

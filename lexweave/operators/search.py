@@ -169,6 +169,13 @@ def search_results(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     return hits.join(payload, "opinion_id").withColumn("relevance_score", clamp_score(F.col("score")))
 
 
+def search_hits(
+    points: DataFrame, queries: DataFrame, k: int, lambda_mult: float = 0.7, where: Column | None = None,
+) -> DataFrame:
+    """What a caller gets: the chosen points in order with their whole payload and a score in [0, 1]."""
+    return search_results(mmr_search(points, queries, k, lambda_mult, where), points)
+
+
 def pairwise_diversity(rows: DataFrame, group: str) -> DataFrame:
     """Mean of one minus cosine over all pairs of every group, 0 for a single row.
 

@@ -148,6 +148,37 @@ VIEWS = {
         FROM embeddings""",
     "v_extraction_versions": _VERSIONS,
     "v_begun_versions": _VERSIONS + " WHERE lang <> 'fr'",
+    # rows of the stored tables that break their rules now and then
+    "v_damaged_extractions": f"""
+        SELECT CASE WHEN doc_id % 23 = 0 THEN NULL ELSE doc_id + 20 END AS opinion_id,
+          CASE WHEN doc_id % 13 = 0 THEN '' ELSE source END AS holding,
+          CAST(doc_id % 101 AS DOUBLE) / 90 AS holding_confidence, CAST(doc_id % 101 AS DOUBLE) / 95 AS disposition_confidence,
+          nullif({_pick('affirmed,reversed,acquitted,none', 'doc_id')}, 'none') AS disposition,
+          nullif({_pick('completed,failed,lost,none', 'doc_id')}, 'none') AS status,
+          doc_id % 7 - 1 AS prompt_tokens, doc_id % 5 - 1 AS completion_tokens
+        FROM documents""",
+    "v_damaged_citations": f"""
+        SELECT CASE WHEN doc_id % 23 = 0 THEN NULL ELSE doc_id + 20 END AS citing_opinion_id,
+          CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id * 2 END AS cited_opinion_id,
+          CASE WHEN doc_id % 11 = 0 THEN '' ELSE concat(CAST(doc_id AS STRING), ' U.S. 1') END AS citation_string,
+          nullif({_pick('followed,cited,liked,none', 'doc_id')}, 'none') AS citation_type,
+          CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source END AS citation_context,
+          CASE WHEN doc_id % 19 = 0 THEN '' ELSE lang END AS paragraph_context
+        FROM documents""",
+    "v_damaged_conflicts": f"""
+        SELECT CAST(floor(doc_id / 2) * 2 + 20 AS BIGINT) AS opinion_a_id, CAST(floor(doc_id / 2) * 2 + 21 AS BIGINT) AS opinion_b_id,
+          nullif(source, 'src1') AS topic, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'ca1' END AS court_a,
+          CASE WHEN doc_id % 17 = 0 THEN NULL ELSE 'ca2' END AS court_b,
+          CASE WHEN doc_id % 19 = 0 THEN '' ELSE lang END AS description,
+          CAST(doc_id % 101 AS DOUBLE) / 90 AS confidence,
+          nullif({_pick('detected,guessed,none', 'doc_id')}, 'none') AS status
+        FROM documents""",
+    "v_damaged_chunks": """
+        SELECT doc_id % 5 - 1 AS chunk_index, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS text,
+          doc_id % 7 - 1 AS start_char, doc_id % 11 - 1 AS end_char
+        FROM documents""",
+    "v_damaged_jobs": f"""
+        SELECT nullif({_pick('completed,failed,lost,none', 'event_id')}, 'none') AS status FROM events""",
     "v_job_items": """
         SELECT event_id, CAST(floor(event_id / 10) AS BIGINT) AS job_id, event_id % 200 AS opinion_id, ts,
           CASE WHEN CAST(floor(event_id / 10) AS BIGINT) % 13 = 0 OR event_id % 17 = 0 THEN 'failed'

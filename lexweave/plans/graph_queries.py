@@ -1,4 +1,4 @@
-"""Citation graph: walks from every opinion, edges, degrees and ranking."""
+"""Citation graph: walks from the opinions that topics lead to, edges, degrees and ranking."""
 
 from __future__ import annotations
 
@@ -14,7 +14,13 @@ _BACK = "SELECT cited_opinion_id AS src, citing_opinion_id AS dst FROM v_citatio
 _BOTH = f"{_OUT} UNION {_BACK}"
 
 
-def _walk(name: str, steps: str, depth: int, roots: str = "SELECT opinion_id FROM v_opinions") -> str:
+_ROOTS = """
+    SELECT DISTINCT opinion_id FROM (
+      SELECT t.opinion_id, row_number() OVER (PARTITION BY topic ORDER BY created_at DESC, extraction_id DESC) AS r
+      FROM v_topics t JOIN v_extractions e USING (opinion_id) WHERE status = 'completed') WHERE r = 1"""
+
+
+def _walk(name: str, steps: str, depth: int, roots: str = _ROOTS) -> str:
     """Breadth-first by repeated union of distinct rows; the least depth is taken later."""
     return f"""
       {name} AS (
@@ -28,7 +34,8 @@ def _least(name: str) -> str:
 
 
 def _roots(c):
-    return c.view("v_opinions").select(F.col("opinion_id").alias("root_id"))
+    """The requested walks: one from the newest opinion of every topic."""
+    return graph.topic_roots(c.extractions()).select("root_id")
 
 
 def _as_of():

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.scoring import court_level, id_from_ref, iso_date, precedential_status
-from lexweave.operators import ingest, quality
+from lexweave.operators import ingest, quality, runs
 from lexweave.operators.conflicts import detect_conflicts, opinions_with_extractions, profiles
 from lexweave.plans import sqltext as q
 from lexweave.plans.catalog import query
+from lexweave.plans.conflict_queries import _sql as conflict_sql
 from lexweave.plans.corpus import AS_OF
 from lexweave.runtime import new_path
 from lexweave.sources import landed, sinks
@@ -152,7 +156,7 @@ def _existing(c):
 
 _EXISTING = "SELECT doc_id AS courtlistener_id FROM documents WHERE lang IN ('de', 'es')"
 # Texts without headings and blank lines are one paragraph of one section.
-_REPORT = f"""
+_LANDED = f"""
     WITH RECURSIVE recs AS (
         SELECT r.court_id, r.opinion_id, {_ERROR} AS err, b.raw_text
         FROM ({REFS_SQL}) r JOIN (SELECT opinion_id, {_BEST} AS raw_text FROM v_landed) b USING (opinion_id)),
@@ -180,7 +184,8 @@ _REPORT = f"""
           opinion_id IN ({_EXISTING}) AS known FROM good),
       kept AS (SELECT court_id, count(CASE WHEN NOT known AND turn = 1 THEN 1 END) AS stored,
                  count(CASE WHEN known OR turn > 1 THEN 1 END) AS skipped FROM turns GROUP BY court_id),
-      cut AS (SELECT court_id, sum(n) AS chunks FROM good JOIN sizes ON doc_id = opinion_id GROUP BY court_id)
+      cut AS (SELECT court_id, sum(n) AS chunks FROM good JOIN sizes ON doc_id = opinion_id GROUP BY court_id)"""
+_REPORT = f"""{_LANDED}
     SELECT court_id, count(*) AS fetched, coalesce(max(k.stored), 0) AS stored,
       coalesce(max(k.skipped), 0) AS skipped, count(CASE WHEN err IS NOT NULL OR raw_text = '' THEN 1 END) AS errors,
       CAST(coalesce(max(cut.chunks), 0) AS BIGINT) AS chunks
@@ -192,6 +197,28 @@ def ingest_report(c):
     return ingest.ingest_report(_records(c), _existing(c))
 
 
+@query("ingest_landed", f"""{_LANDED}
+    SELECT 'opinions' AS output, court_id, count(*) AS n FROM turns WHERE NOT known AND turn = 1 GROUP BY court_id
+    UNION ALL SELECT 'chunks', court_id, CAST(sum(n) AS BIGINT) FROM turns JOIN sizes ON doc_id = opinion_id
+    WHERE NOT known AND turn = 1 GROUP BY court_id
+    UNION ALL SELECT 'quarantine', court_id, count(*) FROM recs WHERE err IS NOT NULL OR raw_text = '' GROUP BY court_id
+    UNION ALL SELECT 'missing', court_id, count(*) FROM ({REFS_SQL}) r
+    WHERE opinion_id NOT IN (SELECT opinion_id FROM v_landed) GROUP BY court_id
+    UNION ALL SELECT 'report', court_id, count(*) FROM recs GROUP BY court_id""")
+def ingest_landed(c):
+    """The whole run from landed records to new rows, and how much each of its five outputs holds by court."""
+    path = new_path(c.spark, "opinions")
+    sinks.append(_existing(c), path)
+    clusters = c.view("v_clusters").withColumn("sub_opinions", F.filter(F.split("sub_refs", ","), lambda r: r != ""))
+    out = runs.ingest_landed(clusters, c.text_view("v_landed"), c.view("v_courts"), path)
+    courts = out["opinions"].select(F.col("courtlistener_id").alias("opinion_id"), "court_id")
+    parts = {"opinions": courts, "chunks": out["chunks"].select("opinion_id").join(courts, "opinion_id"),
+             "quarantine": out["quarantine"], "missing": out["missing"]}
+    counts = [df.groupBy("court_id").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit(name)) for name, df in parts.items()]
+    counts.append(out["report"].select("court_id", F.col("fetched").alias("n"), F.lit("report").alias("output")))
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("ingest_quarantine", f"""
     SELECT opinion_id, cluster_id, coalesce(err, 'No text available') AS error FROM (
       SELECT r.opinion_id, r.cluster_id, {_ERROR} AS err, b.raw_text
@@ -254,12 +281,14 @@ def _sample_conflicts(c):
 _DELETED = "SELECT doc_id FROM documents WHERE source = 'src1'"
 
 
-@query("referential_cleanup", f"""
+@query("referential_cleanup", conflict_sql(f"""
     SELECT 'opinions' AS table_name, opinion_id AS row_id, CAST(NULL AS BIGINT) AS link FROM v_opinions
     WHERE opinion_id NOT IN ({_DELETED})
     UNION ALL SELECT 'extractions', extraction_id, opinion_id FROM v_extractions WHERE opinion_id NOT IN ({_DELETED})
     UNION ALL SELECT 'citations', citation_id, CASE WHEN cited_opinion_id IN ({_DELETED}) THEN NULL ELSE cited_opinion_id END
-    FROM v_citations WHERE citing_opinion_id NOT IN ({_DELETED})""")
+    FROM v_citations WHERE citing_opinion_id NOT IN ({_DELETED})
+    UNION ALL SELECT 'conflicts', a_id, b_id FROM pairs
+    WHERE confidence >= 0.5 AND a_id NOT IN ({_DELETED}) AND b_id NOT IN ({_DELETED})"""))
 def referential_cleanup(c):
     deleted = c.table("documents").filter(F.col("source") == "src1").select(F.col("doc_id").alias("opinion_id"))
     kept = sinks.delete_opinions(
@@ -270,12 +299,66 @@ def referential_cleanup(c):
 
     return rows("opinions", "opinion_id", F.lit(None).cast("bigint")).unionByName(
         rows("extractions", "extraction_id", F.col("opinion_id"))).unionByName(
-        rows("citations", "citation_id", F.col("cited_opinion_id")))
+        rows("citations", "citation_id", F.col("cited_opinion_id"))).unionByName(
+        rows("conflicts", "opinion_a_id", F.col("opinion_b_id")))
+
+
+def _broken(table: str, rules: dict[str, str]) -> str:
+    """Violations of the rules of a table, each by the condition of a violating row."""
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{rule}' AS rule, count(CASE WHEN {bad} THEN 1 END) AS violations FROM v_damaged_{table}"
+        for rule, bad in rules.items())
+
+
+def _blank(*columns: str) -> dict[str, str]:
+    return {f"{x} non-empty": f"coalesce({x}, '') = ''" for x in columns}
+
+
+_DAMAGED_SQL = " UNION ALL ".join([
+    _broken("extractions", {
+        "opinion_id required": "opinion_id IS NULL", **_blank("holding"),
+        "holding_confidence in range": "holding_confidence > 1", "disposition required": "disposition IS NULL",
+        "disposition in set": "disposition = 'acquitted'", "disposition_confidence in range": "disposition_confidence > 1",
+        "status required": "status IS NULL", "status in set": "status = 'lost'",
+        "prompt_tokens at least 0": "prompt_tokens < 0", "completion_tokens at least 0": "completion_tokens < 0",
+        "opinion_id in opinions": "opinion_id NOT IN (SELECT opinion_id FROM v_opinions)"}),
+    _broken("citations", {
+        "citing_opinion_id required": "citing_opinion_id IS NULL", **_blank("citation_string"),
+        "citation_type required": "citation_type IS NULL", "citation_type in set": "citation_type = 'liked'",
+        **_blank("citation_context", "paragraph_context"),
+        "citing_opinion_id in opinions": "citing_opinion_id NOT IN (SELECT opinion_id FROM v_opinions)",
+        "cited_opinion_id in opinions": "cited_opinion_id NOT IN (SELECT opinion_id FROM v_opinions)"}),
+    _broken("conflicts", {
+        **_blank("topic", "court_a", "court_b", "description"), "confidence in range": "confidence > 1",
+        "status required": "status IS NULL", "status in set": "status = 'guessed'",
+        "opinion_a_id in opinions": "opinion_a_id NOT IN (SELECT opinion_id FROM v_opinions)",
+        "opinion_b_id in opinions": "opinion_b_id NOT IN (SELECT opinion_id FROM v_opinions)"}),
+    "SELECT 'conflicts', 'opinion_a_id, opinion_b_id unique', CAST(sum(n - 1) AS BIGINT) "
+    "FROM (SELECT count(*) AS n FROM v_damaged_conflicts GROUP BY opinion_a_id, opinion_b_id)",
+    _broken("chunks", {
+        "chunk_index at least 0": "chunk_index < 0", **_blank("text"),
+        "start_char at least 0": "start_char < 0", "end_char at least 0": "end_char < 0"}),
+    _broken("jobs", {"status required": "status IS NULL", "status in set": "status = 'lost'"})])
+
+
+@query("constraint_report_stored", _DAMAGED_SQL)
+def constraint_report_stored(c):
+    """The rules of the other five tables and their links, on rows that break every one of them."""
+    opinions = c.view("v_opinions").select("opinion_id")
+    rows = {t: c.view(f"v_damaged_{t}") for t in ("extractions", "citations", "conflicts", "chunks", "jobs")}
+    links = {"extractions": ("opinion_id",), "citations": ("citing_opinion_id", "cited_opinion_id"),
+             "conflicts": ("opinion_a_id", "opinion_b_id")}
+    reports = [quality.constraint_report(df, t, quality.table_rules(t, df)) for t, df in rows.items()]
+    reports += [quality.link_report(rows[t], t, x, opinions, "opinions", "opinion_id") for t, xs in links.items() for x in xs]
+    reports.append(quality.uniqueness_report(rows["conflicts"], "conflicts", ["opinion_a_id", "opinion_b_id"]))
+    return reduce(DataFrame.unionByName, reports)
 
 
 @query("constraint_report", """
     SELECT 'opinions' AS table_name, 'court_level in set' AS rule, count(CASE WHEN court_level NOT IN ('supreme', 'appellate', 'district',
       'state_supreme', 'state_appellate', 'state_trial', 'bankruptcy', 'specialized') THEN 1 END) AS violations FROM v_opinions
+    UNION ALL SELECT 'opinions', 'court_level required', count(CASE WHEN court_level IS NULL THEN 1 END) FROM v_opinions
+    UNION ALL SELECT 'opinions', 'precedential_status required', count(CASE WHEN precedential_status IS NULL THEN 1 END) FROM v_opinions
     UNION ALL SELECT 'opinions', 'opinion_id required', count(CASE WHEN opinion_id IS NULL THEN 1 END) FROM v_opinions
     UNION ALL SELECT 'opinions', 'court_id non-empty', count(CASE WHEN coalesce(court_id, '') = '' THEN 1 END) FROM v_opinions
     UNION ALL SELECT 'opinions', 'case_name non-empty', count(CASE WHEN coalesce(case_name, '') = '' THEN 1 END) FROM v_opinions

@@ -13,7 +13,7 @@ _JOBS_SQL = """
     UNION ALL SELECT DISTINCT -1 - job_id, 10 FROM v_job_items"""
 
 
-def _jobs(c):
+def declared_jobs(c):
     """Jobs of the event log, every second one with an item still to come, and jobs not begun."""
     counts = c.view("v_job_items").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
     begun = counts.select("job_id", (F.col("n") + F.when(F.col("job_id") % 2 == 0, 1).otherwise(0)).alias("total_opinions"))
@@ -64,17 +64,20 @@ def job_counters(c):
     return jb.job_counters(c.view("v_job_items"))
 
 
-@query("job_state", f"""
+STATE_SQL = f"""
     SELECT j.job_id, total_opinions, coalesce(processed, 0) AS processed, coalesce(failed, 0) AS failed, started_at,
       CASE WHEN started_at IS NULL THEN 'queued' WHEN processed + failed < total_opinions THEN 'running'
            WHEN failed < total_opinions THEN 'completed' ELSE 'failed' END AS status,
       CASE WHEN processed + failed >= total_opinions THEN last_at END AS completed_at
     FROM ({_JOBS_SQL}) j LEFT JOIN (
       SELECT job_id, min(ts) AS started_at, max(ts) AS last_at, count(CASE WHEN outcome = 'ok' THEN 1 END) AS processed,
-        count(CASE WHEN outcome = 'failed' THEN 1 END) AS failed FROM v_job_items GROUP BY job_id) s USING (job_id)""")
+        count(CASE WHEN outcome = 'failed' THEN 1 END) AS failed FROM v_job_items GROUP BY job_id) s USING (job_id)"""
+STATE_COLUMNS = ("job_id", "total_opinions", "processed", "failed", "started_at", "status", "completed_at")
+
+
+@query("job_state", STATE_SQL)
 def job_state(c):
-    return jb.job_state(_jobs(c), c.view("v_job_items")).select(
-        "job_id", "total_opinions", "processed", "failed", "started_at", "status", "completed_at")
+    return jb.job_state(declared_jobs(c), c.view("v_job_items")).select(*STATE_COLUMNS)
 
 
 @query("increment_counters", f"""
@@ -82,7 +85,7 @@ def job_state(c):
     LEFT JOIN (SELECT job_id, count(CASE WHEN outcome = 'ok' THEN 1 END) AS p, count(CASE WHEN outcome = 'failed' THEN 1 END) AS f
                FROM v_job_items GROUP BY job_id) USING (job_id)""")
 def increment_counters(c):
-    start = _jobs(c).select("job_id", F.lit(1).alias("processed"), F.lit(0).alias("failed"))
+    start = declared_jobs(c).select("job_id", F.lit(1).alias("processed"), F.lit(0).alias("failed"))
     deltas = c.view("v_job_items").select(
         "job_id", F.when(F.col("outcome") == "ok", 1).otherwise(0).alias("processed_delta"),
         F.when(F.col("outcome") == "failed", 1).otherwise(0).alias("failed_delta"))

@@ -9,6 +9,7 @@ from lexweave.functions.intelligence import (
     json_kind, parse_json, read_intelligence, review_status, rule_violations, schema_issues,
 )
 from lexweave.operators import inference as inf
+from lexweave.operators import runs
 from lexweave.operators import validation as va
 from lexweave.plans.catalog import query
 from lexweave.sources import sinks
@@ -172,6 +173,18 @@ def extract_documents(c):
                            "completion_tokens")
 
 
+@query("extract_and_link", """
+    WITH cited AS (SELECT opinion_id, opinion_id % 60 + 1 AS v, opinion_id % 60 * 7 + 1 AS p FROM v_opinions WHERE opinion_id % 4 < 2),
+      exact AS (SELECT v, p, min(o.opinion_id) AS id FROM (SELECT DISTINCT v, p FROM cited)
+                JOIN v_opinions o ON o.raw_text LIKE '%' || v || ' % ' || p || '%' GROUP BY 1, 2)
+    SELECT opinion_id || '-0' AS citation_id, opinion_id AS citing_opinion_id, v || ' U.S. ' || p AS citation_string, id AS cited_opinion_id
+    FROM cited LEFT JOIN exact USING (v, p)""")
+def extract_and_link(c):
+    """The whole run from opinions to extractions and, from these, to resolved citations."""
+    out = runs.extract_and_link(c.text_view("v_opinions"), stand_in, "gpt-x", SYSTEM, USER, CORRECTIVE)
+    return out["citations"].select("citation_id", "citing_opinion_id", "citation_string", "cited_opinion_id")
+
+
 @query("route_model", """
     SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'anthropic' ELSE 'openai' END AS provider FROM events""")
 def route_model(c):

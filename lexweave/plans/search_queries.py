@@ -8,7 +8,7 @@ from lexweave.functions.scoring import iso_date
 from lexweave.functions.vectors import clamp_score
 from lexweave.operators import search as se
 from lexweave.plans.catalog import query
-from lexweave.runtime import new_path
+from lexweave.runtime import materialize, new_path
 from lexweave.sources import sinks, tables
 
 K = 10
@@ -137,6 +137,21 @@ def search_metrics(c):
     return se.search_metrics(results, queries, diversity)
 
 
+@query("search_hits", f"""
+    WITH RECURSIVE {_ASK.strip()}, {_scored(_FILTER + " AND opinion_id IN (SELECT opinion_id FROM v_opinions)")}, {_mmr(5, 0.7)}
+    SELECT CAST(query_id AS BIGINT) AS query_id, CAST(position AS INT) AS position, opinion_id, o.case_name, o.court_id,
+      strftime(o.date_filed, '%Y-%m-%d') AS date_filed, x.holding, round(greatest(0, least(1, score)), 6) AS relevance_score,
+      (SELECT string_agg(topic, '|' ORDER BY topic) FROM v_topics t WHERE t.opinion_id = mmr.opinion_id) AS topics
+    FROM mmr JOIN v_opinions o USING (opinion_id) JOIN v_extractions x USING (opinion_id)""")
+def search_hits(c):
+    """A search from the stored points to the rows that a caller gets."""
+    points = materialize(se.index_payload(c.extractions(), c.view("v_opinions"), _vectors(c)), "points")
+    where = tables.search_filter(court_level="appellate", date_after="2005-01-01")
+    return se.search_hits(points, _queries(c), 5, 0.7, where).select(
+        "query_id", "position", "opinion_id", "case_name", "court_id", "date_filed", "holding",
+        F.round("relevance_score", 6).alias("relevance_score"), F.array_join(F.sort_array("legal_topics"), "|").alias("topics"))
+
+
 @query("clamp_score", f"""
     WITH {_ASK.strip()} SELECT CAST(query_id AS BIGINT) AS anchor_id, opinion_id,
       round(greatest(0, least(1, list_cosine_similarity(v, embedding::DOUBLE[]))), 6) AS relevance FROM ask CROSS JOIN v_vectors""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.operators.jobs import with_state
+from lexweave.operators.jobs import declared_states
 from lexweave.plans.catalog import query
 from lexweave.plans.ingest_queries import REFS_SQL, _refs
-from lexweave.plans.job_queries import REQUEST_ID, requests
+from lexweave.plans.job_queries import REQUEST_ID, STATE_COLUMNS, STATE_SQL, declared_jobs, requests
 from lexweave.plans.model_queries import run_extraction
 from lexweave.runtime import new_path
 from lexweave.sources import sinks
@@ -32,14 +32,12 @@ def stream_counters(c):
     return sj.latest_counters(c.spark, out).select("job_id", "total_opinions", "processed", "failed")
 
 
-@query("stream_job_state", """
-    SELECT job_id, min(ts) AS started_at, max(ts) AS completed_at,
-      CASE WHEN count(CASE WHEN outcome = 'failed' THEN 1 END) < count(*) THEN 'completed' ELSE 'failed' END AS status
-    FROM v_job_items GROUP BY job_id""")
+@query("stream_job_state", STATE_SQL)
 def stream_job_state(c):
+    """Counters kept by the stream, judged by the totals that the requests declare."""
     out = new_path(c.spark, "states")
     sj.counter_stream(_item_stream(c, "items"), out, new_path(c.spark, "checkpoint"))
-    return with_state(sj.latest_counters(c.spark, out)).select("job_id", "started_at", "completed_at", "status")
+    return declared_states(declared_jobs(c), sj.latest_counters(c.spark, out)).select(*STATE_COLUMNS)
 
 
 @query("stream_events", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,22 +42,38 @@ def job_stream(
 
     ``requests`` has ``job_id``, ``opinion_ids``, ``priority``, ``submitted_at`` and
     may name the ``extraction_model`` to use, which the items keep.
-    Each batch is cut into items, keeps the place of a job in the queue as a
-    column, and ``run_items`` turns items into outcome rows. A batch writes its
-    own folder, so that a repeated batch replaces what it had written; the
+    Each batch is cut into items that keep what orders the queue as the column
+    ``queue_key`` (rank of the priority, time, job), so later joins cannot lose
+    the order, and ``run_items`` turns items into outcome rows. A batch writes its
+    own folder and, when that is whole, a mark. A batch that is delivered again
+    after the mark calls nothing; before it, it replaces what it had written. The
     checkpoint holds what was delivered, so no request is lost half done.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        items = batch.orderBy(*queue_order()).select(
+        spark, mark = batch.sparkSession, f"{out_path}-done/batch={batch_id}"
+        if _is_table(spark, mark):
+            return
+        rank, *rest = queue_order()
+        items = batch.select(
             "job_id", "priority", "submitted_at",
             *[m for m in ("extraction_model",) if m in batch.columns],
+            F.struct(rank.alias("rank"), *rest).alias("queue_key"),
             estimated_seconds(F.col("opinion_ids")).alias("estimated_seconds"),
             F.posexplode("opinion_ids").alias("pos", "opinion_id"))
         run_items(items).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        spark.range(1).write.mode("overwrite").parquet(mark)
 
     run_available(requests.writeStream.foreachBatch(handle), checkpoint)
 
 
+def _is_table(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table has been written at ``path``; a begun one has no files yet."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def counter_stream(events: DataFrame, out_path: str, checkpoint: str) -> None:
     """Item counts per job, kept as streaming state; the last batch holds the totals."""
     totals = events.groupBy("job_id").agg(

@@ -174,7 +174,9 @@ def test_rules_count_violations(spark):
                                "opinion_id long, disposition string, holding_confidence double")
     rules = quality.table_rules("extractions", df)
     got = {r.rule: r.violations for r in quality.constraint_report(df, "extractions", rules).collect()}
-    assert got == {"opinion_id required": 1, "holding_confidence in range": 1, "disposition in set": 1}
+    assert got == {"opinion_id required": 1, "holding_confidence in range": 1, "disposition required": 1, "disposition in set": 1}
+    parent = spark.createDataFrame([(2,)], "opinion_id long")
+    assert quality.link_report(df, "x", "opinion_id", parent, "opinions", "opinion_id").first().violations == 2
     assert quality.uniqueness_report(df, "x", ["opinion_id"]).first().violations == 1
 
 
@@ -189,6 +191,36 @@ def test_stream_totals_equal_batch(spark, files):
     assert got == values(jobs.job_counters(df), "job_id", "processed", "failed")
 
 
+def test_streamed_counters_meet_declared_totals(spark):
+    path, out = new_path(spark, "in"), new_path(spark, "out")
+    stamp = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, stamp, "ok"), (1, stamp, "failed"), (2, stamp, "ok"), (3, stamp, "failed")],
+                                   "job_id long, ts timestamp, outcome string")
+    events.repartition(2).write.parquet(path)
+    sj.counter_stream(sj.file_stream(spark, path, events.schema, 1), out, new_path(spark, "cp"))
+    declared = spark.createDataFrame([(1, 2), (2, 2), (3, 1), (4, 1)], "job_id long, total_opinions long")
+    got = {r.job_id: r for r in jobs.declared_states(declared, sj.latest_counters(spark, out)).collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == ["completed", "running", "failed", "queued"]
+    assert got[2].completed_at is None and got[3].completed_at == stamp
+
+
+def test_a_batch_delivered_again_calls_nothing(spark):
+    path, out, calls = new_path(spark, "in"), new_path(spark, "out"), []
+    requests = spark.createDataFrame([("a", [1, 2], "low", 2), ("b", [3], "high", 1)],
+                                     "job_id string, opinion_ids array<long>, priority string, submitted_at long")
+    requests.coalesce(1).write.parquet(path)
+
+    def run_items(items):
+        calls.append(1)
+        return items
+
+    for _ in range(2):  # a new checkpoint delivers batch 0 again
+        sj.job_stream(sj.file_stream(spark, path, requests.schema), run_items, out, new_path(spark, "cp"))
+    assert len(calls) == 1
+    rows = spark.read.parquet(out).orderBy("queue_key", "pos").collect()
+    assert [r.opinion_id for r in rows] == [3, 1, 2]
+
+
 def test_stream_ingest_adds_each_key_once(spark):
     path, table, cp = new_path(spark, "in"), new_path(spark, "t"), new_path(spark, "cp")
     df = spark.range(30).select((F.col("id") % 11).alias("courtlistener_id"), F.col("id").alias("v"))
