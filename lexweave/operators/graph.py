@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from lexweave.constants import DEFAULT_LEVEL_RANK
 from lexweave.functions.citations import parse_citation
 from lexweave.functions.scoring import age_years, authority_score, level_rank
+from lexweave.operators.search import query_blocks
 from lexweave.operators.skew import ROWS_PER_CELL, pair_join
 from lexweave.runtime import materialize
 
 DIRECTIONS = ("outgoing", "incoming", "both")
+# Citations looked for in one scan of the texts; more take more scans.
+ROOT_BLOCK = 256
 
 
 def walk_steps(citations: DataFrame, direction: str) -> DataFrame:
@@ -104,48 +107,57 @@ def citation_in_degree(citations: DataFrame, opinions: DataFrame) -> DataFrame:
         "in_degree", F.coalesce("in_degree", F.lit(0)).cast("bigint"))
 
 
-def find_roots(queries: Sequence[str], opinions: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Start opinion of every query string, null where there is none.
-
-    A query that holds a citation finds the opinion of least id whose text has
-    the volume and, later, the page; failing that, or for a topic, the newest
-    completed extraction with exactly that topic. All queries share one scan of
-    the texts and one of the extractions; the list is the caller's request.
+def find_roots(
+    queries: DataFrame | Sequence[str], opinions: DataFrame, extractions: DataFrame, block: int = ROOT_BLOCK,
+) -> DataFrame:
+    """(query, opinion_id): the start opinion of every different query, null where there is none.
+
+    ``queries`` is a list or a table with the column ``query``. A query that holds
+    a citation finds the opinion of least id whose text has the volume and, later,
+    the page; failing that, or for a topic, the newest completed extraction with
+    exactly that topic. Topics are a join. Citations go through the texts in
+    blocks, one scan and one row per hit for each; a block is done with before
+    the next is read.
     """
     spark = opinions.sparkSession
-    table = spark.createDataFrame([(i, q) for i, q in enumerate(queries)], "query_no int, query string")
-    parsed = table.withColumn("c", parse_citation(F.col("query"))).select(
-        "query_no", "c.volume", "c.page").collect()
-    patterns = {r.query_no: f"%{r.volume}%{r.page}%" for r in parsed if r.volume is not None}
-    aliases = [f"q{i}" for i in range(len(queries))]
-    by_text = opinions.agg(*[
-        (F.min(F.when(F.col("raw_text").like(patterns[i]), F.col("opinion_id")))
-         if i in patterns else F.max(F.lit(None).cast("bigint"))).alias(a)
-        for i, a in enumerate(aliases)
-    ])
-    newest = F.struct("created_at", "extraction_id")
-    by_topic = extractions.filter(F.col("status") == "completed").agg(*[
-        F.max_by("opinion_id", F.when(F.array_contains("legal_topics", q), newest)).alias(a)
-        for q, a in zip(queries, aliases)
-    ])
-    pick = F.explode(F.array(*[
-        F.struct(F.lit(q).alias("query"), F.col(a).alias("opinion_id"))
-        for q, a in zip(queries, aliases)
-    ]))
-    found = by_text.select(pick.alias("r"), F.lit(0).alias("turn")).unionByName(
-        by_topic.select(pick.alias("r"), F.lit(1).alias("turn")))
-    return found.groupBy("r.query").agg(
-        F.min_by("r.opinion_id", F.when(F.col("r.opinion_id").isNotNull(), F.col("turn"))).alias("opinion_id"))
-
-
-def topic_roots(extractions: DataFrame) -> DataFrame:
-    """(topic, root_id): the newest completed extraction of every topic, as :func:`find_roots` picks it.
+    if not isinstance(queries, DataFrame):
+        queries = spark.createDataFrame([(q,) for q in queries], "query string")
+    asked = queries.select("query").filter("query is not null").distinct()
+    cited = asked.withColumn("c", parse_citation(F.col("query"))).filter("c.volume is not null").select(
+        F.col("query").alias("query_id"), "c.volume", "c.page")
+    found = spark.createDataFrame([], "query string, opinion_id bigint")
+    for part in query_blocks(cited, block):
+        hits = _holders(opinions, part).groupBy("query").agg(F.min("opinion_id").alias("opinion_id"))
+        found = found.unionByName(materialize(hits, "holders") if len(part) == block else hits)
+    topics = topic_roots(extractions, asked.withColumnRenamed("query", "topic")).withColumnRenamed("topic", "query")
+    return asked.join(found, "query", "left").join(topics, "query", "left").select(
+        "query", F.coalesce("opinion_id", "root_id").alias("opinion_id"))
+
+
+def _holders(opinions: DataFrame, part: Sequence) -> DataFrame:
+    """(query, opinion_id) of the texts that hold the numbers of a query, the page behind the volume."""
+    text = F.col("raw_text")
+    wanted = F.array(*[
+        F.struct(F.lit(r.query_id).alias("query"), F.lit(str(r.volume)).alias("volume"), F.lit(str(r.page)).alias("page"))
+        for r in part])
+
+    def held(q: Column) -> Column:
+        at = F.call_function("locate", q["volume"], text)
+        return (at > 0) & (F.call_function("locate", q["page"], text, at + F.length(q["volume"])) > 0)
+
+    return opinions.select("opinion_id", F.explode(F.transform(F.filter(wanted, held), lambda q: q["query"])).alias("query"))
+
+
+def topic_roots(extractions: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """(topic, root_id): the newest completed extraction of every topic, or of those in ``topics``.
 
     One aggregation with map-side combine for any number of topics.
     """
     done = extractions.filter(F.col("status") == "completed").select(
         F.explode(F.array_distinct("legal_topics")).alias("topic"), "opinion_id",
         F.struct("created_at", "extraction_id").alias("newest"))
+    if topics is not None:
+        done = done.join(topics, "topic", "left_semi")
     return done.groupBy("topic").agg(F.max_by("opinion_id", "newest").alias("root_id"))
 
 

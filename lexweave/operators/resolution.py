@@ -51,11 +51,11 @@ def number_index(opinions: DataFrame) -> DataFrame:
     return rows.select("opinion_id", "r.kind", "r.number", "r.place")
 
 
-def resolve_exact(citations: DataFrame, opinions: DataFrame, mode: str = "like") -> DataFrame:
+def resolve_exact(citations: DataFrame, opinions: DataFrame, mode: str = "key") -> DataFrame:
     """Least opinion id for every distinct (volume, reporter, page).
 
-    ``like``: the text holds the volume before the page, whatever the reporter.
     ``key``: the text holds that very citation.
+    ``like``: the text holds the volume before the page, whatever the reporter.
     """
     if mode == "key":
         return _resolve_by_key(citations, opinions)
@@ -159,7 +159,7 @@ def resolve_fuzzy(queries: DataFrame, opinions: DataFrame) -> DataFrame:
     return asked.join(matched, on).select("case_name", "year", "fuzzy_id")
 
 
-def resolve_citations(authorities: DataFrame, opinions: DataFrame, mode: str = "like") -> DataFrame:
+def resolve_citations(authorities: DataFrame, opinions: DataFrame, mode: str = "key") -> DataFrame:
     """Authorities with ``cited_opinion_id``: by text, else by name, else null.
 
     Each distinct (citation string, case name) is resolved once.

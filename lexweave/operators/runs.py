@@ -49,9 +49,12 @@ def ingest_landed(
 def extract_and_link(
     opinions: DataFrame, infer: inference.Infer, model: str, system: str, user: str, corrective: str,
     corpus: DataFrame | None = None, max_retries: int = MAX_RETRIES, threshold: float = REVIEW_THRESHOLD,
-    strict: bool = False,
+    strict: bool = False, match: str = "key",
 ) -> dict[str, DataFrame]:
-    """Model output of ``opinions`` as extraction rows, and their citations resolved in ``corpus``."""
+    """Model output of ``opinions`` as extraction rows, and their citations resolved in ``corpus``.
+
+    ``match`` is the mode of :func:`resolution.resolve_exact`.
+    """
     docs = opinions.select("opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text")
     outcomes, log = inference.extract_documents(
         docs, infer, model, system, user, corrective, max_retries, threshold, strict)
@@ -59,6 +62,6 @@ def extract_and_link(
     cited = rows.select(
         F.col("opinion_id").alias("citing_opinion_id"), F.posexplode("key_authorities").alias("pos", "a")
     ).select("citing_opinion_id", "pos", "a.*")
-    edges = resolution.resolve_citations(cited, corpus if corpus is not None else opinions)
+    edges = resolution.resolve_citations(cited, corpus if corpus is not None else opinions, match)
     citations = sinks.with_surrogate_id(edges, "citation_id", "citing_opinion_id", "pos").drop("pos")
     return {"extractions": rows, "citations": citations, "attempts": log}

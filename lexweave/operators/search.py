@@ -94,7 +94,7 @@ def similarity_topk(
     out_type = "string" if id_type == "string" else "bigint"
     ask = queries.filter("embedding is not null").select("query_id", unit(F.col("embedding")).alias("u"))
     passes = []
-    for part in _query_blocks(ask, block):
+    for part in query_blocks(ask, block):
         ids = [r.query_id for r in part]
         matrix = np.array([r.u for r in part], dtype=np.float64)
         partial = rows.mapInArrow(
@@ -111,7 +111,7 @@ def similarity_topk(
     return merged
 
 
-def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
+def query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
     """Queries in blocks of bounded size, ordered by id and read one block at a time."""
     last = None
     if queries.limit(block + 1).count() > block:
@@ -214,37 +214,16 @@ def search_metrics(results: DataFrame, queries: DataFrame, diversity: DataFrame
     )
 
 
-def _all_scores(anchors: np.ndarray, anchor_ids: list, id_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            scores = anchors @ _units(batch.column("embedding")).T
-            ids = batch.column("opinion_id").to_numpy(zero_copy_only=False)
-            for name, row in zip(anchor_ids, scores):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(ids), type=id_type), pa.array(ids), pa.array(row)],
-                    names=["anchor_id", "opinion_id", "cosine"])
+def anchor_cosines(vectors: DataFrame, anchors: DataFrame, group: str) -> DataFrame:
+    """``vectors`` with ``anchor_id`` and ``cosine``: how near each is to the anchor of its own group.
 
-    return run
-
-
-def cosine_matrix(vectors: DataFrame, anchors: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """Cosine of every vector with every anchor (``anchor_id``, ``embedding``).
-
-    The vectors are read where they lie, once per block of anchors.
+    ``anchors`` has ``anchor_id`` (a value of ``group``) and ``embedding``. One row
+    per vector, so the output grows with the vectors alone; rows of a group without
+    an anchor are left out.
     """
-    id_type = anchors.schema["anchor_id"].dataType.simpleString()
-    arrow_type, out_type = (pa.string(), "string") if id_type == "string" else (pa.int64(), "bigint")
-    schema = f"anchor_id {out_type}, opinion_id bigint, cosine double"
-    ask = anchors.select(F.col("anchor_id").alias("query_id"), unit(F.col("embedding")).alias("u"))
-    rows = vectors.select("opinion_id", "embedding")
-    out = rows.sparkSession.createDataFrame([], schema)
-    for part in _query_blocks(ask, block):
-        matrix = np.array([r.u for r in part], dtype=np.float64)
-        scores = rows.mapInArrow(_all_scores(matrix, [r.query_id for r in part], arrow_type), schema)
-        out = out.unionByName(scores)
-    return out
+    mean = anchors.select("anchor_id", F.col("embedding").alias("_anchor"))
+    met = vectors.join(mean, vectors[group] == mean["anchor_id"])
+    return met.withColumn("cosine", cosine(F.col("embedding"), F.col("_anchor"))).drop("_anchor")
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:

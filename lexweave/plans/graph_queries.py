@@ -141,7 +141,8 @@ def _root_sql(text: str) -> str:
 
 @query("find_root", " UNION ALL ".join(_root_sql(t) for t in _ROOT_QUERIES))
 def find_root(c):
-    return graph.find_roots(_ROOT_QUERIES, c.text_view("v_opinions"), c.extractions())
+    asked = c.spark.createDataFrame([(t,) for t in _ROOT_QUERIES], "query string")
+    return graph.find_roots(asked, c.text_view("v_opinions"), c.extractions())
 
 
 _RANK = """CASE court_level WHEN 'supreme' THEN 100 WHEN 'appellate' THEN 80 WHEN 'state_supreme' THEN 70

@@ -181,7 +181,7 @@ def extract_documents(c):
     FROM cited LEFT JOIN exact USING (v, p)""")
 def extract_and_link(c):
     """The whole run from opinions to extractions and, from these, to resolved citations."""
-    out = runs.extract_and_link(c.text_view("v_opinions"), stand_in, "gpt-x", SYSTEM, USER, CORRECTIVE)
+    out = runs.extract_and_link(c.text_view("v_opinions"), stand_in, "gpt-x", SYSTEM, USER, CORRECTIVE, match="like")
     return out["citations"].select("citation_id", "citing_opinion_id", "citation_string", "cited_opinion_id")
 
 

@@ -105,11 +105,12 @@ def mmr_rerank(c):
 
 @query("cosine_matrix", f"""
     WITH {_ASK.strip()} SELECT CAST(query_id AS BIGINT) AS anchor_id, opinion_id,
-      round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS cosine FROM ask CROSS JOIN v_vectors""")
+      round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS cosine FROM ask JOIN v_vectors ON label = query_id""")
 def cosine_matrix(c):
+    """Every vector against the mean of its label."""
     anchors = _queries(c).withColumnRenamed("query_id", "anchor_id")
-    return se.cosine_matrix(_vectors(c), anchors).select(
-        "anchor_id", "opinion_id", F.round("cosine", 6).alias("cosine"))
+    return se.anchor_cosines(_vectors(c), anchors, "label").select(
+        F.col("anchor_id").cast("bigint").alias("anchor_id"), "opinion_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("pairwise_diversity", """
@@ -154,11 +155,11 @@ def search_hits(c):
 
 @query("clamp_score", f"""
     WITH {_ASK.strip()} SELECT CAST(query_id AS BIGINT) AS anchor_id, opinion_id,
-      round(greatest(0, least(1, list_cosine_similarity(v, embedding::DOUBLE[]))), 6) AS relevance FROM ask CROSS JOIN v_vectors""")
+      round(greatest(0, least(1, list_cosine_similarity(v, embedding::DOUBLE[]))), 6) AS relevance FROM ask JOIN v_vectors ON label = query_id""")
 def clamp_scores(c):
     anchors = _queries(c).withColumnRenamed("query_id", "anchor_id")
-    return se.cosine_matrix(_vectors(c), anchors).select(
-        "anchor_id", "opinion_id", F.round(clamp_score(F.col("cosine")), 6).alias("relevance"))
+    return se.anchor_cosines(_vectors(c), anchors, "label").select(
+        F.col("anchor_id").cast("bigint").alias("anchor_id"), "opinion_id", F.round(clamp_score(F.col("cosine")), 6).alias("relevance"))
 
 
 @query("safe_iso_date", """

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPLIT_BYTES = 128 * 1024 * 1024
+#: Session setting with the number of partitions that small inputs of text work are spread over; unset, none is.
+SPREAD = "spark.lexweave.spread"
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -17,6 +22,9 @@ def work_dir(spark: SparkSession) -> str:
     The folder must be reachable from every executor. A private folder is made
     only in local mode when the session names none.
     """
+    inner = _folder.get()
+    if inner:
+        return inner
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
@@ -35,6 +43,22 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables written by the jobs inside go to a folder of their own, which is deleted at the end.
+
+    What a job returns reads those tables, so use or store it before the end.
+    """
+    folder = new_path(spark, "scratch")
+    mark = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(mark)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -48,11 +72,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input too small to give every core a split of its own.
+    """Spread an input over as many partitions as the session asks for by ``SPREAD``.
 
     Text work is CPU-bound; a small file of one row group would keep one core
-    busy. Anything larger than a full split per core is left as it is.
+    busy. That is for tests and benchmarks: without the setting, as on large
+    inputs, texts stay where they are read and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts), key) if parts else df

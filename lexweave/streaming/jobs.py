@@ -75,24 +75,25 @@ def _is_table(spark: SparkSession, path: str) -> bool:
 
 
 def counter_stream(events: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Item counts per job, kept as streaming state; the last batch holds the totals."""
-    totals = events.groupBy("job_id").agg(
-        F.min("ts").alias("started_at"), F.max("ts").alias("_last"),
-        F.count(F.lit(1)).alias("total_opinions"),
-        F.count_if(F.col("outcome") == "ok").alias("processed"),
-        F.count_if(F.col("outcome") == "failed").alias("failed"))
+    """Item counts per job and batch, to be summed by :func:`latest_counters`.
 
+    A batch writes what it adds, one row for each job it has items of, so no
+    state is kept however many jobs there have been. A batch that is delivered
+    again replaces its own folder and is not counted twice.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out_path}/batch={batch_id}")
+        batch.groupBy("job_id").agg(
+            F.min("ts").alias("started_at"), F.max("ts").alias("_last"),
+            F.count(F.lit(1)).alias("total_opinions"),
+            F.count_if(F.col("outcome") == "ok").alias("processed"),
+            F.count_if(F.col("outcome") == "failed").alias("failed"),
+        ).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    run_available(totals.writeStream.outputMode("update").foreachBatch(handle), checkpoint)
+    run_available(events.writeStream.foreachBatch(handle), checkpoint)
 
 
 def latest_counters(spark: SparkSession, out_path: str) -> DataFrame:
-    """Current counters: for every job the row of its last update."""
-    rows = spark.read.parquet(out_path).drop("batch")
-    values = [c for c in rows.columns if c not in ("job_id", "version")]
-    last = rows.groupBy("job_id").agg(
-        F.max_by(F.struct(*values), "version").alias("v"))
-    return last.select("job_id", "v.*")
+    """Current counters: for every job the sum of what the batches have added."""
+    return spark.read.parquet(out_path).groupBy("job_id").agg(
+        F.min("started_at").alias("started_at"), F.max("_last").alias("_last"),
+        *[F.sum(c).alias(c) for c in ("total_opinions", "processed", "failed")])

@@ -1,5 +1,6 @@
 """Ingestion, sinks, model stages, streams and quality rules on literal rows."""
 
+import os
 from datetime import date, datetime
 
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.scoring import court_level, id_from_ref, iso_date
 from lexweave.operators import inference, ingest, jobs, quality
-from lexweave.runtime import new_path
+from lexweave.runtime import materialize, new_path, scratch
 from lexweave.sources import landed, sinks, tables
 from lexweave.streaming import ingest as si
 from lexweave.streaming import jobs as sj
@@ -191,6 +192,24 @@ def test_stream_totals_equal_batch(spark, files):
     assert got == values(jobs.job_counters(df), "job_id", "processed", "failed")
 
 
+def test_a_counter_batch_delivered_again_is_counted_once(spark):
+    path, out = new_path(spark, "in"), new_path(spark, "out")
+    df = spark.range(20).select((F.col("id") % 3).alias("job_id"), F.timestamp_seconds("id").alias("ts"), F.lit("ok").alias("outcome"))
+    df.repartition(1).write.parquet(path)
+    for _ in range(2):  # a lost checkpoint starts the stream anew
+        sj.counter_stream(sj.file_stream(spark, path, df.schema, 1), out, new_path(spark, "cp"))
+    got = values(sj.latest_counters(spark, out), "job_id", "processed", "failed")
+    assert got == values(jobs.job_counters(df), "job_id", "processed", "failed")
+
+
+def test_scratch_folders_are_deleted(spark):
+    with scratch(spark) as folder:
+        assert materialize(spark.range(3), "rows").count() == 3
+        assert os.listdir(folder)
+    assert not os.path.exists(folder)
+    assert not new_path(spark, "rows").startswith(folder)
+
+
 def test_streamed_counters_meet_declared_totals(spark):
     path, out = new_path(spark, "in"), new_path(spark, "out")
     stamp = datetime(2024, 1, 1)

@@ -78,6 +78,14 @@ def test_mmr_equals_plain_greedy(spark, vectors, lam):
         assert mine == greedy(data, cand, data[q], 8, lam)
 
 
+def test_cosine_with_the_anchor_of_the_own_group(spark):
+    rows = [(1, 0, [3.0, 4.0]), (2, 0, [0.0, 2.0]), (3, 1, [1.0, 0.0]), (4, 9, [1.0, 1.0]), (5, None, [1.0, 1.0]), (6, 1, [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "opinion_id long, label long, embedding array<double>")
+    anchors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0])], "anchor_id long, embedding array<double>")
+    got = {r.opinion_id: round(r.cosine, 6) for r in se.anchor_cosines(vectors, anchors, "label").collect()}
+    assert got == {1: 0.6, 2: 0.0, 3: 1.0, 6: 0.0}
+
+
 def test_diversity_formula_equals_pairs(spark, vectors):
     df, data = vectors
     got = {r.court_id: r.diversity for r in se.pairwise_diversity(df, "court_id").collect()}
