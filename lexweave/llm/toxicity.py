@@ -217,19 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     df = np.zeros(len(chosen))
     for r in space.select(F.explode("places").alias("place")).groupBy("place").count().collect():
         df[r["place"]] = r["count"]
-    own = rows.join(F.broadcast(spark.createDataFrame([(int(t),) for t in chosen.view(np.int64)], "term long")), "term").orderBy("doc_id", "term").collect()
-    ids = np.array(sorted({r.doc_id for r in own}))
+    own = rows.join(F.broadcast(spark.createDataFrame([(int(t),) for t in chosen.view(np.int64)], "term long")), "term").orderBy("doc_id", "term").toPandas()
+    ids, at = np.unique(own["doc_id"].to_numpy(), return_inverse=True)
     toxic = np.zeros(len(ids))
-    at = np.array([np.searchsorted(ids, r.doc_id) for r in own])
-    toxic[at] = [r.toxic for r in own]
-    places = np.searchsorted(chosen, np.array([r.term for r in own], np.int64).view(np.uint64))
-    counts = np.array([r.n for r in own])
+    toxic[at] = own["toxic"]
+    places = np.searchsorted(chosen, own["term"].to_numpy(np.int64).view(np.uint64))
+    counts = own["n"].to_numpy(np.int64)
     index = Index.of(np.log((total + 1) / (df + 1)) + 1, at, places, counts, toxic, ids)
     weigh = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {y: weigh.get(y, 0) / max(totals.get(y, 0), 1) for y in (0, 1)}
+    by_example = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[by_example], np.arange(len(ids) + 1))
     votes = []
     for i in range(len(ids)):
-        mine = at == i if len(ids) < 64 else slice(*np.searchsorted(at, [i, i + 1]))
+        mine = by_example[starts[i]:starts[i + 1]]
         votes.append(index.vote(places[mine], counts[mine], i)[:2])
     votes = np.array(votes)
     met = votes[:, 1] > 0
