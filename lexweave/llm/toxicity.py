@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import wordhash
 from lexweave.llm.common import buffers, id_crc
+from lexweave.llm.language_model import portions
 from lexweave.runtime import materialize
 
 #: The classifier is fitted on a sample of so many labelled documents of each class, by hash of the id. This bounds the
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             ids, toxic = batch.column("doc_id"), batch.column("toxic")
             text, term, count = _counted(*buffers(batch.column("text")))
             none = np.setdiff1d(np.arange(len(ids)), text)
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     chosen = np.sort(np.array([r.term for r in picked], np.int64).view(np.uint64))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             text, place, count = _counted(*buffers(batch.column("text")), chosen)
             cut = pa.array(np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
