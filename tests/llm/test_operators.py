@@ -222,4 +222,4 @@ def test_pipeline(spark, tmp_path, docs):
 
 
 def test_names_of_queries():
-    assert {int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES} == set(range(1, 14))
