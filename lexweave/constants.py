@@ -128,3 +128,5 @@ LATENCY_BUCKETS = (
 # Weight of each kind of evidence for a conflict, and the shared topics and authorities that count in full.
 EVIDENCE_WEIGHTS = {"opposing": 0.30, "conflicting": 0.25, "topics": 0.15, "authorities": 0.15, "levels": 0.10, "age": 0.05}
 TOPICS_FOR_ALL, AUTHORITIES_FOR_ALL = 5.0, 3.0
+# Fixed value: mean age in years from which recency counts nothing.
+AGE_WITHOUT_RECENCY = 20.0

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexweave.constants import (
-    AUTHORITIES_FOR_ALL, EVIDENCE_WEIGHTS, TOPICS_FOR_ALL,
+    AGE_WITHOUT_RECENCY, AUTHORITIES_FOR_ALL, EVIDENCE_WEIGHTS, TOPICS_FOR_ALL,
     COURT_CODE_LEVEL, DEFAULT_LEVEL_RANK, DEFAULT_LEVEL_WEIGHT, LEVEL_RANK, LEVEL_WEIGHT,
     SOURCE_STATUS,
 )
@@ -83,6 +83,6 @@ def conflict_confidence(
         + F.least(topics / TOPICS_FOR_ALL, F.lit(1.0)) * EVIDENCE_WEIGHTS["topics"]
         + F.least(cites / AUTHORITIES_FOR_ALL, F.lit(1.0)) * EVIDENCE_WEIGHTS["authorities"]
         + (weight_a + weight_b) / 2.0 * EVIDENCE_WEIGHTS["levels"]
-        + F.coalesce(F.greatest(F.lit(0.0), 1.0 - mean_age / 20.0) * EVIDENCE_WEIGHTS["age"], F.lit(0.0))
+        + F.coalesce(F.greatest(F.lit(0.0), 1.0 - mean_age / AGE_WITHOUT_RECENCY) * EVIDENCE_WEIGHTS["age"], F.lit(0.0))
     )
     return F.round(F.least(total, F.lit(1.0)), 4)

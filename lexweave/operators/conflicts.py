@@ -19,7 +19,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.constants import CONFLICTING_TYPES, EVIDENCE_WEIGHTS, OPPOSING_DISPOSITIONS, TOPICS_FOR_ALL
+from lexweave.constants import AGE_WITHOUT_RECENCY, CONFLICTING_TYPES, EVIDENCE_WEIGHTS, OPPOSING_DISPOSITIONS, TOPICS_FOR_ALL
 from lexweave.functions.scoring import age_years, conflict_confidence, level_weight
 from lexweave.operators.skew import ROWS_PER_CELL, pair_join
 from lexweave.runtime import materialize
@@ -112,10 +112,15 @@ def _keep_pairs(pairs: DataFrame, court_pairs) -> DataFrame:
     return out.filter(key.isin(wanted))
 
 
-def _one_topic_at_most() -> float:
-    """Highest confidence by opposing dispositions and one topic, with no shared authority and no age."""
+def _one_topic_at_most(least_age: float | None) -> float:
+    """Highest confidence by opposing dispositions and one topic, with no shared authority, of opinions of that age or more.
+
+    Opinions filed after the day that ages are taken on have an age below zero,
+    and then recency counts more than its weight.
+    """
+    recency = 0.0 if least_age is None else max(0.0, 1.0 - least_age / AGE_WITHOUT_RECENCY)
     return (EVIDENCE_WEIGHTS["opposing"] + EVIDENCE_WEIGHTS["topics"] / TOPICS_FOR_ALL
-            + EVIDENCE_WEIGHTS["levels"] + EVIDENCE_WEIGHTS["age"])
+            + EVIDENCE_WEIGHTS["levels"] + EVIDENCE_WEIGHTS["age"] * recency)
 
 
 def _topic_keys(strict: bool) -> Column:
@@ -185,7 +190,7 @@ def _by_authority(prof: DataFrame, court_pairs, cell: int) -> DataFrame:
 
 def conflict_pairs(
     prof: DataFrame, court_pairs: Iterable[tuple[str, str]] | None = None,
-    rows_per_cell: int = ROWS_PER_CELL, min_confidence: float = 0.0,
+    rows_per_cell: int = ROWS_PER_CELL, min_confidence: float = 0.0, as_of: Column | None = None,
 ) -> DataFrame:
     """Qualifying pairs as structs ``a`` (the newer opinion) and ``b``, with the overlap.
 
@@ -193,15 +198,19 @@ def conflict_pairs(
     joins and their group counts, so they are written once.
 
     With a ``min_confidence`` that opposing dispositions and one topic cannot
-    reach, pairs that share nothing else are not met, whatever the size of the
-    data. All others are returned, also those below the threshold.
+    reach on the day ``as_of``, given the youngest opinion, pairs that share
+    nothing else are not met, whatever the size of the data. All others are
+    returned, also those below the threshold.
     """
     pairs = None if court_pairs is None else list(court_pairs)
     if pairs is not None:
         courts = sorted({c for p in pairs for c in p})
         prof = prof.filter(F.col("court_id").isin(courts))
     prof = materialize(prof, "profiles")
-    strict = min_confidence > round(_one_topic_at_most(), 4)
+    strict = False
+    if as_of is not None:
+        youngest = prof.agg(F.min(age_years(as_of, F.col("date_filed"))).alias("age")).first().age
+        strict = min_confidence > round(_one_topic_at_most(youngest), 4)
     met = _by_disposition(prof, pairs, rows_per_cell, strict).unionByName(
         _by_authority(prof, pairs, rows_per_cell))
     x_first = (F.col("x.date_filed") > F.col("y.date_filed")) | (
@@ -248,7 +257,7 @@ def detect_conflicts(
 ) -> DataFrame:
     """Conflicts at or above ``min_confidence``; the threshold applies to the rounded value."""
     scored = score_pairs(
-        conflict_pairs(prof, court_pairs, rows_per_cell, min_confidence), as_of)
+        conflict_pairs(prof, court_pairs, rows_per_cell, min_confidence, as_of), as_of)
     a, b = F.col("a"), F.col("b")
     return scored.filter(F.col("confidence") >= min_confidence).select(
         a.opinion_id.alias("opinion_a_id"), b.opinion_id.alias("opinion_b_id"),

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from lexweave.constants import DEFAULT_LEVEL_RANK
 from lexweave.functions.citations import parse_citation
 from lexweave.functions.scoring import age_years, authority_score, level_rank
-from lexweave.operators.search import query_blocks
+from lexweave.operators import resolution
 from lexweave.operators.skew import ROWS_PER_CELL, pair_join
 from lexweave.runtime import materialize
 
 DIRECTIONS = ("outgoing", "incoming", "both")
-# Citations looked for in one scan of the texts; more take more scans.
-ROOT_BLOCK = 256
 
 
 def walk_steps(citations: DataFrame, direction: str) -> DataFrame:
@@ -34,47 +32,73 @@ def walk_steps(citations: DataFrame, direction: str) -> DataFrame:
     return out.unionByName(back).distinct()
 
 
+def number_roots(roots: DataFrame, opinions: DataFrame) -> DataFrame:
+    """(word, members): the roots that are opinions, 64 to a word, each with its ``bit`` there.
+
+    Roots are numbered where they lie, without a common order; the written table
+    keeps the numbers the same for all later steps.
+    """
+    known = roots.select("root_id").distinct().join(
+        opinions.select(F.col("opinion_id").alias("root_id")), "root_id", "left_semi")
+    numbered = materialize(known.withColumn("_n", F.monotonically_increasing_id()), "roots")
+    return numbered.groupBy(F.shiftright("_n", 6).alias("word")).agg(F.collect_list(F.struct(
+        F.col("_n").bitwiseAND(F.lit(63)).cast("int").alias("bit"), "root_id")).alias("members"))
+
+
+def walk_levels(
+    steps: DataFrame, start: DataFrame, max_depth: int, rows_per_cell: int = ROWS_PER_CELL,
+) -> list[DataFrame]:
+    """Levels of a walk: (opinion_id, word, bits) of the nodes that are new at each depth, for the roots whose bits are set.
+
+    ``start`` is the level of depth 0. A node that many walks reach is one row for
+    each 64 roots, and its steps are taken once for all of them. One job for each
+    level: the frontier meets the steps, and what it has reached is told from what
+    was known by one aggregation. Levels are written, so that later ones never
+    recompute earlier ones; the loop ends early on an empty level.
+    """
+    levels = [materialize(start, "level")]
+    for _ in range(max_depth):
+        frontier = levels[-1].withColumnRenamed("opinion_id", "src")
+        # a node may have many steps, and many words of roots may stand on one node
+        met = pair_join(frontier, steps, ["src"], F.col("word"), F.col("dst"), rows_per_cell)
+        none = F.lit(0).cast("bigint")
+        rows = met.select(F.col("dst").alias("opinion_id"), "word", "bits", none.alias("_seen"))
+        for level in levels:
+            rows = rows.unionByName(level.select("opinion_id", "word", none.alias("bits"), F.col("bits").alias("_seen")))
+        found = rows.groupBy("opinion_id", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("_seen").alias("_seen"))
+        fresh = found.select("opinion_id", "word", F.col("bits").bitwiseAND(F.bitwise_not("_seen")).alias("bits")).filter("bits <> 0")
+        level = materialize(fresh, "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return levels
+
+
 def graph_walk(
     citations: DataFrame, opinions: DataFrame, roots: DataFrame, max_depth: int = 3,
     direction: str = "outgoing", rows_per_cell: int = ROWS_PER_CELL,
 ) -> DataFrame:
     """Nodes within ``max_depth`` steps of every root, with the least depth.
 
-    ``roots`` has ``root_id``; roots that are no opinions start no walk. One job
-    per level serves all roots: the frontier meets the steps, known nodes are
-    dropped, and the new level is written to the shared folder so that later
-    levels never recompute earlier ones. The loop ends early on an empty level.
+    ``roots`` has ``root_id``; roots that are no opinions start no walk. All walks
+    go on together as sets of roots on nodes (:func:`walk_levels`); only the result
+    has a row for each root and node.
     """
     steps = walk_steps(citations, direction)
     if max_depth > 1:
         steps = materialize(steps, "steps")
+    words = materialize(number_roots(roots, opinions), "words")
+    single = words.select("word", F.explode("members").alias("m")).select(
+        F.col("m.root_id").alias("opinion_id"), "word", F.expr("shiftleft(1L, m.bit)").alias("bits"))
+    levels = walk_levels(steps, single, max_depth, rows_per_cell)
+    nodes = levels[0].withColumn("depth", F.lit(0))
+    for depth, level in enumerate(levels[1:], 1):
+        nodes = nodes.unionByName(level.withColumn("depth", F.lit(depth)))
     names = opinions.select("opinion_id", "case_name", "court_id")
-    start = roots.select("root_id").distinct().join(
-        opinions.select(F.col("opinion_id").alias("root_id")), "root_id", "left_semi")
-    level = materialize(
-        start.select("root_id", F.col("root_id").alias("opinion_id"), F.lit(0).alias("depth")), "level")
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        seen = levels[0]
-        for earlier in levels[1:]:
-            seen = seen.unionByName(earlier)
-        frontier = level.select("root_id", F.col("opinion_id").alias("src"))
-        # a node may have many steps, and many roots may stand on one node
-        reached = pair_join(frontier, steps, ["src"], F.col("root_id"), F.col("dst"), rows_per_cell)
-        fresh = (
-            reached.select("root_id", F.col("dst").alias("opinion_id")).distinct()
-            .join(seen.select("root_id", "opinion_id"), ["root_id", "opinion_id"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        level = materialize(fresh, "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    nodes = levels[0]
-    for earlier in levels[1:]:
-        nodes = nodes.unionByName(earlier)
-    return nodes.join(names, "opinion_id").select(
-        "root_id", "opinion_id", "depth", "case_name", "court_id")
+    own = F.expr("filter(members, m -> getbit(bits, m.bit) = 1)")
+    return nodes.join(names, "opinion_id").join(words, "word").select(
+        F.explode(own).alias("m"), "opinion_id", "depth", "case_name", "court_id").select(
+        F.col("m.root_id").alias("root_id"), "opinion_id", "depth", "case_name", "court_id")
 
 
 def min_depth_per_node(visits: DataFrame) -> DataFrame:
@@ -107,45 +131,27 @@ def citation_in_degree(citations: DataFrame, opinions: DataFrame) -> DataFrame:
         "in_degree", F.coalesce("in_degree", F.lit(0)).cast("bigint"))
 
 
-def find_roots(
-    queries: DataFrame | Sequence[str], opinions: DataFrame, extractions: DataFrame, block: int = ROOT_BLOCK,
-) -> DataFrame:
+def find_roots(queries: DataFrame | Sequence[str], opinions: DataFrame, extractions: DataFrame) -> DataFrame:
     """(query, opinion_id): the start opinion of every different query, null where there is none.
 
     ``queries`` is a list or a table with the column ``query``. A query that holds
-    a citation finds the opinion of least id whose text has the volume and, later,
-    the page; failing that, or for a topic, the newest completed extraction with
-    exactly that topic. Topics are a join. Citations go through the texts in
-    blocks, one scan and one row per hit for each; a block is done with before
-    the next is read.
+    a citation finds the opinion of least id whose text has the volume and, behind
+    it, the page; failing that, or for a topic, the newest completed extraction
+    with exactly that topic. Both are joins: one pass over the texts and one over
+    the topics serve any number of queries.
     """
     spark = opinions.sparkSession
     if not isinstance(queries, DataFrame):
         queries = spark.createDataFrame([(q,) for q in queries], "query string")
-    asked = queries.select("query").filter("query is not null").distinct()
-    cited = asked.withColumn("c", parse_citation(F.col("query"))).filter("c.volume is not null").select(
-        F.col("query").alias("query_id"), "c.volume", "c.page")
-    found = spark.createDataFrame([], "query string, opinion_id bigint")
-    for part in query_blocks(cited, block):
-        hits = _holders(opinions, part).groupBy("query").agg(F.min("opinion_id").alias("opinion_id"))
-        found = found.unionByName(materialize(hits, "holders") if len(part) == block else hits)
-    topics = topic_roots(extractions, asked.withColumnRenamed("query", "topic")).withColumnRenamed("topic", "query")
-    return asked.join(found, "query", "left").join(topics, "query", "left").select(
-        "query", F.coalesce("opinion_id", "root_id").alias("opinion_id"))
-
-
-def _holders(opinions: DataFrame, part: Sequence) -> DataFrame:
-    """(query, opinion_id) of the texts that hold the numbers of a query, the page behind the volume."""
-    text = F.col("raw_text")
-    wanted = F.array(*[
-        F.struct(F.lit(r.query_id).alias("query"), F.lit(str(r.volume)).alias("volume"), F.lit(str(r.page)).alias("page"))
-        for r in part])
-
-    def held(q: Column) -> Column:
-        at = F.call_function("locate", q["volume"], text)
-        return (at > 0) & (F.call_function("locate", q["page"], text, at + F.length(q["volume"])) > 0)
-
-    return opinions.select("opinion_id", F.explode(F.transform(F.filter(wanted, held), lambda q: q["query"])).alias("query"))
+    asked = materialize(queries.select("query").filter("query is not null").distinct().withColumn(
+        "c", parse_citation(F.col("query"))).select("query", "c.volume", "c.page"), "asked")
+    pairs = asked.filter("volume is not null").select("volume", "page").distinct()
+    holders = resolution.match_numbers(pairs, opinions, resolution.INSIDE)
+    topics = topic_roots(extractions, asked.select(F.col("query").alias("topic"))).withColumnRenamed("topic", "query")
+    # words of a topic are no citation, so rows without one stay out of the join on it
+    cited = asked.filter("volume is not null").join(holders, ["volume", "page"], "left").select("query", F.col("exact_id").alias("opinion_id"))
+    found = cited.unionByName(asked.filter("volume is null").select("query", F.lit(None).cast("bigint").alias("opinion_id")))
+    return found.join(topics, "query", "left").select("query", F.coalesce("opinion_id", "root_id").alias("opinion_id"))
 
 
 def topic_roots(extractions: DataFrame, topics: DataFrame | None = None) -> DataFrame:

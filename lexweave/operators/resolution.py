@@ -6,22 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.citations import extract_citations, parse_citation
+from lexweave.operators.ranking import top_per_group
 from lexweave.operators.skew import pair_join
 from lexweave.runtime import materialize
 
 _VOLUME, _PAGE = "v", "p"
 _GRAM = 4
+#: Volumes have up to four digits and pages up to five, so the numbers asked for fit into maps of so many bits.
+_VOLUMES, _PAGES = 10_000, 100_000
+#: How a volume and a page stand in a text: the volume before a blank and, later, the page behind one; or both anywhere
+#: among digits, the page behind the volume.
+APART, INSIDE = "apart", "inside"
+#: Texts in which a pair is looked for first, by least id; they are the first of those that have its rarer number.
+FIRST_TEXTS = 500
 
 
-def number_index(opinions: DataFrame) -> DataFrame:
-    """Where numbers stand in the texts: ``(kind, number, opinion_id, place)``.
+class NumberMap:
+    """Which volumes and pages are asked for, as two bit maps of 14 KB in all whatever their number."""
+
+    def __init__(self, pairs: DataFrame) -> None:
+        def words(column: str, size: int) -> list[int]:
+            number = F.col(column)
+            rows = pairs.groupBy(F.shiftright(number, 6).alias("w")).agg(
+                F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect()
+            out = [0] * (size // 64 + 1)
+            for r in rows:  # one row for each word of a map of fixed size
+                out[r.w] = r.bits
+            return out
+
+        self.maps = {_VOLUME: words("volume", _VOLUMES), _PAGE: words("page", _PAGES)}
+
+    def has(self, kind: str, digits: Column) -> Column:
+        """Whether a run of digits, without needless zeros, is a number asked for."""
+        number = digits.cast("int")
+        bits = F.split(F.lit(",".join(map(str, self.maps[kind]))), ",").cast("array<bigint>")  # folded to a constant
+        return ((digits == "0") | ~digits.startswith("0")) & (
+            F.getbit(F.get(bits, F.shiftright(number, 6)), number.bitwiseAND(F.lit(63))) == 1)
+
+
+def number_index(opinions: DataFrame, asked: NumberMap) -> DataFrame:
+    """Where volumes and pages that are asked for stand apart in the texts: ``(kind, number, opinion_id, place)``.
 
     The text match looks for a volume followed by a blank and, later, a blank
     followed by a page. So a volume is the tail of a digit run before a blank,
     and a page the head of a run after one. Runs are numbered; places are chosen
     so that a page follows a volume exactly when its place is greater, which
-    rules out two runs that share their only blank. Per text and number the first
-    volume place and the last page place are kept.
+    rules out two runs that share their only blank. No other number leaves its text.
     """
     runs = F.regexp_extract_all("raw_text", F.lit("[0-9]+"), 0)
     gaps = F.split("raw_text", "[0-9]+", -1)
@@ -31,16 +61,16 @@ def number_index(opinions: DataFrame) -> DataFrame:
         size = F.length(run)
         tails = F.filter(
             F.transform(F.sequence(F.lit(1), F.least(size, F.lit(4))), lambda n: F.substring(run, -n, 4)),
-            lambda t: (t == "0") | ~t.startswith("0"))
+            lambda t: asked.has(_VOLUME, t))
         heads = F.filter(
             F.transform(F.sequence(F.lit(1), F.least(size, F.lit(5))), lambda n: F.substring(run, F.lit(1), n)),
-            lambda t: (t == "0") | ~t.startswith("0"))
+            lambda t: asked.has(_PAGE, t))
         volumes = F.transform(tails, lambda t: F.struct(
-            F.lit(_VOLUME).alias("kind"), t.alias("number"), (i * 2).alias("place")))
+            F.lit(_VOLUME).alias("kind"), t.cast("int").alias("number"), (i * 2).alias("place")))
         pages = F.transform(heads, lambda t: F.struct(
-            F.lit(_PAGE).alias("kind"), t.alias("number"),
+            F.lit(_PAGE).alias("kind"), t.cast("int").alias("number"),
             F.when(before == " ", i * 2 - 2).otherwise(i * 2).alias("place")))
-        none = F.array().cast("array<struct<kind:string,number:string,place:int>>")
+        none = F.array().cast("array<struct<kind:string,number:int,place:int>>")
         return F.concat(
             F.when(after.startswith(" "), volumes).otherwise(none),
             F.when(before.endswith(" "), pages).otherwise(none))
@@ -51,6 +81,28 @@ def number_index(opinions: DataFrame) -> DataFrame:
     return rows.select("opinion_id", "r.kind", "r.number", "r.place")
 
 
+def piece_index(opinions: DataFrame, asked: NumberMap) -> DataFrame:
+    """Where volumes and pages that are asked for begin among the digits of the texts: ``(kind, number, opinion_id, place)``.
+
+    Every digit begins pieces of up to five digits of its run, and places count
+    digits: a page begins behind a volume if its place is that of the volume plus
+    the volume's length, or greater. A run may be of any length.
+    """
+    begun = F.regexp_extract_all("raw_text", F.lit("(?=([0-9]{1,5}))"), 1)
+
+    def pieces(head: Column, i: Column) -> Column:
+        def found(kind: str, longest: int) -> Column:
+            own = F.transform(F.sequence(F.lit(1), F.least(F.length(head), F.lit(longest))), lambda n: F.substring(head, F.lit(1), n))
+            return F.transform(F.filter(own, lambda t: asked.has(kind, t)), lambda t: F.struct(
+                F.lit(kind).alias("kind"), t.cast("int").alias("number"), i.alias("place")))
+
+        return F.concat(found(_VOLUME, 4), found(_PAGE, 5))
+
+    rows = opinions.select("opinion_id", begun.alias("_begun")).select(
+        "opinion_id", F.explode(F.flatten(F.transform("_begun", pieces))).alias("r"))
+    return rows.select("opinion_id", "r.kind", "r.number", "r.place")
+
+
 def resolve_exact(citations: DataFrame, opinions: DataFrame, mode: str = "key") -> DataFrame:
     """Least opinion id for every distinct (volume, reporter, page).
 
@@ -63,43 +115,52 @@ def resolve_exact(citations: DataFrame, opinions: DataFrame, mode: str = "key")
         raise ValueError(f"mode must be 'like' or 'key', got {mode!r}")
     pairs = citations.select("volume", "page").distinct()
     return citations.select("volume", "reporter", "page").distinct().join(
-        _resolve_by_numbers(pairs, opinions), ["volume", "page"])
+        match_numbers(pairs, opinions, APART), ["volume", "page"])
 
 
-def _resolve_by_numbers(pairs: DataFrame, opinions: DataFrame) -> DataFrame:
-    """Matches through the number index, probing each pair by its rarer number."""
-    wanted = pairs.select(F.lit(_VOLUME).alias("kind"), F.col("volume").cast("string").alias("number")).unionByName(
-        pairs.select(F.lit(_PAGE).alias("kind"), F.col("page").cast("string").alias("number"))).distinct()
-    hits = number_index(opinions).join(wanted, ["kind", "number"], "left_semi")
+def match_numbers(pairs: DataFrame, opinions: DataFrame, how: str) -> DataFrame:
+    """(volume, page, exact_id): the least opinion whose text has the numbers in that order, ``APART`` or ``INSIDE`` digits.
+
+    ``pairs`` (volume, page) are different. Each pair is looked up by the rarer of
+    its numbers: first in the ``FIRST_TEXTS`` texts of least id that have it, which
+    settles all pairs with a match among them or with no further text, then the
+    rest in all texts. So a pair of common numbers does not go through every text.
+    """
+    pairs = materialize(pairs, "pairs")
+    asked = NumberMap(pairs)
+    hits = number_index(opinions, asked) if how == APART else piece_index(opinions, asked)
     # First volume place and last page place in one pass: pages count downwards.
     signed = F.when(F.col("kind") == _PAGE, -F.col("place")).otherwise(F.col("place"))
-    index = hits.groupBy("kind", "number", "opinion_id").agg(F.min(signed).alias("place"))
-    index = materialize(index, "numbers")
+    index = materialize(hits.groupBy("kind", "number", "opinion_id").agg(F.min(signed).alias("place")), "numbers")
     counts = index.groupBy("kind", "number").agg(F.count(F.lit(1)).alias("n"))
 
     def count_of(kind: str, column: str) -> DataFrame:
-        rows = counts.filter(F.col("kind") == kind)
-        return rows.select(F.col("number").cast("int").alias(column), F.col("n").alias(f"n_{kind}"))
+        return counts.filter(F.col("kind") == kind).select(F.col("number").alias(column), F.col("n").alias(f"n_{kind}"))
 
     sized = pairs.join(count_of(_VOLUME, "volume"), "volume").join(count_of(_PAGE, "page"), "page")
     by_volume = F.col("n_v") <= F.col("n_p")
-    volume, page_no = F.col("volume").cast("string"), F.col("page").cast("string")
-    probes = sized.select(
-        "volume", "page",
+    probes = materialize(sized.select(
+        "volume", "page", F.least("n_v", "n_p").alias("n"),
         F.when(by_volume, _VOLUME).otherwise(_PAGE).alias("kind"),
-        F.when(by_volume, volume).otherwise(page_no).alias("number"),
+        F.when(by_volume, F.col("volume")).otherwise(F.col("page")).alias("number"),
         F.when(by_volume, _PAGE).otherwise(_VOLUME).alias("_kind"),
-        F.when(by_volume, page_no).otherwise(volume).alias("_number"),
-    )
-    # a common number stands in very many texts and is asked for by many pairs
-    near = pair_join(probes, index, ["kind", "number"], F.struct("volume", "page"), F.col("opinion_id")).select(
-        "volume", "page", "opinion_id", F.col("place").alias("_place"),
-        F.col("_kind").alias("kind"), F.col("_number").alias("number"))
-    both = near.join(index, ["kind", "number", "opinion_id"])
-    first = F.when(F.col("kind") == _PAGE, F.col("_place")).otherwise(F.col("place"))
-    last = -F.when(F.col("kind") == _PAGE, F.col("place")).otherwise(F.col("_place"))
-    return both.filter(last > first).groupBy("volume", "page").agg(
-        F.min("opinion_id").alias("exact_id"))
+        F.when(by_volume, F.col("page")).otherwise(F.col("volume")).alias("_number")), "probes")
+    room = F.lit(1) if how == APART else F.length(F.col("volume").cast("string"))
+
+    def matches(some: DataFrame, places: DataFrame) -> DataFrame:
+        # a common number stands in very many texts and is asked for by many pairs
+        near = pair_join(some, places, ["kind", "number"], F.struct("volume", "page"), F.col("opinion_id")).select(
+            "volume", "page", "opinion_id", F.col("place").alias("_place"),
+            F.col("_kind").alias("kind"), F.col("_number").alias("number"))
+        both = near.join(index, ["kind", "number", "opinion_id"])
+        first = F.when(F.col("kind") == _PAGE, F.col("_place")).otherwise(F.col("place"))
+        last = -F.when(F.col("kind") == _PAGE, F.col("place")).otherwise(F.col("_place"))
+        return both.filter(last >= first + room).groupBy("volume", "page").agg(F.min("opinion_id").alias("exact_id"))
+
+    early = top_per_group(index, ["kind", "number"], [F.col("opinion_id")], FIRST_TEXTS)
+    found = materialize(matches(probes, early), "matches")
+    open_ = materialize(probes.filter(F.col("n") > FIRST_TEXTS).join(found, ["volume", "page"], "left_anti"), "open")
+    return found if open_.isEmpty() else found.unionByName(matches(open_, index))
 
 
 def _resolve_by_key(citations: DataFrame, opinions: DataFrame) -> DataFrame:
@@ -151,7 +212,9 @@ def resolve_fuzzy(queries: DataFrame, opinions: DataFrame) -> DataFrame:
     ).groupBy("name", "filed").agg(newest.alias("newest")), "names")
     inside = _names_containing(asked.select("term").distinct(), names.select("name").distinct())
     wanted = asked.select("term", "year").distinct()
-    hits = wanted.join(inside, "term").join(names, "name").filter(
+    # a term may lie in very many names and be asked for with many years; so may a name hold many terms and be filed often
+    named = pair_join(wanted, inside, ["term"], F.col("year"), F.col("name"))
+    hits = pair_join(named, names, ["name"], F.struct("term", "year"), F.col("filed")).filter(
         F.col("year").isNull() | F.col("filed").between(F.col("year") - 1, F.col("year") + 1))
     best = hits.groupBy("term", "year").agg(F.max("newest").alias("newest"))
     matched = best.select("term", F.col("year").alias("_year"), (-F.col("newest.neg_id")).alias("fuzzy_id"))

@@ -18,7 +18,7 @@ def _joined(c):
 
 def _pairs(c):
     """Pairs whose evidence reaches the threshold of a conflict."""
-    scored = cf.score_pairs(cf.conflict_pairs(cf.profiles(_joined(c)), min_confidence=0.5), _as_of())
+    scored = cf.score_pairs(cf.conflict_pairs(cf.profiles(_joined(c)), min_confidence=0.5, as_of=_as_of()), _as_of())
     return scored.filter(F.col("confidence") >= 0.5)
 
 

@@ -104,6 +104,16 @@ def test_conflicts_same_court_none_and_pair_filter(spark):
     assert cf.detect_conflicts(prof, F.lit(AS_OF), court_pairs=[("ca9", "ca5")], min_confidence=0.0).count() == 1
 
 
+def test_conflicts_of_opinions_filed_after_the_day_of_the_ages(spark):
+    base = ("supreme", "Case", date(2020, 1, 1))
+    rows = [(1, "scotus", *base, "affirmed", ["t"], []), (2, "ca9", *base, "reversed", ["t"], [])]
+    prof = cf.profiles(spark.createDataFrame(rows, SCHEMA))
+    day = F.lit(date(2010, 1, 1))
+    for least in (0.47, 0.5):
+        assert [r.confidence for r in cf.detect_conflicts(prof, day, min_confidence=least).collect()] == [0.505]
+    assert cf.detect_conflicts(prof, day, min_confidence=0.51).count() == 0
+
+
 def graph_frames(spark, edges, n):
     cites = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)],
                                   "citation_id long, citing_opinion_id long, cited_opinion_id long")
@@ -162,8 +172,9 @@ def test_unknown_root_gives_empty_graph(spark):
     assert edges.count() == 1
 
 
-@pytest.mark.parametrize("block", [1, 256])
-def test_roots_of_citations_and_topics(spark, block):
+@pytest.mark.parametrize("first", [1, 500])
+def test_roots_of_citations_and_topics(spark, first, monkeypatch):
+    monkeypatch.setattr(resolution, "FIRST_TEXTS", first)
     texts = ["12 U.S. 7", "7 then 12", "112, 70", "topic a", None, "40 U.S. 40", "x40x", "1 U.S. 11", "11"]
     opinions = spark.createDataFrame(list(enumerate(texts)), "opinion_id long, raw_text string")
     rows = [(1, 3, ["a", "b"], "completed", AS_OF), (2, 5, ["a"], "completed", AS_OF), (3, 6, ["b"], "failed", AS_OF)]
@@ -171,7 +182,7 @@ def test_roots_of_citations_and_topics(spark, block):
         rows, "extraction_id long, opinion_id long, legal_topics array<string>, status string, created_at date")
     asked = ["12 U.S. 7", "40 U.S. 40", "1 U.S. 11", "9 F.3d 9", "a", "b", "none", "a", "it's 12 U.S. 7 (1999)"]
     table = spark.createDataFrame([(q,) for q in asked] + [(None,)], "query string")
-    got = {r.query: r.opinion_id for r in graph.find_roots(table, opinions, ext, block).collect()}
+    got = {r.query: r.opinion_id for r in graph.find_roots(table, opinions, ext).collect()}
     want = {"9 F.3d 9": None, "a": 5, "b": 3, "none": None}
     for q, pattern in (("12 U.S. 7", "12.*7"), ("40 U.S. 40", "40.*40"), ("1 U.S. 11", "1.*11"), ("it's 12 U.S. 7 (1999)", "12.*7")):
         want[q] = min((i for i, t in enumerate(texts) if t and re.search(pattern, t)), default=None)
@@ -179,7 +190,39 @@ def test_roots_of_citations_and_topics(spark, block):
     assert {r.query: r.opinion_id for r in graph.find_roots(asked, opinions, ext).collect()} == want
 
 
-def test_text_match_equals_like_on_awkward_numbers(spark):
+def test_thousands_of_roots_are_found_in_one_pass(spark):
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(10 ** rng.randint(1, 6))) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    opinions = spark.createDataFrame(list(enumerate(texts)), "opinion_id long, raw_text string").repartition(4)
+    ext = spark.createDataFrame([], "extraction_id long, opinion_id long, legal_topics array<string>, status string, created_at date")
+    asked = [f"{rng.randrange(1, 1200)} U.S. {rng.randrange(1, 9000)}" for _ in range(5000)]
+    got = {r.query: r.opinion_id for r in graph.find_roots(spark.createDataFrame([(q,) for q in asked], "query string"), opinions, ext).collect()}
+    assert set(got) == set(asked)
+    for q in asked:
+        volume, page = q.split(" U.S. ")
+        like = re.compile(f"{volume}.*{page}")
+        assert got[q] == next((i for i, t in enumerate(texts) if like.search(t)), None), q
+
+
+def test_walks_share_the_rows_of_a_landmark(spark):
+    roots, nodes = range(1000), range(2000, 2100)
+    edges = [(r, 1500) for r in roots] + [(1500, n) for n in nodes] + [(n, n + 500) for n in nodes]
+    cites, names = graph_frames(spark, edges, 3000)
+    asked = spark.createDataFrame([(r,) for r in roots], "root_id long").coalesce(1)
+    words = graph.number_roots(asked, names)
+    assert words.count() == 16 and words.select(F.explode("members")).count() == 1000
+    start = words.select("word", F.explode("members").alias("m")).select(
+        F.col("m.root_id").alias("opinion_id"), "word", F.expr("shiftleft(1L, m.bit)").alias("bits"))
+    levels = graph.walk_levels(graph.walk_steps(cites, "outgoing"), start, 3)
+    # the rows follow nodes times words of 64 roots, not nodes times roots
+    assert [level.count() for level in levels] == [1000, 16, 1600, 1600]
+    got = graph.graph_walk(cites, names, asked, 3).groupBy("root_id").agg(F.count("*").alias("n"), F.sum("depth").alias("d")).collect()
+    assert len(got) == 1000 and {(r.n, r.d) for r in got} == {(202, 501)}
+
+
+@pytest.mark.parametrize("first", [2, 500])
+def test_text_match_equals_like_on_awkward_numbers(spark, first, monkeypatch):
+    monkeypatch.setattr(resolution, "FIRST_TEXTS", first)
     rng = random.Random(11)
     pieces = ["12", "3", "0", "12 3", "123", " ", "  ", "x", "1 U.S. 2", "2\n3", "40 ", " 4", "012", "a12 b3", "5 5"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 7))) for _ in range(250)] + ["12 3", "12  3", "3 12"]
@@ -212,6 +255,19 @@ def test_fuzzy_equals_scan(spark):
     assert got == want
 
 
+def test_fuzzy_with_one_name_of_very_many_opinions_and_terms(spark):
+    rng = random.Random(6)
+    name = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    opinions = spark.range(20_000).select(
+        F.col("id").alias("opinion_id"), F.lit(name).alias("case_name"), F.date_add(F.lit("1960-01-01").cast("date"), F.col("id").cast("int")).alias("date_filed"))
+    terms = sorted({name[i:i + n] for i in range(300) for n in range(4, 120) if i + n <= 300})[:20_000]
+    asked = spark.createDataFrame([(t, None if k % 2 else 1970) for k, t in enumerate(terms)], "case_name string, year int")
+    got = resolution.resolve_fuzzy(asked, opinions)
+    best = {None: 19_999, 1970: (date(1971, 12, 31) - date(1960, 1, 1)).days}
+    counts = {(r.year, r.fuzzy_id): r["count"] for r in got.groupBy("year", "fuzzy_id").count().collect()}
+    assert counts == {(None, best[None]): len(terms) // 2, (1970, best[1970]): len(terms) - len(terms) // 2}
+
+
 def test_resolution_prefers_text_and_keeps_every_authority(spark):
     opinions = spark.createDataFrame(
         [(1, "District of Columbia v. Heller", date(2008, 6, 26), "reported at 554 U.S. 570 here"),
