@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,8 +16,10 @@ from lexweave.functions.vectors import clamp_score, cosine, unit
 from lexweave.operators.ranking import top_per_group
 from lexweave.runtime import materialize
 
-# Queries scored in one pass over the vectors; more queries take more passes.
+# Queries that are sent to every task at most; more of them meet the vectors in cells.
 QUERY_BLOCK = 2048
+# Vectors of a cell.
+PACK = 8192
 
 
 def search_one(vectors: DataFrame, query: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
@@ -78,52 +81,97 @@ def _partial_top(queries: np.ndarray, query_ids: list, id_type: pa.DataType, k:
 
 def similarity_topk(
     vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None,
-    block: int = QUERY_BLOCK,
+    block: int = QUERY_BLOCK, pack: int = PACK,
 ) -> DataFrame:
     """Top ``k`` vectors per query: ``(query_id, opinion_id, score, rank)``.
 
-    ``queries`` has ``query_id`` (int or string) and ``embedding``. Each task
-    multiplies its vectors with a block of queries and keeps ``k`` per query, so
-    the shuffle carries ``k`` rows per task and query instead of every score.
-    Blocks bound what is sent to the tasks; any number of queries is served by
-    further passes. Exact, ties by least id.
+    ``queries`` has ``query_id`` (int or string) and ``embedding``. Up to ``block``
+    queries are sent to the tasks, which score the vectors where they lie. More
+    queries are dealt to blocks and the vectors to packs, and each two meet in a
+    cell of their own. Either way it is one job, a task or cell keeps ``k`` per
+    query, and so the shuffle of results carries no other scores. Exact, ties by
+    least id.
     """
     rows = (vectors if where is None else vectors.filter(where)).select("opinion_id", "embedding").filter("embedding is not null")
     id_type = queries.schema["query_id"].dataType.simpleString()
     arrow_type = pa.string() if id_type == "string" else pa.int64()
     out_type = "string" if id_type == "string" else "bigint"
+    schema = f"query_id {out_type}, opinion_id bigint, score double"
     ask = queries.filter("embedding is not null").select("query_id", unit(F.col("embedding")).alias("u"))
-    passes = []
-    for part in query_blocks(ask, block):
-        ids = [r.query_id for r in part]
-        matrix = np.array([r.u for r in part], dtype=np.float64)
-        partial = rows.mapInArrow(
-            _partial_top(matrix, ids, arrow_type, k), f"query_id {out_type}, opinion_id bigint, score double")
-        best = top_per_group(partial, ["query_id"], [F.desc("score"), F.col("opinion_id")], k, rank="rank")
-        # a full block is done with before the next is read, so the driver never holds two
-        passes.append(materialize(best, "hits") if len(part) == block else best)
-    if not passes:
-        return rows.sparkSession.createDataFrame(
-            [], f"query_id {out_type}, opinion_id bigint, score double, rank int")
-    merged = passes[0]
-    for more in passes[1:]:
-        merged = merged.unionByName(more)
-    return merged
-
-
-def query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
-    """Queries in blocks of bounded size, ordered by id and read one block at a time."""
-    last = None
-    if queries.limit(block + 1).count() > block:
-        queries = materialize(queries, "queries")
-    while True:
-        rest = queries if last is None else queries.filter(F.col("query_id") > F.lit(last))
-        part = rest.orderBy("query_id").limit(block).collect()
-        if part:
-            yield part
-        if len(part) < block:
-            return
-        last = part[-1].query_id
+    few = ask.limit(block + 1).collect()
+    if len(few) <= block:
+        matrix = np.array([r.u for r in few], dtype=np.float64)
+        if not few:
+            return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
+        partial = rows.mapInArrow(_partial_top(matrix, [r.query_id for r in few], arrow_type, k), schema)
+    else:
+        def best(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            ids = own["opinion_id"].to_numpy()
+            scores = np.stack(asked["u"]) @ _unit_rows(own["embedding"]).T
+            top, top_ids = _best(scores, np.broadcast_to(ids, scores.shape), k)
+            return pd.DataFrame({
+                "query_id": np.repeat(asked["query_id"].to_numpy(), top.shape[1]), "opinion_id": top_ids.ravel(), "score": top.ravel()})
+
+        partial = _in_cells(ask.withColumn("query_id", F.col("query_id").cast(out_type)), rows, block, pack, best, schema)
+    return top_per_group(partial, ["query_id"], [F.desc("score"), F.col("opinion_id")], k, rank="rank")
+
+
+def _unit_rows(lists: pd.Series) -> np.ndarray:
+    rows = np.stack(lists).astype(np.float64)
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + NORM_EPSILON)
+
+
+def _in_cells(queries: DataFrame, rows: DataFrame, block: int, pack: int, work, schema: str) -> DataFrame:
+    """``work`` on every block of ``queries`` (query_id, u) with every pack of ``rows`` (opinion_id, embedding).
+
+    Blocks and packs are numbered rows, so any number of queries is one job: each
+    query is copied once for each pack and each vector once for each block.
+    """
+    queries, rows = materialize(queries, "queries"), materialize(rows, "vectors")
+    blocks, packs = (max(1, math.ceil(t.count() / size)) for t, size in ((queries, block), (rows, pack)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.withColumn("block", part("query_id", blocks)).withColumn("pack", every(packs)).groupBy("block", "pack")
+    right = rows.withColumn("pack", part("opinion_id", packs)).withColumn("block", every(blocks)).groupBy("block", "pack")
+
+    def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(own):
+            return pd.DataFrame({name.split()[0]: [] for name in schema.split(", ")})
+        return work(asked, own)
+
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+def cosine_matrix(vectors: DataFrame, anchors: DataFrame, block: int = QUERY_BLOCK, pack: int = PACK) -> DataFrame:
+    """(anchor_id, opinion_id, cosine) of every anchor (anchor_id, embedding) with every vector.
+
+    The output has a row for each pair, so ``anchors`` is the query set that a
+    caller states. Up to ``block`` anchors are sent to the tasks; more meet the
+    vectors in cells, as in :func:`similarity_topk`.
+    """
+    rows = vectors.select("opinion_id", "embedding").filter("embedding is not null")
+    ask = anchors.filter("embedding is not null").select(F.col("anchor_id").alias("query_id"), unit(F.col("embedding")).alias("u"))
+    schema = f"anchor_id {anchors.schema['anchor_id'].dataType.simpleString()}, opinion_id bigint, cosine double"
+
+    def all_of(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        cosines = np.stack(asked["u"]) @ _unit_rows(own["embedding"]).T
+        return pd.DataFrame({
+            "anchor_id": np.repeat(asked["query_id"].to_numpy(), len(own)), "opinion_id": np.tile(own["opinion_id"].to_numpy(), len(asked)),
+            "cosine": cosines.ravel()})
+
+    few = ask.limit(block + 1).collect()
+    if len(few) > block:
+        return _in_cells(ask, rows, block, pack, all_of, schema)
+    asked = pd.DataFrame({"query_id": [r.query_id for r in few], "u": [r.u for r in few]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame) and len(asked):
+                # so many anchors at a time that the rows handed on stay few
+                for i in range(0, len(asked), 64):
+                    yield all_of(asked.iloc[i:i + 64], frame)
+
+    return rows.mapInPandas(run, schema)
 
 
 def _greedy(k: int, lambda_mult: float):
@@ -214,18 +262,6 @@ def search_metrics(results: DataFrame, queries: DataFrame, diversity: DataFrame
     )
 
 
-def anchor_cosines(vectors: DataFrame, anchors: DataFrame, group: str) -> DataFrame:
-    """``vectors`` with ``anchor_id`` and ``cosine``: how near each is to the anchor of its own group.
-
-    ``anchors`` has ``anchor_id`` (a value of ``group``) and ``embedding``. One row
-    per vector, so the output grows with the vectors alone; rows of a group without
-    an anchor are left out.
-    """
-    mean = anchors.select("anchor_id", F.col("embedding").alias("_anchor"))
-    met = vectors.join(mean, vectors[group] == mean["anchor_id"])
-    return met.withColumn("cosine", cosine(F.col("embedding"), F.col("_anchor"))).drop("_anchor")
-
-
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """Mean vector per group, summed per dimension before any shuffle."""
     flat = vectors.select(group, F.posexplode("embedding").alias("dim", "x"))

@@ -103,14 +103,20 @@ def mmr_rerank(c):
         "query_id", "opinion_id", "position", F.round("score", 6).alias("score"))
 
 
-@query("cosine_matrix", f"""
-    WITH {_ASK.strip()} SELECT CAST(query_id AS BIGINT) AS anchor_id, opinion_id,
-      round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS cosine FROM ask JOIN v_vectors ON label = query_id""")
+_ANCHORED = """
+    SELECT a.opinion_id AS anchor_id, b.opinion_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine
+    FROM v_vectors a CROSS JOIN v_vectors b WHERE a.opinion_id % 100 = 0"""
+
+
+def _anchored(c):
+    anchors = _vectors(c).filter("opinion_id % 100 = 0").select(F.col("opinion_id").alias("anchor_id"), "embedding")
+    return se.cosine_matrix(_vectors(c), anchors)
+
+
+@query("cosine_matrix", f"SELECT anchor_id, opinion_id, round(cosine, 6) AS cosine FROM ({_ANCHORED})")
 def cosine_matrix(c):
-    """Every vector against the mean of its label."""
-    anchors = _queries(c).withColumnRenamed("query_id", "anchor_id")
-    return se.anchor_cosines(_vectors(c), anchors, "label").select(
-        F.col("anchor_id").cast("bigint").alias("anchor_id"), "opinion_id", F.round("cosine", 6).alias("cosine"))
+    """Every vector with an id divisible by 100 against all vectors."""
+    return _anchored(c).select("anchor_id", "opinion_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("pairwise_diversity", """
@@ -153,13 +159,9 @@ def search_hits(c):
         F.round("relevance_score", 6).alias("relevance_score"), F.array_join(F.sort_array("legal_topics"), "|").alias("topics"))
 
 
-@query("clamp_score", f"""
-    WITH {_ASK.strip()} SELECT CAST(query_id AS BIGINT) AS anchor_id, opinion_id,
-      round(greatest(0, least(1, list_cosine_similarity(v, embedding::DOUBLE[]))), 6) AS relevance FROM ask JOIN v_vectors ON label = query_id""")
+@query("clamp_score", f"SELECT anchor_id, opinion_id, round(greatest(0, least(1, cosine)), 6) AS relevance FROM ({_ANCHORED})")
 def clamp_scores(c):
-    anchors = _queries(c).withColumnRenamed("query_id", "anchor_id")
-    return se.anchor_cosines(_vectors(c), anchors, "label").select(
-        F.col("anchor_id").cast("bigint").alias("anchor_id"), "opinion_id", F.round(clamp_score(F.col("cosine")), 6).alias("relevance"))
+    return _anchored(c).select("anchor_id", "opinion_id", F.round(clamp_score(F.col("cosine")), 6).alias("relevance"))
 
 
 @query("safe_iso_date", """
@@ -179,7 +181,8 @@ def vector_upsert(c):
     new = rows.filter(F.col("label") < 5).withColumn("version", F.lit(2)).withColumn(
         "embedding", F.transform("embedding", lambda x: -x))
     path = new_path(c.spark, "points")
-    sinks.append(sinks.upsert(old, new, "opinion_id", "version"), path)
+    sinks.write_buckets(old, path, "opinion_id", 8)
+    sinks.upsert_buckets(new, path, "opinion_id", "version", 8)
     return c.spark.read.parquet(path).select(
         "opinion_id", "court_id", "date_filed", "version",
         F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))

@@ -78,12 +78,26 @@ def test_mmr_equals_plain_greedy(spark, vectors, lam):
         assert mine == greedy(data, cand, data[q], 8, lam)
 
 
-def test_cosine_with_the_anchor_of_the_own_group(spark):
-    rows = [(1, 0, [3.0, 4.0]), (2, 0, [0.0, 2.0]), (3, 1, [1.0, 0.0]), (4, 9, [1.0, 1.0]), (5, None, [1.0, 1.0]), (6, 1, [0.0, 0.0])]
-    vectors = spark.createDataFrame(rows, "opinion_id long, label long, embedding array<double>")
-    anchors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0])], "anchor_id long, embedding array<double>")
-    got = {r.opinion_id: round(r.cosine, 6) for r in se.anchor_cosines(vectors, anchors, "label").collect()}
-    assert got == {1: 0.6, 2: 0.0, 3: 1.0, 6: 0.0}
+@pytest.mark.parametrize("block, pack", [(2, 30), (100, 1000)])
+def test_cosine_matrix_has_every_pair(spark, vectors, block, pack):
+    df, data = vectors
+    anchors = df.filter("opinion_id % 40 = 0").select(F.col("opinion_id").alias("anchor_id"), "embedding")
+    more = df.unionByName(spark.createDataFrame([(900, None, "c1")], df.schema))
+    got = {(r.anchor_id, r.opinion_id): r.cosine for r in se.cosine_matrix(more, anchors, block, pack).collect()}
+    assert set(got) == {(a, i) for a in range(0, 200, 40) for i in range(200)}
+    for a in range(0, 200, 40):
+        assert np.allclose([got[a, i] for i in range(200)], cosines(data, data[a]))
+    assert se.cosine_matrix(df, anchors.limit(0)).count() == 0
+
+
+def test_many_queries_are_one_job_of_cells(spark, vectors):
+    df, data = vectors
+    got = se.similarity_topk(df, ask(spark, data, range(150)), 3, block=20, pack=50)
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.filter("rank = 1").collect()
+    assert len(rows) == 150 and all(abs(r.score - 1) < 1e-6 for r in rows)
+    text = ask(spark, data, range(30)).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    assert se.similarity_topk(df, text, 2, block=20, pack=50).count() == 60
 
 
 def test_diversity_formula_equals_pairs(spark, vectors):
