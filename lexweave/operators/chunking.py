@@ -14,14 +14,15 @@ from lexweave.functions.segments import (
 
 def chunk_documents(
     docs: DataFrame, key: str = "opinion_id", text: str = "raw_text",
-    target: int = CHUNK_TARGET, limit: int = CHUNK_MAX,
+    target: int = CHUNK_TARGET, limit: int = CHUNK_MAX, parity: bool = False,
 ) -> DataFrame:
     """One row per chunk, none for blank or missing text.
 
-    No shuffle: the place in the array is the chunk number.
+    No shuffle: the place in the array is the chunk number. ``parity`` concerns
+    the offsets, see :func:`chunk_document`.
     """
     chunks = docs.select(
-        key, F.posexplode(chunk_document(F.col(text), target, limit)).alias("chunk_index", "c"))
+        key, F.posexplode(chunk_document(F.col(text), target, limit, parity)).alias("chunk_index", "c"))
     return chunks.select(key, "chunk_index", "c.*")
 
 

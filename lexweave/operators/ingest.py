@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave.constants import OPINION_URL, TEXT_FIELDS
 from lexweave.functions.scoring import court_level, iso_date, precedential_status
-from lexweave.functions.segments import chunk_document
+from lexweave.functions.segments import chunk_count
 from lexweave.functions.text import (
     is_blank, normalize_unicode, normalize_whitespace, strip_html, unescape_entities,
 )
@@ -95,7 +95,7 @@ def ingest_report(records: DataFrame, existing: DataFrame) -> DataFrame:
         "error", F.coalesce("error", F.when(F.col("raw_text") == "", "No text available")))
     counted = judged.select(
         "court_id", "opinion_id", F.col("error").isNotNull().alias("bad"),
-        F.when(F.col("error").isNull(), F.size(chunk_document(F.col("raw_text"))))
+        F.when(F.col("error").isNull(), chunk_count(F.col("raw_text")))
         .otherwise(0).alias("chunks"),
     )
     per_id = counted.groupBy("court_id", "opinion_id").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexweave.constants import CHUNK_ANCHOR, CHUNK_MAX, CHUNK_TARGET
 from lexweave.functions import text as tx
 from lexweave.functions.citations import parse_citation
-from lexweave.functions.segments import force_split, merge_paragraphs, split_paragraphs
+from lexweave.functions.segments import chunk_document, force_split, merge_paragraphs, split_paragraphs
 from lexweave.operators import chunking
 from lexweave.plans import sqltext as q
 from lexweave.plans.catalog import query
@@ -176,10 +176,25 @@ def chunk_documents(c):
 @query("chunk_offsets", _chunk_sql(
     "SELECT doc_id, chunk_index, start_char, CAST(start_char + len(chunk) AS INT) AS end_char FROM chunks"))
 def chunk_offsets(c):
-    chunks = chunking.chunk_documents(c.text_view("v_headed_docs"), "doc_id", "text")
+    """Offsets by the first occurrence of each chunk's head."""
+    chunks = chunking.chunk_documents(c.text_view("v_headed_docs"), "doc_id", "text", parity=True)
     return chunks.select("doc_id", "chunk_index", "start_char", "end_char")
 
 
+@query("chunk_spans", _chunk_sql("""
+    SELECT doc_id, chunk_index, CAST(n AS INT) AS inside,
+      CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY chunk_index) - n AS INT) AS before
+    FROM (SELECT doc_id, chunk_index, length(regexp_replace(chunk, '\\s', '', 'g')) AS n FROM chunks)"""))
+def chunk_spans(c):
+    """True places of the chunks: how many characters other than white space stand before and inside each span of the text."""
+    docs = c.text_view("v_headed_docs")
+    spans = docs.select("doc_id", "text", F.posexplode(chunk_document(F.col("text"))).alias("chunk_index", "c"))
+    solid = lambda part: F.length(F.regexp_replace(part, r"\s", ""))
+    return spans.select(
+        "doc_id", "chunk_index", solid(F.substring("text", F.col("c.start_char") + 1, F.col("c.end_char") - F.col("c.start_char"))).alias("inside"),
+        solid(F.substring("text", F.lit(1), F.col("c.start_char"))).alias("before"))
+
+
 @query("chunk_citations", _chunk_sql(f"""
     SELECT doc_id, chunk_index, string_agg(m, '|' ORDER BY i) AS citation_strings FROM (
       SELECT doc_id, chunk_index, i, m, row_number() OVER (

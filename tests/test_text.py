@@ -1,11 +1,13 @@
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
 from lexweave.functions.citations import extract_citations, parse_citation
 from lexweave.functions.segments import (
-    chunk_document, detect_sections, match_starts, merge_paragraphs, split_paragraphs, split_sentences,
+    chunk_count, chunk_document, detect_sections, match_starts, merge_paragraphs, split_paragraphs, split_sentences,
 )
 
 
@@ -133,3 +135,35 @@ def test_chunking_loses_no_words(spark):
     text = "\n\n".join(f"Paragraph {i} " + "word " * (i % 40) for i in range(300))
     chunks = one(spark, text, lambda t: chunk_document(t, 200, 300))
     assert " ".join(c.text for c in chunks).split() == text.split()
+
+
+def test_true_offsets_of_repeated_passages(spark):
+    para = "The same passage stands here twice, word for word, and is longer than eighty characters in all. " * 25
+    text = "  \n\n" + para.strip() + "\n\n \n" + para.strip() + "\n\nII. ANALYSIS\n\n" + para * 2 + "  Tail. "
+    for target, limit in ((2000, 3000), (300, 500), (5000, 900)):
+        true = one(spark, text, lambda t: chunk_document(t, target, limit))
+        first = one(spark, text, lambda t: chunk_document(t, target, limit, parity=True))
+        assert [c.text for c in true] == [c.text for c in first]
+        at = 0
+        for c in true:
+            assert c.start_char >= at and text[at:c.start_char].strip() == ""
+            assert text[c.start_char:c.end_char].split() == c.text.split()
+            assert not text[c.start_char].isspace() and not text[c.end_char - 1].isspace()
+            at = c.end_char
+        assert text[at:].strip() == ""
+    chunks = one(spark, text, chunk_document)
+    again = [c.start_char for c in chunks if c.text == para.strip()]
+    assert len(again) == 2 and len(set(again)) == 2
+
+
+def test_chunks_are_counted_by_lengths(spark):
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \n ", "x" * 9000, "I. ORDER\n\n" + "a b. C d. " * 900]
+    for _ in range(40):
+        parts = ["Word word 1 U.S. 2 (1999). " * int(rng.integers(1, 200)) for _ in range(int(rng.integers(1, 9)))]
+        texts.append(str(rng.choice(["\n\n", "\n", " \n \n", "\n\nHOLDING\n\n"])).join(parts))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for target, limit in ((2000, 3000), (300, 301), (100, 100), (900, 400)):
+        got = df.select(chunk_count(F.col("t"), target, limit).alias("n"), F.coalesce(
+            F.size(chunk_document(F.col("t"), target, limit)), F.lit(0)).alias("m")).collect()
+        assert [r.n for r in got] == [r.m if r.m > 0 else 0 for r in got]
