@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def ingest_landed(
 
 
 def extract_and_link(
-    opinions: DataFrame, infer: inference.Infer, model: str, system: str, user: str, corrective: str,
+    opinions: DataFrame, infer: inference.Infer | Mapping[str, inference.Infer], model: str, system: str, user: str, corrective: str,
     corpus: DataFrame | None = None, max_retries: int = MAX_RETRIES, threshold: float = REVIEW_THRESHOLD,
     strict: bool = False, match: str = "key",
 ) -> dict[str, DataFrame]:
@@ -55,7 +55,9 @@ def extract_and_link(
 
     ``match`` is the mode of :func:`resolution.resolve_exact`.
     """
-    docs = opinions.select("opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text")
+    docs = opinions.select(
+        "opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text",
+        *[c for c in ("extraction_model",) if c in opinions.columns])
     outcomes, log = inference.extract_documents(
         docs, infer, model, system, user, corrective, max_retries, threshold, strict)
     rows = materialize(sinks.extraction_rows(outcomes), "extractions")
@@ -65,3 +67,20 @@ def extract_and_link(
     edges = resolution.resolve_citations(cited, corpus if corpus is not None else opinions, match)
     citations = sinks.with_surrogate_id(edges, "citation_id", "citing_opinion_id", "pos").drop("pos")
     return {"extractions": rows, "citations": citations, "attempts": log}
+
+
+def extract_items(
+    items: DataFrame, opinions: DataFrame, infer: inference.Infer | Mapping[str, inference.Infer], model: str,
+    system: str, user: str, corrective: str, strict: bool = False,
+) -> DataFrame:
+    """Items of requests (opinion_id, perhaps extraction_model) with the extraction row of each, by the model that it asks for.
+
+    An opinion is sent to a model once, however many items ask for that.
+    """
+    named = F.coalesce(F.col("extraction_model"), F.lit(model)) if "extraction_model" in items.columns else F.lit(model)
+    items = materialize(items.withColumn("extraction_model", named), "items")
+    keys = ["opinion_id", "extraction_model"]
+    docs = items.select(*keys).distinct().join(opinions.select(
+        "opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text"), "opinion_id")
+    outcomes, _ = inference.extract_documents(docs, infer, model, system, user, corrective, strict=strict)
+    return items.join(sinks.extraction_rows(outcomes), keys)

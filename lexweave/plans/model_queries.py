@@ -1,7 +1,11 @@
-"""Model stages with a rule-based stand-in for the model, and checks on output."""
+"""Model stages with stand-ins that read their prompts, and checks on output."""
 
 from __future__ import annotations
 
+import json
+import re
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -110,9 +114,11 @@ def sink_extraction_outcomes(c):
         F.array_join("legal_topics", "|").alias("topics"), "status")
 
 
-def _docs(c, text_view=True):
-    opinions = c.text_view("v_opinions") if text_view else c.view("v_opinions")
-    return opinions.select("opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text")
+def _docs(c):
+    """Opinions for the model stages; those of appellate courts name their model."""
+    return c.text_view("v_opinions").select(
+        "opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text",
+        F.when(F.col("court_level") == "appellate", "claude-x").alias("extraction_model"))
 
 
 @query("build_prompts", """
@@ -131,57 +137,86 @@ def build_corrective_prompts(c):
     return bad.select("opinion_id", inf.corrective_prompt(CORRECTIVE, F.col("error"), F.col("raw")).alias("user_prompt"))
 
 
-def stand_in(batch: pd.DataFrame) -> pd.DataFrame:
-    """Answers by rule: the id decides whether and when a document gets a valid answer.
+_CITED = re.compile(r"[0-9]+ U\.S\. [0-9]+")
+
+
+def _reply(provider: str, prompt: str) -> tuple:
+    """Answer of a stand-in, from its prompt alone.
 
-    By id modulo 4: 0 valid at once, 1 valid on the second try, 2 never valid, 3 the call fails.
+    By the length of the first prompt modulo 4: 0 valid at once, 1 valid on the
+    second try, 2 never valid, 3 the call fails. A corrective prompt holds the
+    previous answer, which says what becomes of it.
     """
-    def answer(opinion_id: int, attempt: int, prompt: str) -> tuple:
-        kind = opinion_id % 4
-        if kind == 3:
-            return None, 0, 0, "provider unavailable"
-        good = kind == 0 or (kind == 1 and attempt > 1)
-        topics = '["procedure"]' if good else "[]"
-        share = (opinion_id % 10) / 10
-        content = (
-            f'{{"holding": "Holding {opinion_id}", "holding_confidence": {share}, "legal_standard": null, '
-            f'"disposition": "affirmed", "disposition_confidence": 0.9, "key_authorities": '
-            f'[{{"citation_string": "{opinion_id % 60 + 1} U.S. {opinion_id % 60 * 7 + 1}", "case_name": null, '
-            f'"citation_context": "c", "citation_type": "followed", "paragraph_context": "p"}}], '
-            f'"dissent_present": false, "legal_topics": {topics}}}')
-        return content, len(prompt), 10, None
-
-    rows = [answer(int(i), int(a), p) for i, a, p in zip(batch.opinion_id, batch.attempt, batch.user_prompt)]
+    if prompt.startswith("The answer was invalid"):
+        previous = prompt.split("\nIt was:\n", 1)[1].rsplit("\nAnswer again.", 1)[0]
+        if not previous:
+            return None, 0, 0, f"{provider} unavailable"
+        told = json.loads(previous)
+        if told["legal_standard"] == "open":
+            told["legal_topics"] = ["procedure"]
+        return json.dumps(told), len(prompt), 10, None
+    kind = len(prompt) % 4
+    if kind == 3:
+        return None, 0, 0, f"{provider} unavailable"
+    cited = _CITED.search(prompt).group()
+    return json.dumps({
+        "holding": f"{provider} on {cited}", "holding_confidence": len(prompt) % 10 / 10, "legal_standard": "open" if kind == 1 else None,
+        "disposition": "affirmed", "disposition_confidence": 0.9, "dissent_present": False, "key_authorities": [{
+            "citation_string": cited, "case_name": None, "citation_context": "c", "citation_type": "followed", "paragraph_context": "p"}],
+        "legal_topics": ["procedure"] if kind == 0 else []}), len(prompt), 10, None
+
+
+def stand_in(provider: str, batch: pd.DataFrame) -> pd.DataFrame:
+    rows = [_reply(provider, p) for p in batch.user_prompt]
     return pd.DataFrame(rows, columns=["content", "prompt_tokens", "completion_tokens", "call_error"])
 
 
-def run_extraction(docs):
-    return inf.extract_documents(docs, stand_in, "gpt-x", SYSTEM, USER, CORRECTIVE, strict=False)
+PROVIDERS = {name: partial(stand_in, name) for name in ("anthropic", "openai")}
+DEFAULT_MODEL = "gpt-x"
+
+_LENGTH = """length('Case: ' || case_name || chr(10) || 'Court: ' || court_id || chr(10) || '---' || chr(10) || raw_text || chr(10)
+  || '---' || chr(10) || 'Answer now.')"""
 
 
-@query("extract_documents", """
-    SELECT opinion_id, CASE WHEN opinion_id % 4 < 2 THEN 'Holding ' || opinion_id END AS holding,
-      CAST(CASE opinion_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INT) AS attempts,
-      CASE WHEN opinion_id % 4 >= 2 OR opinion_id % 10 < 3 THEN 'needs_review' ELSE 'completed' END AS status,
-      CASE opinion_id % 4 WHEN 2 THEN 'Schema validation failed: legal_topics: List should have at least 1 item'
-        WHEN 3 THEN 'provider unavailable' END AS error,
-      CAST(CASE opinion_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE 0 END AS BIGINT) AS completion_tokens
-    FROM v_opinions""")
+def asked_sql(provider: str) -> str:
+    """What the stand-ins make of each opinion's prompt."""
+    return f"""
+      SELECT opinion_id, {provider} AS provider, {_LENGTH} % 4 AS kind, {_LENGTH} % 10 AS share,
+        regexp_extract(raw_text, '[0-9]+ U[.]S[.] [0-9]+') AS cited FROM v_opinions"""
+
+
+_BY_COURT = "CASE WHEN court_level = 'appellate' THEN 'anthropic' ELSE 'openai' END"
+
+
+def run_extraction(docs):
+    return inf.extract_documents(docs, PROVIDERS, DEFAULT_MODEL, SYSTEM, USER, CORRECTIVE, strict=False)
+
+
+@query("extract_documents", f"""
+    SELECT opinion_id, CASE provider WHEN 'anthropic' THEN 'claude-x' ELSE 'gpt-x' END AS extraction_model,
+      CASE WHEN kind < 2 THEN provider || ' on ' || cited END AS holding,
+      CAST(CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INT) AS attempts,
+      CASE WHEN kind >= 2 OR share < 3 THEN 'needs_review' ELSE 'completed' END AS status,
+      CASE kind WHEN 2 THEN 'Schema validation failed: legal_topics: List should have at least 1 item'
+        WHEN 3 THEN provider || ' unavailable' END AS error,
+      CAST(CASE kind WHEN 0 THEN 10 WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE 0 END AS BIGINT) AS completion_tokens
+    FROM ({asked_sql(_BY_COURT)})""")
 def extract_documents(c):
     outcomes, _ = run_extraction(_docs(c))
-    return outcomes.select("opinion_id", F.col("intelligence.holding").alias("holding"), "attempts", "status", "error",
-                           "completion_tokens")
+    return outcomes.select("opinion_id", "extraction_model", F.col("intelligence.holding").alias("holding"), "attempts", "status",
+                           "error", "completion_tokens")
 
 
-@query("extract_and_link", """
-    WITH cited AS (SELECT opinion_id, opinion_id % 60 + 1 AS v, opinion_id % 60 * 7 + 1 AS p FROM v_opinions WHERE opinion_id % 4 < 2),
+@query("extract_and_link", f"""
+    WITH cited AS (
+        SELECT opinion_id, cited, split_part(cited, ' U.S. ', 1) AS v, split_part(cited, ' U.S. ', 2) AS p FROM ({asked_sql("''")}) WHERE kind < 2),
       exact AS (SELECT v, p, min(o.opinion_id) AS id FROM (SELECT DISTINCT v, p FROM cited)
                 JOIN v_opinions o ON o.raw_text LIKE '%' || v || ' % ' || p || '%' GROUP BY 1, 2)
-    SELECT opinion_id || '-0' AS citation_id, opinion_id AS citing_opinion_id, v || ' U.S. ' || p AS citation_string, id AS cited_opinion_id
+    SELECT opinion_id || '-0' AS citation_id, opinion_id AS citing_opinion_id, cited AS citation_string, id AS cited_opinion_id
     FROM cited LEFT JOIN exact USING (v, p)""")
 def extract_and_link(c):
     """The whole run from opinions to extractions and, from these, to resolved citations."""
-    out = runs.extract_and_link(c.text_view("v_opinions"), stand_in, "gpt-x", SYSTEM, USER, CORRECTIVE, match="like")
+    out = runs.extract_and_link(c.text_view("v_opinions"), PROVIDERS, DEFAULT_MODEL, SYSTEM, USER, CORRECTIVE, match="like")
     return out["citations"].select("citation_id", "citing_opinion_id", "citation_string", "cited_opinion_id")
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexweave.operators import runs
 from lexweave.operators.jobs import declared_states
 from lexweave.plans.catalog import query
 from lexweave.plans.ingest_queries import REFS_SQL, _refs
 from lexweave.plans.job_queries import REQUEST_ID, STATE_COLUMNS, STATE_SQL, declared_jobs, requests
-from lexweave.plans.model_queries import run_extraction
+from lexweave.plans.model_queries import CORRECTIVE, DEFAULT_MODEL, PROVIDERS, SYSTEM, USER, asked_sql
 from lexweave.runtime import new_path
-from lexweave.sources import sinks
 from lexweave.streaming import ingest as si
 from lexweave.streaming import jobs as sj
 
@@ -36,8 +36,9 @@ def stream_counters(c):
 def stream_job_state(c):
     """Counters kept by the stream, judged by the totals that the requests declare."""
     out = new_path(c.spark, "states")
-    sj.counter_stream(_item_stream(c, "items"), out, new_path(c.spark, "checkpoint"))
-    return declared_states(declared_jobs(c), sj.latest_counters(c.spark, out)).select(*STATE_COLUMNS)
+    declared = declared_jobs(c)
+    sj.counter_stream(_item_stream(c, "items"), out, new_path(c.spark, "checkpoint"), declared)
+    return declared_states(declared, sj.latest_counters(c.spark, out)).select(*STATE_COLUMNS)
 
 
 @query("stream_events", """
@@ -52,27 +53,32 @@ def stream_events(c):
     return sj.latest_counters(c.spark, out).select("job_id", "total_opinions")
 
 
+_LANG_MODEL = "CASE lang WHEN 'en' THEN 'claude-x' WHEN 'de' THEN 'gpt-y' END"
+
+
 @query("job_stream", f"""
-    SELECT job_id, d.doc_id AS opinion_id, priority, 5.0::DOUBLE * n AS estimated_seconds,
-      CASE WHEN d.doc_id % 4 >= 2 THEN 'failed' WHEN d.doc_id % 10 < 3 THEN 'needs_review' ELSE 'completed' END AS status
-    FROM (SELECT *, CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'low' ELSE 'normal' END AS priority,
-            count(*) OVER (PARTITION BY job_id) AS n FROM (SELECT *, {REQUEST_ID} AS job_id FROM documents)) d""")
+    SELECT job_id, opinion_id, priority, 5.0::DOUBLE * n AS estimated_seconds, coalesce(model, 'gpt-x') AS extraction_model,
+      CASE WHEN kind >= 2 THEN 'failed' WHEN share < 3 THEN 'needs_review' ELSE 'completed' END AS status,
+      CASE WHEN kind >= 2 THEN 'Extraction failed' ELSE CASE WHEN model LIKE 'claude%' THEN 'anthropic' ELSE 'openai' END || ' on ' || cited END AS holding
+    FROM (SELECT *, {_LANG_MODEL} AS model, CASE lang WHEN 'en' THEN 'high' WHEN 'fr' THEN 'low' ELSE 'normal' END AS priority,
+            count(*) OVER (PARTITION BY job_id) AS n FROM (SELECT doc_id AS opinion_id, lang, {REQUEST_ID} AS job_id FROM documents)) d
+    JOIN ({asked_sql("''")}) USING (opinion_id)""")
 def job_stream(c):
-    """Requests processed as they arrive with the stand-in model."""
-    asked = requests(c).withColumn(
-        "priority", F.when(F.col("lang") == "en", "high").when(F.col("lang") == "fr", "low").otherwise("normal"))
+    """Requests processed as they arrive, each by the model that it names."""
+    asked = requests(c).withColumns({
+        "priority": F.when(F.col("lang") == "en", "high").when(F.col("lang") == "fr", "low").otherwise("normal"),
+        "extraction_model": F.expr(_LANG_MODEL)})
     path, out = new_path(c.spark, "requests"), new_path(c.spark, "outcomes")
     asked.repartition(2, "job_id").write.parquet(path)
-    opinions = c.view("v_opinions").select("opinion_id", "case_name", F.col("court_id").alias("court"), "raw_text")
+    opinions = c.view("v_opinions")
 
     def run_items(items):
-        wanted = opinions.join(items.select("opinion_id").distinct(), "opinion_id", "left_semi")
-        outcomes, _ = run_extraction(wanted)
-        return items.join(sinks.extraction_rows(outcomes), "opinion_id")
+        return runs.extract_items(items, opinions, PROVIDERS, DEFAULT_MODEL, SYSTEM, USER, CORRECTIVE)
 
     stream = sj.file_stream(c.spark, path, asked.schema, files_per_batch=1)
     sj.job_stream(stream, run_items, out, new_path(c.spark, "checkpoint"))
-    return c.spark.read.parquet(out).select("job_id", "opinion_id", "priority", "estimated_seconds", "status")
+    return c.spark.read.parquet(out).select(
+        "job_id", "opinion_id", "priority", "estimated_seconds", "extraction_model", "status", "holding")
 
 
 @query("stream_ingest_dedup", f"""

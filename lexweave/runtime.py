@@ -55,8 +55,23 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _folder.reset(mark)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables written by these jobs, wherever it lies; one that is not there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folders(spark: SparkSession, parent: str, prefix: str) -> list[int]:
+    """Numbers of the finished tables ``prefix=number`` below ``parent``, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    done = [f.getPath() for f in files.listStatus(path) if f.getPath().getName().startswith(f"{prefix}=")]
+    return sorted(int(p.getName().split("=")[1]) for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lexweave.constants import PRIORITIES
 from lexweave.operators.jobs import estimated_seconds
+from lexweave.runtime import folders, materialize, remove
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -74,26 +75,59 @@ def _is_table(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def counter_stream(events: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Item counts per job and batch, to be summed by :func:`latest_counters`.
+_COUNTS = ("total_opinions", "processed", "failed")
+_COUNTER_SCHEMA = "started_at timestamp, _last timestamp, total_opinions bigint, processed bigint, failed bigint"
 
-    A batch writes what it adds, one row for each job it has items of, so no
-    state is kept however many jobs there have been. A batch that is delivered
-    again replaces its own folder and is not counted twice.
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("job_id").agg(
+        F.min("started_at").alias("started_at"), F.max("_last").alias("_last"), *[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def counter_stream(events: DataFrame, out_path: str, checkpoint: str, declared: DataFrame | None = None) -> None:
+    """Item counters of every job (job_id, ts, outcome), kept up to date by :func:`latest_counters`.
+
+    After each batch there is one table of the open jobs' counters, made from the
+    one before and the batch, and a table of the jobs that have ended with it: all
+    items that ``declared`` (job_id, total_opinions) names are done. Ended jobs
+    leave the memory of the stream, so what a batch reads and writes grows with
+    the open jobs only; without ``declared`` none ends. Each item comes once, so
+    none follows the end of its job.
+
+    Both tables of a batch are replaced if it is delivered again, and it starts
+    from those of the batch before. Older open tables are deleted. A stream that
+    starts anew on its old folder begins with nothing.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("job_id").agg(
+        spark = batch.sparkSession
+        if batch_id == 0:
+            remove(spark, out_path)
+        added = batch.groupBy("job_id").agg(
             F.min("ts").alias("started_at"), F.max("ts").alias("_last"),
             F.count(F.lit(1)).alias("total_opinions"),
             F.count_if(F.col("outcome") == "ok").alias("processed"),
-            F.count_if(F.col("outcome") == "failed").alias("failed"),
-        ).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            F.count_if(F.col("outcome") == "failed").alias("failed"))
+        if batch_id:
+            added = _summed(spark.read.parquet(f"{out_path}/open/batch={batch_id - 1}").unionByName(added))
+        ended = F.lit(False)
+        if declared is not None:
+            totals = declared.select("job_id", F.col("total_opinions").alias("_declared"))
+            added = added.join(totals, "job_id", "left")
+            ended = F.coalesce(F.col("processed") + F.col("failed") >= F.col("_declared"), F.lit(False))
+        now = materialize(added.withColumn("_ended", ended).drop("_declared"), "counters")
+        now.filter("_ended").drop("_ended").write.mode("overwrite").parquet(f"{out_path}/ended/batch={batch_id}")
+        now.filter("not _ended").drop("_ended").write.mode("overwrite").parquet(f"{out_path}/open/batch={batch_id}")
+        for old in folders(spark, f"{out_path}/open", "batch"):
+            if old < batch_id - 1:
+                remove(spark, f"{out_path}/open/batch={old}")
 
     run_available(events.writeStream.foreachBatch(handle), checkpoint)
 
 
 def latest_counters(spark: SparkSession, out_path: str) -> DataFrame:
-    """Current counters: for every job the sum of what the batches have added."""
-    return spark.read.parquet(out_path).groupBy("job_id").agg(
-        F.min("started_at").alias("started_at"), F.max("_last").alias("_last"),
-        *[F.sum(c).alias(c) for c in ("total_opinions", "processed", "failed")])
+    """Current counters of every job: the last table of open jobs, and those that had ended by then."""
+    done = folders(spark, f"{out_path}/open", "batch")
+    if not done:
+        return spark.createDataFrame([], f"job_id bigint, {_COUNTER_SCHEMA}")
+    ended = spark.read.parquet(f"{out_path}/ended").filter(F.col("batch") <= done[-1]).drop("batch")
+    return spark.read.parquet(f"{out_path}/open/batch={done[-1]}").unionByName(ended)

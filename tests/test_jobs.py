@@ -85,6 +85,24 @@ def test_upsert_and_status_update(spark):
     assert values(done, "k", "status", "updated") == [(1, "pending", False), (2, "completed", True)]
 
 
+def files_of(path):
+    return {d.split("bucket=")[1].split("/")[0]: sorted(n for n in names if n.endswith(".parquet")) for d, _, names in os.walk(path) if "bucket=" in d}
+
+
+def test_upsert_leaves_other_buckets_alone(spark):
+    path = new_path(spark, "points")
+    old = spark.range(200).select(F.col("id").alias("k"), F.lit(1).alias("version"), F.col("id").alias("v"))
+    sinks.write_buckets(old, path, "k", 16)
+    before = files_of(path)
+    new = spark.createDataFrame([(5, 2, -5), (900, 1, 9), (5, 3, -6)], "k long, version int, v long")
+    touched = sinks.upsert_buckets(new, path, "k", "version", 16)
+    after = files_of(path)
+    assert touched == len({b for b in before if before[b] != after[b]}) and 1 <= touched <= 2 and len(before) == 16
+    got = {r.k: (r.version, r.v) for r in spark.read.parquet(path).collect()}
+    assert got == {i: (1, i) for i in range(200)} | {5: (3, -6), 900: (1, 9)}
+    assert sinks.upsert_buckets(new.limit(0), path, "k", "version", 16) == 0
+
+
 def test_delete_cascades_and_clears(spark):
     ops = spark.createDataFrame([(1,), (2,), (3,)], "opinion_id long")
     ext = spark.createDataFrame([(10, 1), (11, 2)], "extraction_id long, opinion_id long")
@@ -125,22 +143,80 @@ def test_prompt_templates(spark):
     assert fixed.first().p == "E:Unknown error P:x"
 
 
+def few_docs(spark, n):
+    return spark.range(n).coalesce(1).select(
+        F.col("id").alias("opinion_id"), F.lit("n").alias("case_name"), F.lit("c").alias("court"), F.col("id").cast("string").alias("raw_text"))
+
+
+def answering():
+    """A function that workers get by value: they cannot import the tests."""
+    def answers(batch, error=lambda i: None):
+        n = len(batch)
+        return pd.DataFrame({"content": ["{}"] * n, "prompt_tokens": [0 if error(i) else 1 for i in batch.opinion_id],
+                             "completion_tokens": [1] * n, "call_error": [error(i) for i in batch.opinion_id]})
+
+    return answers
+
+
+plain_answers = answering()
+
+
 def test_a_failing_row_does_not_fail_its_batch(spark):
     def infer(batch):
-        if (batch.opinion_id == 3).any():
-            raise RuntimeError("boom")
-        n = len(batch)
-        return pd.DataFrame({"content": ["{}"] * n, "prompt_tokens": [1] * n, "completion_tokens": [1] * n, "call_error": [None] * n})
+        return plain_answers(batch, lambda i: "boom" if i == 3 else None)
 
-    docs = spark.range(6).select(F.col("id").alias("opinion_id"), F.lit("n").alias("case_name"), F.lit("c").alias("court"),
-                                 F.lit("t").alias("raw_text"))
-    outcomes, log = inference.extract_documents(docs, infer, "m", "s", "{opinion_text}", "{error_message}", max_retries=1)
+    outcomes, log = inference.extract_documents(few_docs(spark, 6), infer, "m", "s", "{opinion_text}", "{error_message}", max_retries=1)
     rows = {r.opinion_id: r for r in outcomes.collect()}
     assert rows[3].error == "boom" and rows[3].prompt_tokens == 0
     assert rows[0].attempts == 2 and rows[0].prompt_tokens == 2 and rows[0].status == "needs_review"
     assert log.count() == 12
 
 
+def test_calls_are_batched_bounded_and_never_repeated(spark):
+    calls, rows, most = (spark.sparkContext.accumulator(0) for _ in range(3))
+
+    def infer(batch):
+        import threading
+        import time
+        calls.add(1)
+        rows.add(len(batch))
+        busy = sum(t.name.startswith("ThreadPoolExecutor") for t in threading.enumerate())
+        time.sleep(0.05)
+        out = plain_answers(batch)
+        return out.assign(content=f"{len(batch)},{busy}")
+
+    prompts = few_docs(spark, 50).select("opinion_id", F.lit("m").alias("extraction_model"), F.lit(1).alias("attempt"),
+                                         F.lit("s").alias("system_prompt"), F.col("raw_text").alias("user_prompt"))
+    got = materialize(inference.call_model(prompts, infer, call_rows=8, in_flight=3), "answers").collect()
+    assert len(got) == 50 and len({r.opinion_id for r in got}) == 50
+    assert calls.value == 7 and rows.value == 50
+    assert {int(r.content.split(",")[0]) for r in got} == {8, 2} and max(int(r.content.split(",")[1]) for r in got) <= 3
+
+
+def test_a_call_that_raises_costs_its_own_rows(spark):
+    def infer(batch):
+        if (batch.opinion_id == 3).any():
+            raise RuntimeError("down")
+        return plain_answers(batch).iloc[:1] if (batch.opinion_id == 6).any() else plain_answers(batch)
+
+    prompts = few_docs(spark, 8).select("opinion_id", F.lit("m").alias("extraction_model"), F.lit(1).alias("attempt"),
+                                        F.lit("s").alias("system_prompt"), F.col("raw_text").alias("user_prompt"))
+    got = {r.opinion_id: r.call_error for r in inference.call_model(prompts, infer, call_rows=2).collect()}
+    assert got == {0: None, 1: None, 2: "down", 3: "down", 4: None, 5: None, 6: "1 answers to 2 prompts", 7: "1 answers to 2 prompts"}
+
+
+def test_rows_go_to_the_provider_of_their_model(spark):
+    def named(provider):
+        return lambda batch: plain_answers(batch).assign(content=[f"{provider} {m}" for m in batch.extraction_model])
+
+    docs = few_docs(spark, 4).withColumn("extraction_model", F.element_at(
+        F.array(F.lit("claude-1"), F.lit("gpt-1"), F.lit(None), F.lit("claude-2")), (F.col("opinion_id") + 1).cast("int")))
+    _, log = inference.extract_documents(docs, {"anthropic": named("a"), "openai": named("o")}, "gpt-0", "s", "{opinion_text}", "", max_retries=0)
+    assert {r.opinion_id: r.content for r in log.collect()} == {0: "a claude-1", 1: "o gpt-1", 2: "o gpt-0", 3: "a claude-2"}
+    _, log = inference.extract_documents(docs, {"openai": named("o")}, "gpt-0", "s", "{opinion_text}", "", max_retries=0)
+    assert {r.error for r in log.filter("opinion_id in (0, 3)").collect()} == {"no provider 'anthropic'"}
+
+
 def test_texts_are_embedded_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
@@ -202,6 +278,25 @@ def test_a_counter_batch_delivered_again_is_counted_once(spark):
     assert got == values(jobs.job_counters(df), "job_id", "processed", "failed")
 
 
+def test_counters_remember_open_jobs_only(spark):
+    path, out = new_path(spark, "in"), new_path(spark, "out")
+    # ten jobs of three items; in each of six files one item of five of them
+    items = [(f, j) for f in range(6) for j in range(f // 3 * 5, f // 3 * 5 + 5)]
+    for f in range(6):
+        rows = [(j, datetime(2024, 1, 1 + f), "failed" if j == 2 else "ok") for g, j in items if g == f]
+        spark.createDataFrame(rows, "job_id long, ts timestamp, outcome string").coalesce(1).write.mode("append").parquet(path)
+    declared = spark.range(12).select(F.col("id").alias("job_id"), F.lit(3).cast("bigint").alias("total_opinions"))
+    events = spark.read.parquet(path)
+    for _ in range(2):  # a lost checkpoint starts the stream anew
+        sj.counter_stream(sj.file_stream(spark, path, events.schema, 1), out, new_path(spark, "cp"), declared)
+        kept = sorted(os.listdir(f"{out}/open"))
+        assert kept == ["batch=4", "batch=5"] and spark.read.parquet(f"{out}/open/batch=5").count() == 0
+        assert spark.read.parquet(f"{out}/open/batch=4").count() == 5 and spark.read.parquet(f"{out}/ended").count() == 10
+        got = {r.job_id: r for r in jobs.declared_states(declared, sj.latest_counters(spark, out)).collect()}
+        assert [got[i].status for i in (0, 2, 9, 11)] == ["completed", "failed", "completed", "queued"]
+        assert all(got[i].processed + got[i].failed == 3 for i in range(10))
+
+
 def test_scratch_folders_are_deleted(spark):
     with scratch(spark) as folder:
         assert materialize(spark.range(3), "rows").count() == 3
@@ -249,3 +344,29 @@ def test_stream_ingest_adds_each_key_once(spark):
     df.withColumn("courtlistener_id", F.col("courtlistener_id") + 5).write.mode("append").parquet(path)
     si.ingest_stream(sj.file_stream(spark, path, df.schema, 1), "courtlistener_id", table, cp)
     assert values(spark.read.parquet(table), "courtlistener_id") == [(i,) for i in range(16)]
+
+
+def test_stream_ingest_reads_only_buckets_that_may_hold_its_keys(spark):
+    path, table, cp = new_path(spark, "in"), new_path(spark, "t"), new_path(spark, "cp")
+    df = spark.range(500).select(F.col("id").alias("courtlistener_id"))
+    df.coalesce(1).write.parquet(path)
+    si.ingest_stream(sj.file_stream(spark, path, df.schema, 1), "courtlistener_id", table, cp, 16, 1 << 12)
+    keys, filters = f"{table}-keys", spark.read.parquet(f"{table}-filter/batch=0")
+
+    def asked(ids):
+        batch = spark.createDataFrame([(i,) for i in ids], "courtlistener_id long").select(
+            "courtlistener_id", si._bucket("courtlistener_id", 16))
+        maybe = si.may_be_stored(batch, "courtlistener_id", filters, 1 << 12)
+        assert {r.courtlistener_id for r in maybe.collect()} >= {i for i in ids if i < 500}
+        return sorted(r.bucket for r in maybe.select("bucket").distinct().collect())
+
+    assert asked([1_000_001, 1_000_002]) == [] and len(asked([7])) == 1 and len(asked(range(500))) == 16
+    some = asked([7, 8])
+    found = si.stored_keys(spark, keys, some, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = {f.split("bucket=")[1].split("/")[0] for f in found.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+    assert read == {str(b) for b in some}
+    df.filter("courtlistener_id < 9").unionByName(spark.range(600, 605).toDF("courtlistener_id")).coalesce(1).write.mode("append").parquet(path)
+    si.ingest_stream(sj.file_stream(spark, path, df.schema, 1), "courtlistener_id", table, cp, 16, 1 << 12)
+    assert values(spark.read.parquet(table), "courtlistener_id") == [(i,) for i in [*range(500), *range(600, 605)]]
