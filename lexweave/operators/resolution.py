@@ -19,22 +19,20 @@ _VOLUMES, _PAGES = 10_000, 100_000
 APART, INSIDE = "apart", "inside"
 #: Texts in which a pair is looked for first, by least id; they are the first of those that have its rarer number.
 FIRST_TEXTS = 500
+#: Candidate texts of all pairs together that are looked at in one step.
+ONE_STEP = 4_000_000
 
 
 class NumberMap:
     """Which volumes and pages are asked for, as two bit maps of 14 KB in all whatever their number."""
 
     def __init__(self, pairs: DataFrame) -> None:
-        def words(column: str, size: int) -> list[int]:
-            number = F.col(column)
-            rows = pairs.groupBy(F.shiftright(number, 6).alias("w")).agg(
-                F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).collect()
-            out = [0] * (size // 64 + 1)
-            for r in rows:  # one row for each word of a map of fixed size
-                out[r.w] = r.bits
-            return out
-
-        self.maps = {_VOLUME: words("volume", _VOLUMES), _PAGE: words("page", _PAGES)}
+        self.maps = {_VOLUME: [0] * (_VOLUMES // 64 + 1), _PAGE: [0] * (_PAGES // 64 + 1)}
+        numbers = pairs.select(F.inline(F.array(*[
+            F.struct(F.lit(kind).alias("kind"), F.col(c).alias("number")) for kind, c in ((_VOLUME, "volume"), (_PAGE, "page"))])))
+        mark = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("number").bitwiseAND(F.lit(63)).cast("int"))
+        for r in numbers.groupBy("kind", F.shiftright("number", 6).alias("w")).agg(F.bit_or(mark).alias("bits")).collect():
+            self.maps[r.kind][r.w] = r.bits  # one row for each word of two maps of fixed size
 
     def has(self, kind: str, digits: Column) -> Column:
         """Whether a run of digits, without needless zeros, is a number asked for."""
@@ -122,9 +120,11 @@ def match_numbers(pairs: DataFrame, opinions: DataFrame, how: str) -> DataFrame:
     """(volume, page, exact_id): the least opinion whose text has the numbers in that order, ``APART`` or ``INSIDE`` digits.
 
     ``pairs`` (volume, page) are different. Each pair is looked up by the rarer of
-    its numbers: first in the ``FIRST_TEXTS`` texts of least id that have it, which
-    settles all pairs with a match among them or with no further text, then the
-    rest in all texts. So a pair of common numbers does not go through every text.
+    its numbers. If all pairs together have more than ``ONE_STEP`` candidate texts,
+    they are looked for first in the ``FIRST_TEXTS`` texts of least id that have
+    that number, which settles all pairs with a match among them or with no further
+    text, then the rest in all texts. So pairs of common numbers do not go through
+    every text. What is found is the same either way.
     """
     pairs = materialize(pairs, "pairs")
     asked = NumberMap(pairs)
@@ -147,20 +147,25 @@ def match_numbers(pairs: DataFrame, opinions: DataFrame, how: str) -> DataFrame:
         F.when(by_volume, F.col("page")).otherwise(F.col("volume")).alias("_number")), "probes")
     room = F.lit(1) if how == APART else F.length(F.col("volume").cast("string"))
 
-    def matches(some: DataFrame, places: DataFrame) -> DataFrame:
-        # a common number stands in very many texts and is asked for by many pairs
-        near = pair_join(some, places, ["kind", "number"], F.struct("volume", "page"), F.col("opinion_id")).select(
+    def matches(near: DataFrame) -> DataFrame:
+        both = near.select(
             "volume", "page", "opinion_id", F.col("place").alias("_place"),
-            F.col("_kind").alias("kind"), F.col("_number").alias("number"))
-        both = near.join(index, ["kind", "number", "opinion_id"])
+            F.col("_kind").alias("kind"), F.col("_number").alias("number")).join(index, ["kind", "number", "opinion_id"])
         first = F.when(F.col("kind") == _PAGE, F.col("_place")).otherwise(F.col("place"))
         last = -F.when(F.col("kind") == _PAGE, F.col("place")).otherwise(F.col("_place"))
         return both.filter(last >= first + room).groupBy("volume", "page").agg(F.min("opinion_id").alias("exact_id"))
 
+    if (probes.agg(F.sum("n")).first()[0] or 0) <= ONE_STEP:
+        return matches(probes.join(index, ["kind", "number"]))
     early = top_per_group(index, ["kind", "number"], [F.col("opinion_id")], FIRST_TEXTS)
-    found = materialize(matches(probes, early), "matches")
-    open_ = materialize(probes.filter(F.col("n") > FIRST_TEXTS).join(found, ["volume", "page"], "left_anti"), "open")
-    return found if open_.isEmpty() else found.unionByName(matches(open_, index))
+    found = matches(probes.join(early, ["kind", "number"]))
+    longer = probes.filter(F.col("n") > FIRST_TEXTS)
+    if longer.isEmpty():
+        return found
+    found = materialize(found, "matches")
+    open_ = longer.join(found, ["volume", "page"], "left_anti")
+    # a common number stands in very many texts and is asked for by many pairs
+    return found.unionByName(matches(pair_join(open_, index, ["kind", "number"], F.struct("volume", "page"), F.col("opinion_id"))))
 
 
 def _resolve_by_key(citations: DataFrame, opinions: DataFrame) -> DataFrame:
@@ -211,12 +216,14 @@ def resolve_fuzzy(queries: DataFrame, opinions: DataFrame) -> DataFrame:
         "date_filed", "opinion_id",
     ).groupBy("name", "filed").agg(newest.alias("newest")), "names")
     inside = _names_containing(asked.select("term").distinct(), names.select("name").distinct())
-    wanted = asked.select("term", "year").distinct()
-    # a term may lie in very many names and be asked for with many years; so may a name hold many terms and be filed often
-    named = pair_join(wanted, inside, ["term"], F.col("year"), F.col("name"))
-    hits = pair_join(named, names, ["name"], F.struct("term", "year"), F.col("filed")).filter(
-        F.col("year").isNull() | F.col("filed").between(F.col("year") - 1, F.col("year") + 1))
-    best = hits.groupBy("term", "year").agg(F.max("newest").alias("newest"))
+    # Both sides of a meeting are one row: a term with its years, a name with its newest opinion of each year. So a
+    # name that holds very many terms, or a term in very many names, costs a row for each and no more.
+    wanted = asked.groupBy("term").agg(F.collect_set(F.struct("year")).alias("years"))
+    filed = names.groupBy("name").agg(F.collect_list(F.struct("filed", "newest")).alias("filed"))
+    hits = inside.join(wanted, "term").join(filed, "name").select("term", "filed", F.explode("years").alias("y"))
+    fitting = F.filter("filed", lambda f: F.col("y.year").isNull() | f.filed.between(F.col("y.year") - 1, F.col("y.year") + 1))
+    best = hits.select("term", F.col("y.year").alias("year"), F.array_max(F.transform(fitting, lambda f: f.newest)).alias("newest")).filter(
+        "newest is not null").groupBy("term", "year").agg(F.max("newest").alias("newest"))
     matched = best.select("term", F.col("year").alias("_year"), (-F.col("newest.neg_id")).alias("fuzzy_id"))
     on = (asked.term == matched.term) & asked.year.eqNullSafe(matched._year)
     return asked.join(matched, on).select("case_name", "year", "fuzzy_id")
@@ -239,15 +246,13 @@ def resolve_citations(authorities: DataFrame, opinions: DataFrame, mode: str = "
         & F.col("k.year").eqNullSafe(F.col("f.year")))
     resolved = left.join(right, on, "left").select(
         "k.citation_string", "k.case_name", F.coalesce("k.exact_id", "f.fuzzy_id").alias("cited_opinion_id"))
-    # A landmark is cited by a large share of all rows, so its rows are split. Every row finds its one
-    # resolved pair, but for rows without a string, which are kept apart.
+    # A landmark is cited by a large share of all rows, each of which finds its one resolved pair, so adaptive execution
+    # may split them. Rows without a string are kept out of the join.
     name = F.coalesce(F.concat(F.lit("="), F.col("case_name")), F.lit("")).alias("_name")
     columns = authorities.columns
     asked = authorities.filter(F.col("citation_string").isNotNull()).select("*", name)
     found = resolved.filter(F.col("citation_string").isNotNull()).select("citation_string", name, "cited_opinion_id")
-    joined = pair_join(
-        asked, found, ["citation_string", "_name"], F.struct(*columns), F.col("cited_opinion_id")).select(
-        *columns, "cited_opinion_id")
+    joined = asked.join(found, ["citation_string", "_name"]).select(*columns, "cited_opinion_id")
     return joined.unionByName(authorities.filter(F.col("citation_string").isNull()).withColumn(
         "cited_opinion_id", F.lit(None).cast("bigint")))
 

@@ -175,6 +175,7 @@ def test_unknown_root_gives_empty_graph(spark):
 @pytest.mark.parametrize("first", [1, 500])
 def test_roots_of_citations_and_topics(spark, first, monkeypatch):
     monkeypatch.setattr(resolution, "FIRST_TEXTS", first)
+    monkeypatch.setattr(resolution, "ONE_STEP", 0 if first < 500 else 4_000_000)
     texts = ["12 U.S. 7", "7 then 12", "112, 70", "topic a", None, "40 U.S. 40", "x40x", "1 U.S. 11", "11"]
     opinions = spark.createDataFrame(list(enumerate(texts)), "opinion_id long, raw_text string")
     rows = [(1, 3, ["a", "b"], "completed", AS_OF), (2, 5, ["a"], "completed", AS_OF), (3, 6, ["b"], "failed", AS_OF)]
@@ -223,6 +224,7 @@ def test_walks_share_the_rows_of_a_landmark(spark):
 @pytest.mark.parametrize("first", [2, 500])
 def test_text_match_equals_like_on_awkward_numbers(spark, first, monkeypatch):
     monkeypatch.setattr(resolution, "FIRST_TEXTS", first)
+    monkeypatch.setattr(resolution, "ONE_STEP", 0 if first < 500 else 4_000_000)
     rng = random.Random(11)
     pieces = ["12", "3", "0", "12 3", "123", " ", "  ", "x", "1 U.S. 2", "2\n3", "40 ", " 4", "012", "a12 b3", "5 5"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 7))) for _ in range(250)] + ["12 3", "12  3", "3 12"]
