@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -54,6 +55,11 @@ def test_pii(spark, docs, empty):
     iban = found.filter("doc_id = 13").first()
     assert [(s.kind, s.score) for s in iban.added] == [("iban", 1.2)]
     assert found.filter("doc_id = 13").select(pii.redact(found["text"], found["added"])).first()[0] == "bank account [iban]"
+    number = "GB82 WEST 1234 5698 7654 32"
+    tails = ["", " Please", " NOW", " I pay", ", and", "\n", " 7", " GB", "x", " " + "Z" * 60]
+    accounts = spark.createDataFrame([(i, f"bank {number}{t}") for i, t in enumerate(tails)], "doc_id long, text string")
+    ends = {r.doc_id: [(s.start, s.end) for s in r.added] for r in pii.detect(accounts).collect()}
+    assert ends == {i: [] if t == "x" else [(5, 5 + len(number))] for i, t in enumerate(tails)}
     assert pii.detect(empty).count() == 0
 
 
@@ -70,6 +76,11 @@ def test_sharding(spark, docs, empty):
     grown = sharding.rebalance(even, weights, 5)
     assert len(set(grown.shard_of)) == 5 and sum(a != b for a, b in zip(even.shard_of, grown.shard_of)) < 40
     assert sharding.shard(empty)[0].count() == 0
+    clash = docs.selectExpr("doc_id", "text", "'x' AS shard", "'y' AS slot", "'z' AS size", "'k' AS _nth", "'l' AS _begin")
+    again = sharding.shard(clash, shards=4, slots=64)[0]
+    assert sorted(again.columns) == sorted({*clash.columns, "text_crc32", "virtual_slot"})
+    assert sorted(map(str, again.select("doc_id", "shard", "slot", "size").collect())) == sorted(map(str, placed.select("doc_id", "shard", "slot", "size").collect()))
+    assert all(r.size == len((r.text or "").encode()) + 8 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in rows)
 
 
 def test_mixture(docs, empty):
@@ -84,6 +95,9 @@ def test_mixture(docs, empty):
     assert sorted(map(str, rows)) == sorted(map(str, mixture.mix(docs, block=4)[0].collect()))
     count = lambda t: len((t or "").encode().split())
     assert sum(count(r.text) for r in mixture.taken_texts(mixed, docs.columns).collect()) == sum(r.taken for r in rows)
+    clash = docs.selectExpr("*", "1 AS target", "2 AS source_size", "3 AS rest", "4 AS taken", "5 AS _order", "6 AS _source")
+    both = [mixture.mix(d, block=4)[0].select("doc_id", "source", "text", "target", "source_size", "taken").collect() for d in (docs, clash)]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1])) and {"_order", "_source"} <= set(mixture.mix(clash)[0].columns)
     assert mixture.targets([100, 10, 10], [1.0, 5.0, 1.0]) == pytest.approx([60.0, 30.0, 30.0])
     assert mixture.apportion([53.0, 24.0, 23.0], 7) == [3, 2, 2] and mixture.mix(empty)[0].count() == 0
 
