@@ -100,39 +100,39 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shards: int = SHARD
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({
+    rows = docs.drop("size", "source_size", "target", "copies", "rest", "taken").withColumns({
         "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
-        "_order": F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary")))}).withColumn(
-        "_range", F.shiftrightunsigned("_order", 54).cast("int"))
-    sums = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_words"))
-    sizes = {(r[0][1:] if r[0] else None): r[1] for r in sums.groupBy("_source").agg(F.sum("_words")).collect()}
+        "__source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
+        "__order": F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary")))}).withColumn(
+        "__range", F.shiftrightunsigned("__order", 54).cast("int"))
+    sums = rows.groupBy("__source", "__range").agg(F.sum("size").alias("__words"))
+    sizes = {(r[0][1:] if r[0] else None): r[1] for r in sums.groupBy("__source").agg(F.sum("__words")).collect()}
     chosen = shares(sizes, block, shards)
     plan = spark.createDataFrame(
         [("" if s.source is None else "=" + s.source, s.size, s.target, s.words) for s in chosen],
-        "_source string, source_size long, target double, _take long")
+        "__source string, source_size long, target double, __take long")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_words").over(before.partitionBy("_source").orderBy("_range")), F.lit(0)))
-    inside = before.partitionBy("_source", "_range").orderBy("_order", F.col("doc_id").asc_nulls_last(), "size")
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        starts.drop("_words"), ["_source", "_range"]).join(plan, "_source")
-    whole = F.when(F.col("source_size") > 0, F.expr("_take div source_size")).otherwise(F.lit(0).cast("long"))
-    left = F.when(F.col("source_size") > 0, F.expr("_take % source_size")).otherwise(F.lit(0).cast("long"))
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("_start") - F.col("_inside")))
+    starts = sums.withColumn("__start", F.coalesce(F.sum("__words").over(before.partitionBy("__source").orderBy("__range")), F.lit(0)))
+    inside = before.partitionBy("__source", "__range").orderBy("__order", F.col("doc_id").asc_nulls_last(), "size")
+    placed = rows.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
+        starts.drop("__words"), ["__source", "__range"]).join(plan, "__source")
+    whole = F.when(F.col("source_size") > 0, F.expr("__take div source_size")).otherwise(F.lit(0).cast("long"))
+    left = F.when(F.col("source_size") > 0, F.expr("__take % source_size")).otherwise(F.lit(0).cast("long"))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("__start") - F.col("__inside")))
     out = placed.withColumns({"copies": whole, "rest": part}).withColumns({
         "copies": F.when((F.col("rest") == F.col("size")) & (F.col("size") > 0), F.col("copies") + 1).otherwise(F.col("copies")),
         "rest": F.when(F.col("rest") == F.col("size"), F.lit(0).cast("long")).otherwise(F.col("rest"))})
     return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("rest")).drop(
-        "_source", "_order", "_range", "_inside", "_start", "_take"), chosen
+        "__source", "__order", "__range", "__inside", "__start", "__take"), chosen
 
 
 def taken_texts(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The documents of a mixture, once for each time they are taken, a last part cut after its words."""
     cut = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("rest").cast("string"), F.lit("}+"))
     times = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)) + (F.col("rest") > 0).cast("long")
-    rows = mixed.withColumn("_time", F.explode(
+    rows = mixed.withColumn("__time", F.explode(
         F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<bigint>"))))
-    last = (F.col("_time") > F.col("copies")) & (F.col("rest") > 0)
+    last = (F.col("__time") > F.col("copies")) & (F.col("rest") > 0)
     rows = rows.withColumn("text", F.when(last, F.regexp_substr(F.col("text"), cut)).otherwise(F.col("text")))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(last, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -116,13 +116,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, current: Sl
     """``docs`` with size, text_crc32, virtual_slot, shard and slot; and the version of the map that was used.
 
     Needs doc_id and text; columns of these result names are replaced, others
-    stay. ``slot`` numbers the rows of a shard from 0 without gaps: first come
+    stay. The record decides, by id and text together: rows of one text may lie
+    in different shards, rows alike in both lie in one. ``slot`` numbers the rows of a shard from 0 without gaps: first come
     the rows of its first virtual slot, by doc_id, and so on. Null text has no
-    bytes, null ids are dealt by their text; an empty table stays empty. One row
-    for each virtual slot, and never more, comes to the driver.
+    bytes, null ids are dealt by their text; an empty table stays empty, and a very
+    long text is a record like others, never cut. One row for each virtual slot, and never more, comes to the driver.
     """
     spark = docs.sparkSession
-    rows = measured(docs, slots)
+    rows = measured(docs.drop("shard", "slot"), slots)
     loads = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     chosen = rebalance(current or first_map(shards, slots), {r.virtual_slot: r.bytes for r in loads}, shards)
     n_of = {r.virtual_slot: r.n for r in loads}
@@ -130,11 +131,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, current: Sl
     for slot, where in enumerate(chosen.shard_of):
         begins.append((slot, base[where]))
         base[where] += n_of.get(slot, 0)
-    places = chosen.table(spark).join(spark.createDataFrame(begins, "virtual_slot int, _begin long"), "virtual_slot").drop("version")
+    places = chosen.table(spark).join(spark.createDataFrame(begins, "virtual_slot int, __begin long"), "virtual_slot").drop("version")
     order = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    numbered = rows.withColumn("_nth", F.row_number().over(order))
-    out = numbered.join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("_begin") + F.col("_nth") - F.lit(1).cast("long"))
-    return out.drop("_nth", "_begin"), chosen
+    numbered = rows.withColumn("__nth", F.row_number().over(order))
+    out = numbered.join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("__begin") + F.col("__nth") - F.lit(1).cast("long"))
+    return out.drop("__nth", "__begin"), chosen
 
 
 def write_map(chosen: SlotMap, spark: SparkSession, path: str) -> None:
