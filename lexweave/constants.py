@@ -69,22 +69,29 @@ STATE_REPORTERS = (
 )
 
 # Section headings: label and the line pattern that opens the section (fixed
-# values, matched per line; all but the syllabus ignore case). `~` is white space.
+# values, matched per line; all but the syllabus ignore case). `\s` is white space of any script.
 SECTION_HEADINGS = (
-    ("syllabus", r"^(?:SYLLABUS|Syllabus)~*$", False),
+    ("syllabus", r"^(?:SYLLABUS|Syllabus)\s*$", False),
     ("background",
-     r"^(?:I+\.?~+)?(?:BACKGROUND|FACTUAL~+BACKGROUND|PROCEDURAL~+(?:BACKGROUND|HISTORY))~*$", True),
-    ("standard_of_review", r"^(?:I+\.?~+)?STANDARD~+OF~+REVIEW~*$", True),
-    ("analysis", r"^(?:I+\.?~+)?(?:ANALYSIS|LEGAL~+ANALYSIS|DISCUSSION)~*$", True),
-    ("holding", r"^(?:I+\.?~+)?(?:HOLDING|ORDER|JUDGMENT)~*$", True),
+     r"^(?:I+\.?\s+)?(?:BACKGROUND|FACTUAL\s+BACKGROUND|PROCEDURAL\s+(?:BACKGROUND|HISTORY))\s*$", True),
+    ("standard_of_review", r"^(?:I+\.?\s+)?STANDARD\s+OF\s+REVIEW\s*$", True),
+    ("analysis", r"^(?:I+\.?\s+)?(?:ANALYSIS|LEGAL\s+ANALYSIS|DISCUSSION)\s*$", True),
+    ("holding", r"^(?:I+\.?\s+)?(?:HOLDING|ORDER|JUDGMENT)\s*$", True),
     ("dissent",
-     r"^(?:(?:I+\.?~+)?DISSENT(?:ING)?(?:~+OPINION)?|.{0,40},?~+dissenting[.:]?)~*$", True),
+     r"^(?:(?:I+\.?\s+)?DISSENT(?:ING)?(?:\s+OPINION)?|.{0,40},?\s+dissenting[.:]?)\s*$", True),
     ("concurrence",
-     r"^(?:(?:I+\.?~+)?CONCURR(?:ENCE|ING)(?:~+OPINION)?|.{0,40},?~+concurring[.:]?)~*$", True),
-    ("conclusion", r"^(?:I+\.?~+)?CONCLUSION~*$", True),
+     r"^(?:(?:I+\.?\s+)?CONCURR(?:ENCE|ING)(?:\s+OPINION)?|.{0,40},?\s+concurring[.:]?)\s*$", True),
+    ("conclusion", r"^(?:I+\.?\s+)?CONCLUSION\s*$", True),
 )
 DEFAULT_SECTION = "majority"
 
+# What cleaning looks for in pages and texts (the first two whatever the case; `\s` as above).
+LINE_BREAK = r"<br\s*/?>"
+BLOCK_END = r"</(?:p|div|li|tr|blockquote|h[1-6])>"
+ANY_TAG = r"<[^>]+>"
+BLANK_RUN = r"[ \t]+"
+EMPTY_LINES = r"\n{3,}"
+
 # Chunk sizes in characters (fixed defaults)
 CHUNK_TARGET = 2000
 CHUNK_MAX = 3000
@@ -130,3 +137,7 @@ EVIDENCE_WEIGHTS = {"opposing": 0.30, "conflicting": 0.25, "topics": 0.15, "auth
 TOPICS_FOR_ALL, AUTHORITIES_FOR_ALL = 5.0, 3.0
 # Fixed value: mean age in years from which recency counts nothing.
 AGE_WITHOUT_RECENCY = 20.0
+
+# Characters of a search text, and results of a search.
+QUERY_LENGTHS = (3, 2000)
+RESULT_COUNTS = (1, 100)

@@ -28,7 +28,7 @@ def heading_patterns() -> list[tuple[str, str]]:
     out = []
     for label, pattern, fold in SECTION_HEADINGS:
         flags = "(?mdiu)" if fold else "(?md)"
-        out.append((label, flags + pattern.replace("~", f"[{SPACE_SET}]")))
+        out.append((label, flags + pattern.replace(r"\s", f"[{SPACE_SET}]")))
     return out
 
 

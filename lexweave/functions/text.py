@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexweave.constants import SPACE_CHARS, SPACE_SET, ZERO_WIDTH
+from lexweave.constants import (
+    ANY_TAG, BLANK_RUN, BLOCK_END, EMPTY_LINES, LINE_BREAK, SPACE_CHARS, SPACE_SET, ZERO_WIDTH,
+)
 
 
 def let(value: Column, body) -> Column:
@@ -29,9 +31,9 @@ def is_blank(text: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """Turn line and block ends into newlines, then drop the remaining tags."""
-    lines = F.regexp_replace(text, rf"(?i)<br[{SPACE_SET}]*/?>", "\n")
-    blocks = F.regexp_replace(lines, r"(?i)</(?:p|div|li|tr|blockquote|h[1-6])>", "\n")
-    return F.regexp_replace(blocks, r"<[^>]+>", "")
+    lines = F.regexp_replace(text, "(?i)" + LINE_BREAK.replace(r"\s", f"[{SPACE_SET}]"), "\n")
+    blocks = F.regexp_replace(lines, "(?i)" + BLOCK_END, "\n")
+    return F.regexp_replace(blocks, ANY_TAG, "")
 
 
 @F.pandas_udf(T.StringType())
@@ -60,8 +62,8 @@ def normalize_unicode(text: Column) -> Column:
 
 def normalize_whitespace(text: Column) -> Column:
     """One blank per run of blanks and tabs, at most one empty line, trimmed ends."""
-    blanks = F.regexp_replace(text, r"[ \t]+", " ")
-    return strip(F.regexp_replace(blanks, r"\n{3,}", "\n\n"))
+    blanks = F.regexp_replace(text, BLANK_RUN, " ")
+    return strip(F.regexp_replace(blanks, EMPTY_LINES, "\n\n"))
 
 
 def clean_text(text: Column) -> Column:

@@ -253,9 +253,13 @@ def score_pairs(pairs: DataFrame, as_of: Column) -> DataFrame:
 
 def detect_conflicts(
     prof: DataFrame, as_of: Column, court_pairs: Iterable[tuple[str, str]] | None = None,
-    min_confidence: float = 0.5, rows_per_cell: int = ROWS_PER_CELL,
+    min_confidence: float = 0.5, rows_per_cell: int = ROWS_PER_CELL, detected_at: Column | None = None,
 ) -> DataFrame:
-    """Conflicts at or above ``min_confidence``; the threshold applies to the rounded value."""
+    """Conflicts at or above ``min_confidence``; the threshold applies to the rounded value.
+
+    Each names the extractions that it rests on. ``detected_at`` is the time to be
+    stored with them, null if none is given.
+    """
     scored = score_pairs(
         conflict_pairs(prof, court_pairs, rows_per_cell, min_confidence, as_of), as_of)
     a, b = F.col("a"), F.col("b")
@@ -265,6 +269,8 @@ def detect_conflicts(
         a.court_id.alias("court_a"), b.court_id.alias("court_b"),
         describe(a, b, F.col("opposing"), F.col("conflicting")).alias("description"),
         "confidence", F.lit("detected").alias("status"),
+        a.extraction_id.alias("extraction_a_id"), b.extraction_id.alias("extraction_b_id"),
+        (F.lit(None).cast("timestamp") if detected_at is None else detected_at).alias("detected_at"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.constants import MMR_CANDIDATES, NORM_EPSILON
+from lexweave.constants import MMR_CANDIDATES, NORM_EPSILON, QUERY_LENGTHS, RESULT_COUNTS
 from lexweave.functions.vectors import clamp_score, cosine, unit
+from lexweave.operators.inference import embed_texts
 from lexweave.operators.ranking import top_per_group
 from lexweave.runtime import materialize
 
@@ -224,6 +225,29 @@ def search_hits(
     return search_results(mmr_search(points, queries, k, lambda_mult, where), points)
 
 
+def search_texts(
+    points: DataFrame, queries: DataFrame, embed: Callable[[pd.Series], list], k: int = 10, strategy: str = "similarity",
+    lambda_mult: float = 0.7, where: Column | None = None,
+) -> DataFrame:
+    """Search by texts: ``queries`` has ``query_id`` and ``text``, which ``embed`` turns into vectors, each text once.
+
+    Returns hits as :func:`search_results` with their ``position``, by similarity
+    or, with the strategy ``mmr``, chosen for diversity. Texts shorter or longer
+    than a search takes find nothing; other bounds are errors.
+    """
+    if not RESULT_COUNTS[0] <= k <= RESULT_COUNTS[1]:
+        raise ValueError(f"k must be from {RESULT_COUNTS[0]} to {RESULT_COUNTS[1]}: {k}")
+    if not 0 <= lambda_mult <= 1:
+        raise ValueError(f"lambda_mult must be from 0 to 1: {lambda_mult}")
+    if strategy not in ("similarity", "mmr"):
+        raise ValueError(f"strategy must be similarity or mmr: {strategy!r}")
+    asked = queries.select("query_id", "text").filter(F.length("text").between(*QUERY_LENGTHS))
+    vectors = embed_texts(asked, "text", embed).select("query_id", "embedding")
+    if strategy == "mmr":
+        return search_hits(points, vectors, k, lambda_mult, where)
+    return search_results(similarity_topk(points, vectors, k, where).withColumnRenamed("rank", "position"), points)
+
+
 def pairwise_diversity(rows: DataFrame, group: str) -> DataFrame:
     """Mean of one minus cosine over all pairs of every group, 0 for a single row.
 

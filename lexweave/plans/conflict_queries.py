@@ -28,7 +28,7 @@ def _as_of():
 
 # Plain restatement: all pairs of a topic, then the evidence, then the choice.
 _PAIRS = f"""
-    joined AS (SELECT opinion_id, court_id, court_level, case_name, date_filed, disposition
+    joined AS (SELECT opinion_id, extraction_id, court_id, court_level, case_name, date_filed, disposition
                FROM v_opinions JOIN v_extractions USING (opinion_id) WHERE status = 'completed'),
     overlap AS (
       SELECT a.opinion_id AS a_id, b.opinion_id AS b_id, count(*) AS topic_count, list_sort(list(t.topic)) AS topics
@@ -52,7 +52,7 @@ _PAIRS = f"""
         coalesce((a.disposition = 'affirmed' AND b.disposition IN ('reversed', 'vacated', 'reversed_in_part'))
           OR (b.disposition = 'affirmed' AND a.disposition IN ('reversed', 'vacated', 'reversed_in_part')), false) AS opposing,
         a.court_id AS court_a, b.court_id AS court_b, a.case_name AS name_a, b.case_name AS name_b,
-        a.disposition AS disp_a, b.disposition AS disp_b, a.court_level AS level_a, b.court_level AS level_b,
+        a.extraction_id AS extraction_a_id, b.extraction_id AS extraction_b_id, a.disposition AS disp_a, b.disposition AS disp_b, a.court_level AS level_a, b.court_level AS level_b,
         date_diff('day', a.date_filed, DATE '{AS_OF}') / 365.25::DOUBLE AS age_a,
         date_diff('day', b.date_filed, DATE '{AS_OF}') / 365.25::DOUBLE AS age_b
       FROM overlap o JOIN joined a ON a.opinion_id = o.a_id JOIN joined b ON b.opinion_id = o.b_id
@@ -168,12 +168,13 @@ def conflict_confidence(c):
 
 
 _RANKED = """SELECT a_id AS opinion_a_id, b_id AS opinion_b_id, topic, court_a, court_b, description, confidence,
-  'detected' AS status FROM pairs WHERE confidence >= 0.5"""
+  'detected' AS status, extraction_a_id, extraction_b_id, TIMESTAMP '2025-01-02 03:04:05' AS detected_at FROM pairs WHERE confidence >= 0.5"""
 
 
 @query("rank_conflicts", _sql(_RANKED))
 def rank_conflicts(c):
-    return cf.rank_conflicts(cf.detect_conflicts(cf.profiles(_joined(c)), _as_of()))
+    return cf.rank_conflicts(cf.detect_conflicts(
+        cf.profiles(_joined(c)), _as_of(), detected_at=F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")))
 
 
 @query("conflict_view", _sql(f"""

@@ -121,16 +121,16 @@ VIEWS = {
         FROM documents CROSS JOIN (VALUES (0),(1),(2)) t(k)""",
     "v_raw_json": """
         SELECT doc_id AS opinion_id, CASE
-          WHEN doc_id % 9 = 0 THEN 'not json {' WHEN doc_id % 9 = 1 THEN '[1, 2]'
-          ELSE concat('{', CASE WHEN doc_id % 9 = 2 THEN '' ELSE '"holding": "The court held X.", ' END,
+          WHEN length(text) % 9 = 0 THEN 'not json {' WHEN length(text) % 9 = 1 THEN '[1, 2]'
+          ELSE concat('{', CASE WHEN length(text) % 9 = 2 THEN '' ELSE '"holding": "The court held X.", ' END,
             '"holding_confidence": ',
-            CASE WHEN doc_id % 9 = 3 THEN '1.5' WHEN doc_id % 9 = 8 THEN '"0.5"'
-                 ELSE concat('0.', CAST(doc_id % 90 + 10 AS STRING)) END,
-            ', "disposition": "', CASE WHEN doc_id % 9 = 4 THEN 'acquitted' ELSE 'affirmed' END,
+            CASE WHEN length(text) % 9 = 3 THEN '1.5' WHEN length(text) % 9 = 8 THEN '"0.5"'
+                 ELSE concat('0.', CAST(length(text) % 90 + 10 AS STRING)) END,
+            ', "disposition": "', CASE WHEN length(text) % 9 = 4 THEN 'acquitted' ELSE 'affirmed' END,
             '", "disposition_confidence": 0.9, "legal_standard": null, "key_authorities": [{"citation_string": "',
-            CASE WHEN doc_id % 9 = 5 THEN 'not a citation' ELSE '554 U.S. 570 (2008)' END,
+            CASE WHEN length(text) % 9 = 5 THEN 'not a citation' ELSE '554 U.S. 570 (2008)' END,
             '", "case_name": null, "citation_context": "c", "citation_type": "followed", "paragraph_context": "p"}], "legal_topics": [',
-            CASE WHEN doc_id % 9 = 6 THEN '' ELSE '"constitutional law"' END,
+            CASE WHEN length(text) % 9 = 6 THEN '' ELSE '"constitutional law"' END,
             '], "extraction_model": "m1", "extraction_timestamp": "2025-01-15T12:00:00Z", "raw_prompt_tokens": 10, "raw_completion_tokens": 5}')
           END AS raw
         FROM documents""",

@@ -159,6 +159,30 @@ def search_hits(c):
         F.round("relevance_score", 6).alias("relevance_score"), F.array_join(F.sort_array("legal_topics"), "|").alias("topics"))
 
 
+def letter_counts(texts) -> list:
+    """Stand-in for an embedding: how often each of 64 characters occurs."""
+    return [[float(t.count(chr(64 + d))) for d in range(64)] for t in texts]
+
+
+_TEXT_ASK = """
+    ask AS (
+      SELECT opinion_id AS query_id, list_transform(range(64), lambda d: (length(t) - length(replace(t, chr((64 + d)::INT), '')))::DOUBLE) AS v
+      FROM (SELECT opinion_id, substr(raw_text, 1, 200) AS t FROM v_opinions WHERE opinion_id % 100 = 0))"""
+
+
+@query("search_texts", f"""
+    WITH {_TEXT_ASK.strip()}, {_scored(_FILTER + " AND opinion_id IN (SELECT opinion_id FROM v_opinions)")}
+    SELECT query_id, CAST(rank AS INT) AS position, opinion_id, o.case_name, x.holding, round(greatest(0, least(1, score)), 6) AS relevance_score
+    FROM ranked JOIN v_opinions o USING (opinion_id) JOIN v_extractions x USING (opinion_id) WHERE rank <= 5""")
+def search_texts(c):
+    """Beginnings of opinions as search texts, embedded and answered."""
+    points = materialize(se.index_payload(c.extractions(), c.view("v_opinions"), _vectors(c)), "points")
+    asked = c.view("v_opinions").filter("opinion_id % 100 = 0").select(
+        F.col("opinion_id").alias("query_id"), F.substring("raw_text", 1, 200).alias("text"))
+    found = se.search_texts(points, asked, letter_counts, 5, where=tables.search_filter(court_level="appellate", date_after="2005-01-01"))
+    return found.select("query_id", "position", "opinion_id", "case_name", "holding", F.round("relevance_score", 6).alias("relevance_score"))
+
+
 @query("clamp_score", f"SELECT anchor_id, opinion_id, round(greatest(0, least(1, cosine)), 6) AS relevance FROM ({_ANCHORED})")
 def clamp_scores(c):
     return _anchored(c).select("anchor_id", "opinion_id", F.round(clamp_score(F.col("cosine")), 6).alias("relevance"))

@@ -27,7 +27,7 @@ _DDL = {
         "case_name string, citation_context string, citation_type string, paragraph_context string"),
     "conflicts": (
         "opinion_a_id bigint, opinion_b_id bigint, topic string, court_a string, court_b string, description string, "
-        "confidence double, status string"),
+        "confidence double, status string, extraction_a_id bigint, extraction_b_id bigint, detected_at timestamp"),
     "jobs": (
         "job_id string, opinion_ids array<bigint>, priority string, submitted_at timestamp, extraction_model string"),
     "vectors": (

@@ -119,3 +119,21 @@ def test_metrics_of_empty_and_full_results(spark):
     assert (got[1].unique_courts, got[1].date_range_years, got[1].avg_relevance_score) == (2, 1.0, 0.7)
     assert (got[2].unique_courts, got[2].date_range_years, got[2].avg_relevance_score) == (0, 0.0, 0.0)
     assert got[1].avg_pairwise_diversity is None
+
+
+def test_searches_by_text_are_bounded_and_embedded(spark, vectors):
+    df, data = vectors
+    table = {"seven": data[7], "fifty": data[50]}
+    queries = spark.createDataFrame([(1, "seven"), (2, "fifty"), (3, "fifty"), (4, "no"), (5, None), (6, "x" * 2001)], "query_id long, text string")
+
+    def embed(texts):
+        return [[float(x) for x in table[t]] for t in texts]
+
+    for strategy in ("similarity", "mmr"):
+        rows = se.search_texts(df, queries, embed, 4, strategy).collect()
+        assert {r.query_id for r in rows} == {1, 2, 3} and len(rows) == 12
+        assert {r.query_id: r.opinion_id for r in rows if r.position == 1} == {1: 7, 2: 50, 3: 50}
+        assert all(0 <= r.relevance_score <= 1 and "court_id" in r for r in rows)
+    for bad in ({"k": 0}, {"k": 101}, {"lambda_mult": 1.5}, {"strategy": "best"}):
+        with pytest.raises(ValueError):
+            se.search_texts(df, queries, embed, **bad)

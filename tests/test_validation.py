@@ -10,10 +10,10 @@ def payload(**changes):
     base = {
         "holding": "Held.", "holding_confidence": 0.9, "legal_standard": None, "disposition": "affirmed",
         "disposition_confidence": 1, "key_authorities": [{
-            "citation_string": "554 U.S. 570 (2008)", "case_name": None, "citation_context": "c",
+            "citation_string": "31 F.3d 42 (1994)", "case_name": None, "citation_context": "c",
             "citation_type": "followed", "paragraph_context": "p"}],
         "dissent_present": False, "legal_topics": ["t"], "extraction_model": "m",
-        "extraction_timestamp": "2025-01-15T12:00:00Z", "raw_prompt_tokens": 1, "raw_completion_tokens": 0,
+        "extraction_timestamp": "2023-06-07T08:09:10Z", "raw_prompt_tokens": 1, "raw_completion_tokens": 0,
     }
     base.update(changes)
     return {k: v for k, v in base.items() if v != "drop"}
@@ -40,7 +40,7 @@ def test_valid_and_threshold(spark):
     rows = results(spark, [json.dumps(payload(holding_confidence=c)) for c in (0.3, 0.29, 0.0)])
     assert [r.error for r in rows] == [None] * 3
     assert [r.status for r in rows] == ["completed", "needs_review", "needs_review"]
-    assert rows[0].intelligence.key_authorities[0].citation_string == "554 U.S. 570 (2008)"
+    assert rows[0].intelligence.key_authorities[0].citation_string == "31 F.3d 42 (1994)"
 
 
 def test_lax_coercion_and_its_limits(spark):
