@@ -9,6 +9,7 @@ from lexweave.llm import (
     contamination, embeddings, language_model, languages, mixture, negatives, pii, quality_rules, sharding, simhash, spelling,
     suffixes, toxicity)
 from lexweave.llm.common import table
+from lexweave.runtime import new_path
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +24,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place in one of 24 shards of near equal bytes."""
-    placed, _ = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's place in one of 24 shards of near equal bytes, by the stored table of slots."""
+    placed, chosen = sharding.shard_by_map(table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "slots"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(chosen.version).alias("map_version"))
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,14 +139,34 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, current: Sl
     return out.drop("__nth", "__begin"), chosen
 
 
+def shard_by_map(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
+    """:func:`shard` from the newest version of the table of slots at ``path``, and the version that it makes, stored there.
+
+    Without a table there, version 1 is stored first. A later call with other
+    documents or another number of shards moves slots of the stored version; the
+    number of slots is that of the table.
+    """
+    spark = docs.sparkSession
+    current = read_map(spark, path)
+    if current is None:
+        current = first_map(shards, slots)
+        write_map(current, spark, path)
+    placed, chosen = shard(docs, shards, len(current.shard_of), current)
+    write_map(chosen, spark, path)
+    return placed, chosen
+
+
 def write_map(chosen: SlotMap, spark: SparkSession, path: str) -> None:
     """Add this version to the stored table of slots."""
-    chosen.table(spark).write.mode("append").partitionBy("version").parquet(path)
+    chosen.table(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """The given or the newest version; the table has one row for each slot and version."""
-    stored = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """The given or the newest version, None without a table; the table has one row for each slot and version."""
+    try:
+        stored = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    except AnalysisException:  # nothing is stored there
+        return None
     version = version or stored.agg(F.max("version")).first()[0]
     rows = sorted(stored.filter(F.col("version") == version).collect(), key=lambda r: r.virtual_slot)
     return SlotMap(version, max(r.shard for r in rows) + 1, tuple(r.shard for r in rows))

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from lexweave.llm import contamination, embeddings, language_model, languages, mixture, pii, queries, sharding, simhash, suffixes, toxicity
+from lexweave.runtime import new_path
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, size string"
 LONG = "the quick brown fox jumps over the lazy dog and runs far away from all of the noise "
@@ -76,6 +77,13 @@ def test_sharding(spark, docs, empty):
     grown = sharding.rebalance(even, weights, 5)
     assert len(set(grown.shard_of)) == 5 and sum(a != b for a, b in zip(even.shard_of, grown.shard_of)) < 40
     assert sharding.shard(empty)[0].count() == 0
+    path = new_path(spark, "slots")
+    stored, version = sharding.shard_by_map(docs, path, 4, 64)
+    assert version == chosen == sharding.read_map(spark, path) and sharding.read_map(spark, path, 1) == sharding.first_map(4, 64)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, rows))
+    more, version = sharding.shard_by_map(docs, path, 5, 64)
+    assert version.version == 3 and version == sharding.read_map(spark, path) and {r.shard for r in more.collect()} <= set(range(5))
+    assert sharding.read_map(spark, new_path(spark, "none")) is None
     clash = docs.selectExpr("doc_id", "text", "'x' AS shard", "'y' AS slot", "'z' AS size", "'k' AS _nth", "'l' AS _begin")
     again = sharding.shard(clash, shards=4, slots=64)[0]
     assert sorted(again.columns) == sorted({*clash.columns, "text_crc32", "virtual_slot"})
