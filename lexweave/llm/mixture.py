@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,13 +86,15 @@ def shares(sizes: dict[str | None, int], block: int = BLOCK, shards: int = SHARD
 
 
 def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shards: int = SHARDS) -> tuple[DataFrame, list[Share]]:
-    """``docs`` with size, source_size, target, copies and rest; and the shares of the sources.
+    """``docs`` with size, source_size, target, copies, rest, taken and part; and the shares of the sources.
 
     The documents of a source lie in a seeded order and are cut into blocks of
     ``block`` words; the source's blocks are taken in that order, over again
     when the first are used up. So a document is taken ``copies`` times whole
     and once more with its first ``rest`` words (0 for all but one document of
-    a source). ``taken`` is the sum. Needs doc_id, text and source; columns of
+    a source). ``taken`` is the sum. The blocks taken are handed out to the parts in
+    order, to each as many as its quota of the source; ``part`` is where the
+    document's first block goes when it is first taken, null if it is not. Needs doc_id, text and source; columns of
     the result's names are replaced. Null or empty text has no words; null is a
     source of its own, the last. Rows alike in all three share one place in the
     order and are taken one after the other. With no words at all nothing is
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shards: int = SHARD
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.drop("size", "source_size", "target", "copies", "rest", "taken").withColumns({
+    rows = docs.drop("size", "source_size", "target", "copies", "rest", "taken", "part").withColumns({
         "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
         "__source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
         "__order": F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary")))}).withColumn(
@@ -109,8 +112,8 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shards: int = SHARD
     sizes = {(r[0][1:] if r[0] else None): r[1] for r in sums.groupBy("__source").agg(F.sum("__words")).collect()}
     chosen = shares(sizes, block, shards)
     plan = spark.createDataFrame(
-        [("" if s.source is None else "=" + s.source, s.size, s.target, s.words) for s in chosen],
-        "__source string, source_size long, target double, __take long")
+        [("" if s.source is None else "=" + s.source, s.size, s.target, s.words, list(accumulate(s.quotas))) for s in chosen],
+        "__source string, source_size long, target double, __take long, __ends array<long>")
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("__start", F.coalesce(F.sum("__words").over(before.partitionBy("__source").orderBy("__range")), F.lit(0)))
     inside = before.partitionBy("__source", "__range").orderBy("__order", F.col("doc_id").asc_nulls_last(), "size")
@@ -122,8 +125,11 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shards: int = SHARD
     out = placed.withColumns({"copies": whole, "rest": part}).withColumns({
         "copies": F.when((F.col("rest") == F.col("size")) & (F.col("size") > 0), F.col("copies") + 1).otherwise(F.col("copies")),
         "rest": F.when(F.col("rest") == F.col("size"), F.lit(0).cast("long")).otherwise(F.col("rest"))})
-    return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("rest")).drop(
-        "__source", "__order", "__range", "__inside", "__start", "__take"), chosen
+    first = F.floor((F.col("__start") + F.col("__inside")) / block)
+    dealt = F.least(F.size(F.filter("__ends", lambda e: e <= first)), F.lit(shards - 1))
+    taken = out.withColumn("taken", F.col("copies") * F.col("size") + F.col("rest"))
+    return taken.withColumn("part", F.when(F.col("taken") > 0, dealt)).drop(
+        "__ends", "__source", "__order", "__range", "__inside", "__start", "__take"), chosen
 
 
 def taken_texts(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -34,7 +34,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mixture takes of every document."""
     mixed, _ = mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "part")
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ def test_sharding(spark, docs, empty):
     assert all(r.size == len((r.text or "").encode()) + 8 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in rows)
 
 
-def test_mixture(docs, empty):
+def test_mixture(spark, docs, empty):
     mixed, shares = mixture.mix(docs, block=4)
     rows = mixed.collect()
     assert [s.source for s in shares] == ["a", "b", "ü", None]
@@ -106,6 +106,17 @@ def test_mixture(docs, empty):
     clash = docs.selectExpr("*", "1 AS target", "2 AS source_size", "3 AS rest", "4 AS taken", "5 AS _order", "6 AS _source")
     both = [mixture.mix(d, block=4)[0].select("doc_id", "source", "text", "target", "source_size", "taken").collect() for d in (docs, clash)]
     assert sorted(map(str, both[0])) == sorted(map(str, both[1])) and {"_order", "_source"} <= set(mixture.mix(clash)[0].columns)
+    many = spark.createDataFrame([(i, "w " * (i % 19 + 1), "ab"[i % 9 > 5]) for i in range(900)], "doc_id long, text string, source string")
+    mixed, shares = mixture.mix(many, block=4, shards=6)
+    for share in shares:
+        dealt = [0] * 6
+        for r in mixed.filter(mixed["source"] == share.source).collect():
+            assert (r.part is None) == (r.taken == 0)
+            if r.part is not None:
+                dealt[r.part] += r.size
+        if share.words < share.size:  # taken once: a part has its quota but for the documents at its ends
+            assert all(abs(d - 4 * q) <= 24 for d, q in zip(dealt, share.quotas))
+    assert any(s.words < s.size for s in shares)
     assert mixture.targets([100, 10, 10], [1.0, 5.0, 1.0]) == pytest.approx([60.0, 30.0, 30.0])
     assert mixture.apportion([53.0, 24.0, 23.0], 7) == [3, 2, 2] and mixture.mix(empty)[0].count() == 0
 
