@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexweave.constants import AGE_WITHOUT_RECENCY, CONFLICTING_TYPES, EVIDENCE_WEIGHTS, OPPOSING_DISPOSITIONS, TOPICS_FOR_ALL
 from lexweave.functions.scoring import age_years, conflict_confidence, level_weight
+from lexweave.operators.ranking import top_per_group
 from lexweave.operators.skew import ROWS_PER_CELL, pair_join
 from lexweave.runtime import materialize
 
@@ -283,6 +284,22 @@ def rank_conflicts(conflicts: DataFrame) -> DataFrame:
     return materialize(conflicts, "conflicts").orderBy(F.desc("confidence"), "opinion_a_id", "opinion_b_id")
 
 
+def conflict_summary(conflicts: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` strongest conflicts of every two courts and topic, each with ``rank`` and the number of all (``n_conflicts``).
+
+    A common topic has as many conflicts as pairs of opinions; the summary has
+    ``n`` rows for each two courts and topic, and counts the rest. Equal
+    confidence goes by opinion ids. Counts and first rows are cut per task before
+    they are shuffled.
+    """
+    keys = ["court_1", "court_2", "topic"]
+    named = conflicts.withColumns({"court_1": F.least("court_a", "court_b"), "court_2": F.greatest("court_a", "court_b")})
+    named = materialize(named, "conflicts")
+    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_conflicts"))
+    order = [F.desc("confidence"), F.col("opinion_a_id"), F.col("opinion_b_id"), F.col("extraction_a_id"), F.col("extraction_b_id")]
+    return top_per_group(named, keys, order, n, "rank").join(counts, keys)
+
+
 def conflict_view(conflicts: DataFrame, opinions: DataFrame, extractions: DataFrame) -> DataFrame:
     """Conflicts with the names, dates and holdings of both opinions; of several completed extractions the last counts."""
     held = extractions.filter(F.col("status") == "completed").groupBy("opinion_id").agg(

@@ -177,6 +177,18 @@ def rank_conflicts(c):
         cf.profiles(_joined(c)), _as_of(), detected_at=F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")))
 
 
+@query("conflict_summary", _sql("""
+    SELECT court_1, court_2, topic, CAST(rank AS INT) AS rank, a_id AS opinion_a_id, b_id AS opinion_b_id, confidence, n_conflicts FROM (
+      SELECT *, count(*) OVER (PARTITION BY court_1, court_2, topic) AS n_conflicts,
+        row_number() OVER (PARTITION BY court_1, court_2, topic ORDER BY confidence DESC, a_id, b_id) AS rank
+      FROM (SELECT *, least(court_a, court_b) AS court_1, greatest(court_a, court_b) AS court_2 FROM pairs WHERE confidence >= 0.5))
+    WHERE rank <= 3"""))
+def conflict_summary(c):
+    """The three strongest conflicts of every two courts and topic."""
+    return cf.conflict_summary(cf.detect_conflicts(cf.profiles(_joined(c)), _as_of())).select(
+        "court_1", "court_2", "topic", "rank", "opinion_a_id", "opinion_b_id", "confidence", "n_conflicts")
+
+
 @query("conflict_view", _sql(f"""
     SELECT r.opinion_a_id || '-' || r.opinion_b_id AS conflict_id, r.topic, r.confidence,
       a.case_name AS case_name_a, a.date_filed AS date_filed_a, x.holding AS holding_a,

@@ -114,6 +114,19 @@ def test_conflicts_of_opinions_filed_after_the_day_of_the_ages(spark):
     assert cf.detect_conflicts(prof, day, min_confidence=0.51).count() == 0
 
 
+def test_summary_keeps_the_strongest_and_counts_all(spark):
+    rows = corpus(40)
+    found = cf.detect_conflicts(cf.profiles(spark.createDataFrame(rows, SCHEMA)), F.lit(AS_OF), min_confidence=0.4)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault((min(r.court_a, r.court_b), max(r.court_a, r.court_b), r.topic), []).append((-r.confidence, r.opinion_a_id, r.opinion_b_id))
+    got = cf.conflict_summary(found, 2).collect()
+    assert max(map(len, groups.values())) > 2 and len(got) == sum(min(2, len(g)) for g in groups.values())
+    for r in got:
+        own = sorted(groups[r.court_1, r.court_2, r.topic])
+        assert (-r.confidence, r.opinion_a_id, r.opinion_b_id) == own[r["rank"] - 1] and r.n_conflicts == len(own)
+
+
 def graph_frames(spark, edges, n):
     cites = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(edges)],
                                   "citation_id long, citing_opinion_id long, cited_opinion_id long")
