@@ -42,6 +42,8 @@ TUPLE = LENGTH - PERIOD + 1
 #: name too, in that of tuples whether any other has.
 TEXTS, TUPLES, PREFIXES = 0, 1, 2
 _BITS = (64, 40, 64)
+#: Notes of a pack: which of its documents are copies, and which of its sampled places have a shared tuple.
+NOTES = COPIES, PLACES = -1, -2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,6 +67,7 @@ class Pack:
     """The documents of a pack as one run of bytes, by id; ``rank`` grows with the id, equal ids have equal ranks."""
 
     def __init__(self, table: pa.Table):
+        table = table.sort_by("row")  # the same order in every round, also of rows that share an id
         ids = table.column("doc_id").to_pandas()
         order = ids.sort_values(kind="stable", na_position="last").index.to_numpy()
         table = table.take(pa.array(order)).combine_chunks()
@@ -84,15 +87,19 @@ class Pack:
         found = b"".join(hashlib.blake2b(raw[self.ends[k]:self.ends[k + 1]], digest_size=8).digest() for k in long)
         return long, np.frombuffer(found, "<u8").astype(np.uint64)
 
-    def sampled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, name, rank of the document) of the sampled tuples of documents that are long enough and no copies."""
+    def grid(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, document) of the sampled tuples of documents that are long enough and no copies."""
         grid = np.arange(0, int(self.sizes.max(initial=0)) + PERIOD, PERIOD)
         grid = (grid[:, None] + np.array(COVER)).ravel()
         count = np.searchsorted(grid, np.maximum(self.sizes - TUPLE + 1, 0))
         count[(self.sizes < LENGTH) | self.copy] = 0
         docs = np.repeat(np.arange(len(self.sizes)), count)
         nth = np.arange(len(docs)) - np.repeat(np.cumsum(count) - count, count)
-        places = self.ends[docs] + grid[nth]
+        return self.ends[docs] + grid[nth], docs
+
+    def sampled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, name, rank of the document) of the tuples of :meth:`grid`."""
+        places, docs = self.grid()
         return places, names(self.data, places, TUPLE) >> np.uint64(64 - _BITS[TUPLES]), self.rank[docs]
 
     def remaining(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,9 +152,29 @@ def _got(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def _noted(pack: int, level: int, flags: np.ndarray) -> pa.Table:
+    """What a pack has found out and later rounds need, as a range of its own that nothing else goes to."""
+    return pa.table({
+        "pack": pa.array([pack], pa.int32()), "part": pa.array([level - len(NOTES) * pack], pa.int32()),
+        "keys": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+
+def _note(answers: pa.Table, level: int, size: int) -> np.ndarray | None:
+    """The flags that an earlier round has noted for this pack, if it has."""
+    for own, blob in zip(answers.column("level").to_pylist(), answers.column("bits")):
+        if own == level:
+            return np.unpackbits(np.frombuffer(blob.as_py(), np.uint8), count=size).astype(bool)
+    return None
+
+
 def _answers(level: int):
-    """Of each range: a bit for each name of each pack, set when an earlier pack (or any other) has it too."""
+    """Of each range: a bit for each name of each pack, set when an earlier pack (or any other) has it too. Notes stay as they are."""
     def answer(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:
+            pack, part = table.column("pack")[0].as_py(), table.column("part")[0].as_py()
+            return pa.table({
+                "pack": table.column("pack"), "part": table.column("part"),
+                "level": pa.array([part + len(NOTES) * pack], pa.int32()), "bits": table.column("keys")})
         packs = table.column("pack").to_numpy()
         order = np.argsort(packs, kind="stable")
         blobs = table.column("keys").to_pylist()
@@ -184,6 +211,10 @@ def _bits(answers: pa.Table, level: int, keys: np.ndarray, bits: int) -> np.ndar
 def _without_copies(table: pa.Table, answers: pa.Table, bits: int) -> Pack:
     """The pack, with the texts marked that an earlier document has."""
     pack = Pack(table)
+    noted = _note(answers, COPIES, len(pack.copy))
+    if noted is not None:
+        pack.copy = noted
+        return pack
     long, keys = pack.texts()
     rank = pack.rank[long]
     order, first, run, least = _runs(keys, rank)
@@ -193,14 +224,18 @@ def _without_copies(table: pa.Table, answers: pa.Table, bits: int) -> Pack:
     return pack
 
 
-def _remaining(pack: Pack, answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The remaining suffixes of a pack, once it is known which names of tuples other packs share."""
+def _shared(pack: Pack, answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sampled places of a pack, whether their tuple is shared), once it is known which names of tuples other packs share."""
+    places, _ = pack.grid()
+    noted = _note(answers, PLACES, len(places))
+    if noted is not None or not len(places):
+        return places, np.zeros(0, bool) if noted is None else noted
     places, keys, rank = pack.sampled()
     order, first, run, least = _runs(keys, rank)
-    if not len(keys):
-        return pack.remaining(places)
-    shared = (np.maximum.reduceat(rank[order], first) > least) | _bits(answers, TUPLES, keys[order][first], bits)
-    return pack.remaining(places[order[shared[run]]])
+    hit = (np.maximum.reduceat(rank[order], first) > least) | _bits(answers, TUPLES, keys[order][first], bits)
+    flags = np.zeros(len(places), bool)
+    flags[order] = hit[run]
+    return places, flags
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = True, pack_bytes: int = PACK_BYTES) -> DataFrame:
@@ -218,8 +253,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True, pack_bytes: int = PA
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     number = max(1, -(-size // pack_bytes))
     stored = f"packs_{uuid.uuid4().hex}"
-    docs.select("doc_id", "text").repartitionByRange(number, F.col("doc_id").asc_nulls_last()).withColumn("pack", F.spark_partition_id()).write.option(
-        "compression", "zstd").bucketBy(number, "pack").saveAsTable(stored)
+    docs.select("doc_id", "text").repartitionByRange(number, F.col("doc_id").asc_nulls_last()).withColumns({
+        "pack": F.spark_partition_id(), "row": F.monotonically_increasing_id()}).write.option("compression", "zstd").bucketBy(number, "pack").saveAsTable(stored)
     packs = spark.table(stored)
 
     def texts(table: pa.Table) -> pa.Table:
@@ -228,19 +263,22 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True, pack_bytes: int = PA
     def tuples(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _sent(0, np.zeros(0, np.uint64), TUPLES, bits)
-        pack = _without_copies(table, answers, bits)
-        return _sent(table.column("pack")[0].as_py(), np.unique(pack.sampled()[1]), TUPLES, bits)
+        pack, number = _without_copies(table, answers, bits), table.column("pack")[0].as_py()
+        return pa.concat_tables([_sent(number, np.unique(pack.sampled()[1]), TUPLES, bits), _noted(number, COPIES, pack.copy)])
 
     def prefixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _sent(0, np.zeros(0, np.uint64), PREFIXES, bits)
-        pack = _without_copies(table, answers, bits)
-        return _sent(table.column("pack")[0].as_py(), np.unique(_remaining(pack, answers, bits)[1]), PREFIXES, bits)
+        pack, number = _without_copies(table, answers, bits), table.column("pack")[0].as_py()
+        places, flags = _shared(pack, answers, bits)
+        sent = _sent(number, np.unique(pack.remaining(places[flags])[1]), PREFIXES, bits)
+        return pa.concat_tables([sent, _noted(number, PLACES, flags)])
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         pack = _without_copies(table, answers, bits) if table.num_rows else Pack(table)
         mask = np.repeat(pack.copy, pack.sizes)
-        places, keys, rank = _remaining(pack, answers, bits)
+        sampled, flags = _shared(pack, answers, bits)
+        places, keys, rank = pack.remaining(sampled[flags])
         if len(keys):
             order, first, run, least = _runs(keys, rank)
             gone = (rank[order] > least[run]) | _bits(answers, PREFIXES, keys[order][first], bits)[run]
