@@ -1,7 +1,6 @@
 import re
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as tx
