@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,12 +43,27 @@ def _decode_entities(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
-def unescape_entities(text: Column) -> Column:
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+def _decode_closed(text: str) -> str:
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[1] is None or m[1] + ";" in html5 else m[0], text)
+
+
+@F.pandas_udf(T.StringType())
+def _decode_closed_entities(text: pd.Series) -> pd.Series:
+    return text.map(_decode_closed, na_action="ignore")
+
+
+def unescape_entities(text: Column, closed: bool = False) -> Column:
     """Decode named and numeric character references.
 
-    Only rows holding an ampersand travel to Python; the others are sent as null.
+    By default also old names without a semicolon, as browsers do; if ``closed``,
+    a reference that is cut off before its semicolon stays as it stands. Only
+    rows holding an ampersand travel to Python; the others are sent as null.
     """
-    return F.coalesce(_decode_entities(F.when(F.contains(text, F.lit("&")), text)), text)
+    decode = _decode_closed_entities if closed else _decode_entities
+    return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 @F.pandas_udf(T.StringType())
@@ -71,15 +88,15 @@ def clean_text(text: Column) -> Column:
     return normalize_whitespace(normalize_unicode(unescape_entities(strip_html(text))))
 
 
-def with_clean_text(df: DataFrame, source: str, output: str) -> DataFrame:
-    """:func:`clean_text` of a column, step by step.
+def with_clean_text(df: DataFrame, source: str, output: str, closed: bool = False) -> DataFrame:
+    """:func:`clean_text` of a column, step by step; ``closed`` as in :func:`unescape_entities`.
 
     Each step mentions its input several times; as columns of their own the inputs
     are computed once, which one nested expression would not ensure.
     """
     return (
         df.withColumn(output, strip_html(F.col(source)))
-        .withColumn(output, unescape_entities(F.col(output)))
+        .withColumn(output, unescape_entities(F.col(output), closed))
         .withColumn(output, normalize_unicode(F.col(output)))
         .withColumn(output, normalize_whitespace(F.col(output)))
     )
