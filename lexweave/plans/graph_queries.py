@@ -58,10 +58,12 @@ def graph_walk_both(c):
 
 
 @query("graph_attrs", f"""
-    WITH RECURSIVE {_walk('w', _OUT, 1)}
+    WITH RECURSIVE {_walk('w', _OUT, 1, 'SELECT opinion_id FROM v_opinions')}
     SELECT root_id, opinion_id, depth, case_name, court_id FROM ({_least('w')}) JOIN v_opinions USING (opinion_id)""")
 def graph_attrs(c):
-    return graph.graph_walk(c.view("v_citations"), c.view("v_opinions"), _roots(c), 1, "outgoing")
+    """The first step of the walk from every opinion."""
+    opinions = c.view("v_opinions")
+    return graph.graph_walk(c.view("v_citations"), opinions, opinions.select(F.col("opinion_id").alias("root_id")), 1, "outgoing")
 
 
 @query("edges_both_directions", f"SELECT src, dst FROM ({_BOTH})")
