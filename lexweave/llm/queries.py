@@ -40,8 +40,9 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact unigram score and model score of every document, learned from the rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, words = language_model.fit(docs.filter(~language_model.held_out()))
-    return language_model.score(docs, model, words).select(
+    learned = ~language_model.held_out()
+    model, words = language_model.fit(docs.filter(learned))
+    return language_model.score(docs, model, words, learned).select(
         "doc_id", language_model.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
