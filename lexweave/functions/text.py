@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from html.entities import html5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +39,23 @@ def strip_html(text: Column) -> Column:
     return F.regexp_replace(blocks, ANY_TAG, "")
 
 
-@F.pandas_udf(T.StringType())
-def _decode_entities(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+#: Texts that a Python worker holds as objects at once; the rest of a batch stays in Arrow.
+_HELD = 64
+
+
+def _changed(texts: pa.Array, change: Callable[[str], str], where: pa.Array | None = None) -> pa.Array:
+    """``change`` of every text, or of those where the flag is set; null stays null."""
+    parts = [pa.array([], pa.string())]
+    for i in range(0, len(texts), _HELD):
+        some = texts.slice(i, _HELD).to_pylist()
+        marked = where.slice(i, _HELD).to_pylist() if where is not None else [True] * len(some)
+        parts.append(pa.array([change(t) if t is not None and m else t for t, m in zip(some, marked)], pa.string()))
+    return pa.concat_arrays(parts)
+
+
+@F.arrow_udf(T.StringType())
+def _decode_entities(text: pa.Array) -> pa.Array:
+    return _changed(text, html.unescape)
 
 
 _CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
@@ -50,9 +65,9 @@ def _decode_closed(text: str) -> str:
     return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[1] is None or m[1] + ";" in html5 else m[0], text)
 
 
-@F.pandas_udf(T.StringType())
-def _decode_closed_entities(text: pd.Series) -> pd.Series:
-    return text.map(_decode_closed, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _decode_closed_entities(text: pa.Array) -> pa.Array:
+    return _changed(text, _decode_closed)
 
 
 def unescape_entities(text: Column, closed: bool = False) -> Column:
@@ -66,9 +81,23 @@ def unescape_entities(text: Column, closed: bool = False) -> Column:
     return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+def _fold(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return _changed(text, _fold)
+
+
+@F.arrow_udf(T.StringType())
+def _decode_and_fold(text: pa.Array, markup: pa.Array) -> pa.Array:
+    return _changed(_changed(text, html.unescape, markup), _fold)
+
+
+@F.arrow_udf(T.StringType())
+def _decode_closed_and_fold(text: pa.Array, markup: pa.Array) -> pa.Array:
+    return _changed(_changed(text, _decode_closed, markup), _fold)
 
 
 def normalize_unicode(text: Column) -> Column:
@@ -77,6 +106,17 @@ def normalize_unicode(text: Column) -> Column:
     return F.translate(folded, ZERO_WIDTH, "")
 
 
+def unescape_and_normalize(text: Column, markup: Column | None = None, closed: bool = False) -> Column:
+    """:func:`unescape_entities`, then :func:`normalize_unicode`, with one way to Python and back.
+
+    Entities are decoded where ``markup`` holds, by default everywhere.
+    """
+    marked = F.lit(True) if markup is None else F.coalesce(markup, F.lit(False))
+    change = _decode_closed_and_fold if closed else _decode_and_fold
+    goes = (marked & F.contains(text, F.lit("&"))) | text.rlike(r"[^\x00-\x7F]")
+    return F.translate(F.coalesce(change(F.when(goes, text), marked), text), ZERO_WIDTH, "")
+
+
 def normalize_whitespace(text: Column) -> Column:
     """One blank per run of blanks and tabs, at most one empty line, trimmed ends."""
     blanks = F.regexp_replace(text, BLANK_RUN, " ")
@@ -96,7 +136,6 @@ def with_clean_text(df: DataFrame, source: str, output: str, closed: bool = Fals
     """
     return (
         df.withColumn(output, strip_html(F.col(source)))
-        .withColumn(output, unescape_entities(F.col(output), closed))
-        .withColumn(output, normalize_unicode(F.col(output)))
+        .withColumn(output, unescape_and_normalize(F.col(output), closed=closed))
         .withColumn(output, normalize_whitespace(F.col(output)))
     )

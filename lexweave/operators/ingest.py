@@ -9,7 +9,7 @@ from lexweave.constants import OPINION_URL, TEXT_FIELDS
 from lexweave.functions.scoring import court_level, iso_date, precedential_status
 from lexweave.functions.segments import chunk_count
 from lexweave.functions.text import (
-    is_blank, normalize_unicode, normalize_whitespace, strip_html, unescape_entities,
+    is_blank, normalize_whitespace, strip_html, unescape_and_normalize,
 )
 
 
@@ -61,8 +61,8 @@ def with_best_text(records: DataFrame, output: str = "raw_text") -> DataFrame:
     plain = ~is_blank(F.col("plain_text")) if "plain_text" in fields else F.lit(False)
     rows = records.withColumn("_raw", picked).withColumn("_plain", plain)
     rows = rows.withColumn("_markup", strip_html(F.when(~F.col("_plain"), F.col("_raw"))))
-    rows = rows.withColumn("_body", F.coalesce(unescape_entities(F.col("_markup")), F.col("_raw")))
-    rows = rows.withColumn("_body", normalize_unicode(F.col("_body")))
+    rows = rows.withColumn("_body", F.coalesce("_markup", "_raw"))
+    rows = rows.withColumn("_body", unescape_and_normalize(F.col("_body"), ~F.col("_plain")))
     return rows.withColumn(output, normalize_whitespace(F.col("_body"))).drop(
         "_raw", "_plain", "_markup", "_body")
 
