@@ -105,7 +105,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches over ``links`` (a, b).
 
     Alternates large-star and small-star steps, each written to the shared
-    folder, until nothing changes. Minima are pre-aggregated; nodes with many
+    folder, until each node is linked with a root alone. Minima are pre-aggregated; nodes with many
     links meet them in joins that adaptive execution may split.
     """
     def large(edges: DataFrame) -> DataFrame:
@@ -118,16 +118,13 @@ def components(links: DataFrame) -> DataFrame:
         moved = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(edges: DataFrame) -> bool:
+        """Whether each node has one link, and none leads to a node that has a link itself."""
+        ends = edges.select("a", F.lit(1).alias("n")).union(edges.select("b", F.lit(0)))
+        return ends.groupBy("a").agg(F.sum("n").alias("n"), F.min("n").alias("least")).filter("n > 1 or n = 1 and least = 0").isEmpty()
 
     edges = materialize(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = state(edges)
-    while before[0]:
+    while not settled(edges):
         edges = materialize(small(large(edges)), "stars")
-        now = state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

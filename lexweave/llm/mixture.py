@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.runtime import materialize
+
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: No source gives more than so many times its words.
@@ -108,7 +110,8 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK, shards: int = SHARD
         "__source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")),
         "__order": F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(text.cast("binary")))}).withColumn(
         "__range", F.shiftrightunsigned("__order", 54).cast("int"))
-    sums = rows.groupBy("__source", "__range").agg(F.sum("size").alias("__words"))
+    # A row for each range, written once: the words of all texts need not be counted for both of its readers.
+    sums = materialize(rows.groupBy("__source", "__range").agg(F.sum("size").alias("__words")), "sums")
     sizes = {(r[0][1:] if r[0] else None): r[1] for r in sums.groupBy("__source").agg(F.sum("__words")).collect()}
     chosen = shares(sizes, block, shards)
     plan = spark.createDataFrame(

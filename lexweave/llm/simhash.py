@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,30 +29,34 @@ def fingerprint(text: str | None) -> int:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
     if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    begin = np.r_[0, ends[:-SHINGLE] + 1].tolist()
-    hashed = xxhash.xxh64_intdigest
-    values = np.array([hashed(joined[i:j], SEED) for i, j in zip(begin, ends[SHINGLE - 1:].tolist())], "<u8")
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    joined = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
+    values = np.array([xxhash.xxh64_intdigest(x, SEED) for x in joined], "<u8")
     set_ = np.zeros(BITS, np.int64)
     for at in range(0, len(values), 4096):
         set_ += np.unpackbits(values[at:at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * set_ > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, more: tuple[str, str, Callable[[pa.Array], pa.Array]] | None = None) -> DataFrame:
+    """``docs`` with ``fp``, the fingerprint as a signed long.
+
+    ``more`` is the name, the type and the function of one more column made of
+    the texts in the same visit to Python, after which the texts stay behind.
+    """
     docs = docs.drop("fp")
+    kept = [f for f in docs.schema.fields if not (more and f.name == "text")]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "fp"])
+            text = batch.column("text")
+            fp = np.array([fingerprint(x) for x in text.to_pylist()], np.uint64).view(np.int64)
+            found = {f.name: batch.column(f.name) for f in kept} | {"fp": pa.array(fp)} | ({more[0]: more[2](text)} if more else {})
+            yield pa.RecordBatch.from_pydict(found)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(add, f"{kinds}, fp long")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    return docs.mapInArrow(add, ", ".join([*kinds, "fp long", *([f"{more[0]} {more[1]}"] if more else [])]))
 
 
 def planes(values: np.ndarray) -> np.ndarray:
